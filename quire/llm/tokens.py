@@ -181,7 +181,7 @@ def section_counts(docs: DataFrame, path: str, *, rule: str = "majority", text:
             for key_, text_, (_, spans) in zip(batch.column(0).to_pylist(), texts, known.encode(texts), strict=True):
                 starts, ends = line_sections(text_)
                 n = attribute(spans, starts, ends, rule)
-                rest = n[-1] > 1e-9
+                rest = int(n[-1] > 1e-9)
                 m = len(starts) + rest
                 ids += [key_] * m
                 parts.append(np.stack([np.arange(m), np.append(starts, [0] * rest), np.append(ends, [len(text_)] * rest), n[:m] if rest else n[:-1]]))
