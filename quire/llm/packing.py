@@ -149,7 +149,7 @@ def segments_of(used: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray
     return dict(zip(("length", "first_rank", "last_rank", "first_sequence", "offset"), np.array(rows, dtype=np.int64).reshape(-1, 5).T, strict=True))
 
 
-def pack(pieces: DataFrame, size: int = SIZE, rows_a_bucket: int = 2000) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, rows_a_bucket: int = 500) -> DataFrame:
     """pieces with sequence_id and offset. pieces: doc_id, piece, start, length and more; read twice, so best a stored table."""
     spark = pieces.sparkSession
     histogram = np.zeros(size + 1, np.int64)
@@ -158,7 +158,7 @@ def pack(pieces: DataFrame, size: int = SIZE, rows_a_bucket: int = 2000) -> Data
     segments = segments_of(plan(histogram, size))
     rows = list(zip(*(x.tolist() for x in segments.values()), strict=True))
     slots = F.broadcast(spark.createDataFrame(rows, "slot_length long, first_rank long, last_rank long, first_sequence long, offset long"))
-    buckets = max(1, int(histogram.max()) // rows_a_bucket)
+    buckets = 1 + int(histogram.max()) // rows_a_bucket
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
