@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, html_text, packing, quality, tokens, warc
+from quire.llm import decontaminate, html_text, jaccard, packing, pii, quality, tokens, warc
 
-MODULES = (quality, packing, html_text, tokens, decontaminate, warc)
+MODULES = (pii, quality, packing, html_text, tokens, jaccard, decontaminate, warc)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items() if s}
