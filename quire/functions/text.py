@@ -1,4 +1,4 @@
-"""Scalar text functions."""
+"""Scalar text functions as Catalyst expressions."""
 
 from __future__ import annotations
 
@@ -9,3 +9,64 @@ from pyspark.sql import functions as F
 def github_slug(text: Column) -> Column:
     """The anchor of a heading: lower case, letters, marks, digits, connectors, hyphens; spaces to hyphens."""
     return F.replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\p{L}\p{M}\p{N}\p{Pc}\- ]", ""), F.lit(" "), F.lit("-"))
+
+
+def csv_cell(value: Column) -> Column:
+    """A cell as RFC 4180 quotes it: only where it holds a quote, a comma or a line end."""
+    return F.when(value.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+
+
+def escape_html(value: Column) -> Column:
+    for raw, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        value = F.replace(value, F.lit(raw), F.lit(reference))
+    return value
+
+
+def text_length(html: Column) -> Column:
+    """Characters outside tags, scripts and styles, without white space; a character reference counts as one."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", ""), "<[^>]*>", "")
+    return F.length(F.regexp_replace(F.regexp_replace(bare, r"&[#\w]+;", "x"), r"\s+", ""))
+
+
+def dedent(text: Column) -> Column:
+    """Lines without the white space that all lines that are not blank share at their start."""
+    lines = F.split(text, "\n")
+    shared = F.array_min(F.transform(F.filter(lines, lambda l: F.trim(l) != ""), lambda l: F.length(F.regexp_extract(l, r"^[ \t]*", 0))))
+    return F.when(shared.isNull(), text).otherwise(F.array_join(F.transform(lines, lambda l: F.substr(l, shared + 1)), "\n"))
+
+
+def safe_filename(name: Column) -> Column:
+    """A name that any file system takes: reserved characters to underscores, no dots or spaces at the end, never empty."""
+    clean = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_"), r"[. ]+$", "")
+    return F.when(clean == "", "_").when(F.lower(clean).rlike(r"^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"), F.concat(F.lit("_"), clean)).otherwise(clean)
+
+
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, r"[\\/]"), -1)
+
+
+def strip_ansi(text: Column) -> Column:
+    return F.regexp_replace(text, r"\x1b?\[[0-9;]*m", "")
+
+
+def cell_boundaries(line: Column) -> Column:
+    """Tab-separated fields as text: trimmed, without empty ones, with a bar between."""
+    return F.array_join(F.filter(F.transform(F.split(line, "\t"), lambda x: F.trim(x)), lambda x: x != ""), " | ")
+
+
+def needs_reformat(text: Column) -> Column:
+    """A long text on one or two filled lines, or one with a line of over 500 characters."""
+    lines = F.split(text, "\n")
+    packed = (F.length(text) > 200) & (F.size(F.filter(lines, lambda l: ~l.rlike(r"^\s*$"))) <= 2)
+    return packed | F.exists(lines, lambda l: F.length(l) > 500)
+
+
+def task_item(text: Column) -> Column:
+    """A list item that begins with a task box, its box as a character."""
+    return F.regexp_replace(F.regexp_replace(text, r"^\[ \] ", "☐ "), r"^\[[xX]\] ", "☑ ")
+
+
+def split_records(text: Column, size: int = 4096) -> Column:
+    """Fixed-size records of a text's bytes."""
+    raw = F.encode(text, "UTF-8")
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length(raw) - 1) / size).cast("int"))), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
