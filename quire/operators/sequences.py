@@ -74,7 +74,7 @@ def running_heads(lines: DataFrame) -> DataFrame:
     repeated = counts.join(pages, "doc").where("pages >= 4 and hits > pages / 2").select("doc", "key", F.lit(True).alias("repeated"))
     flagged = at.join(repeated, ["doc", "key"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
     edge = lambda w: F.min(F.col("repeated").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
-    return flagged.where(~edge(up) & ~edge(down)).select(*lines.columns)
+    return flagged.withColumns({"head": edge(up), "foot": edge(down)}).where("not head and not foot").select(*lines.columns)
 
 
 def heading_anchors(headings: DataFrame) -> DataFrame:
