@@ -6,10 +6,11 @@ occur in one document only cannot be part of a repeated passage, so they are kep
 windows have equal minimizers (the smallest hash of the 5-word runs inside), and only windows whose minimizer
 occurs in at least two documents enter the graph.
 
-Compaction. One grouped aggregate over the nodes, combined before the shuffle, finds for each its first
-source (smallest doc_id, then position) and whether more than one edge leaves or enters it. Joined back to the occurrences,
-consecutive windows compact to one path while the nodes between them do not branch and their first sources
-are consecutive too. Edges at branching nodes take their sources from an aggregate of their own.
+Compaction. Edges are combined where they are made: of an edge that several documents of a batch share, only the
+smallest one's travels by its node; the others have that one as their source. Windowed over the node, the firsts of
+all batches find the first source (smallest doc_id, then position) of each edge and whether several edges leave
+the node. Joined by document, consecutive edges compact to one path while nodes do not fork
+and their sources are consecutive in one document too.
 
 Verification. Every compacted span is checked against the words at its source's coordinates by a 128-bit
 digest of the words themselves; only spans that agree are removed.
@@ -35,9 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import MIX_C, binary, cut, in_slices, rolled, table, word_hashes
+from quire.llm.common import MIX_C, binary, cut, in_slices, mixed, rolled, stored, table, word_hashes
 
 WINDOW, RUN = 13, 5
+#: Rows that a task combines at a time.
+MOST = 1_000_000
 
 
 def minimizers(h: np.ndarray, window: int, run: int) -> np.ndarray:
@@ -55,36 +58,89 @@ def _hashes(text: bytes | None, window: int) -> np.ndarray | None:
     return word_hashes(words, len(words)) if len(words) >= window else None
 
 
-def anchors(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """(anchor, doc_id): the distinct minimizers of each document."""
+def local_firsts(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in `order` that sort equal keys together: which rows are the first of their key, and the index of each row's first."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return new, order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+
+
+def anchors(docs: DataFrame, window: int, run: int, most: int) -> DataFrame:
+    """(key, doc_id, anchor): the distinct minimizers of each document, combined over about `most` of them.
+
+    The first of an anchor in a combined batch has the anchor as its key and, if others in the batch have it, as `anchor`; the
+    others are known to be repeated, so they have the anchor and a key that deals them elsewhere.
+    """
+
+    def combined(keys: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
+        doc, anchor = np.concatenate(keys), np.concatenate(values)
+        order = np.lexsort((doc, anchor))
+        new, _ = local_firsts(order, anchor)
+        doc, anchor = doc[order], anchor[order]
+        lonely = new & np.append(new[1:], True)
+        key = np.where(new, anchor, mixed(anchor ^ doc.view(np.uint64)))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(anchor.view(np.int64), mask=lonely), pa.array(new)], names=["key", "doc_id", "anchor", "first"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values, held = [], [], 0
         for batch in in_slices(batches):
-            keys, values = [], []
             for key, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
                 if (h := _hashes(text, window)) is not None:
                     values.append(np.unique(minimizers(h, window, run)))
                     keys.append(np.full(len(values[-1]), key, np.int64))
-            if values:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(keys))], names=["anchor", "doc_id"])
-
-    return docs.mapInArrow(found, "anchor long, doc_id long")
-
+                    held += len(values[-1])
+            if held > most:
+                yield combined(keys, values)
+                keys, values, held = [], [], 0
+        if held:
+            yield combined(keys, values)
+
+    return docs.mapInArrow(found, "key long, doc_id long, anchor long, first boolean")
+
+
+def repeated_anchors(docs: DataFrame, window: int, run: int, most: int) -> DataFrame:
+    """(doc_id, anchors) of the anchors that at least two documents have."""
+    n = F.count("*").over(Window.partitionBy("key"))
+    rows = anchors(docs, window, run, most).withColumn("n", n).where(F.col("anchor").isNotNull() | (F.col("first") & (F.col("n") > 1)))
+    return rows.select("doc_id", F.coalesce("anchor", "key").alias("anchor")).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+
+
+def _edges(window: int, run: int, most: int):
+    """The edges of documents' candidate windows, combined: those of an edge's first document in a batch have its node as key, the others have their source."""
+
+    def combined(parts: list[tuple]) -> pa.RecordBatch:
+        node, after, doc, pos = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((pos, doc, after, node))
+        _, first = local_firsts(order, node, after)
+        travels = doc[order] == doc[first]  # the first document's own repeats may have a source in another batch
+        forks = np.zeros(len(order), bool)  # nodes with several edges in this batch
+        forks[1:] = (node[order][1:] == node[order][:-1]) & (after[order][1:] != after[order][:-1])
+        start, _ = local_firsts(order, node)
+        group = np.cumsum(start) - 1
+        forked = np.bincount(group, forks) > 0
+        key = np.where(travels, node[order], mixed(node[order] ^ (doc[order] * 31 + pos[order]).view(np.uint64)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(after[order]), pa.array(doc[order]), pa.array(pos[order]), pa.array(doc[first], mask=travels), pa.array(pos[first], mask=travels), pa.array(forked[group], mask=travels)],
+            names=["key", "after", "doc_id", "pos", "source", "source_pos", "forks"],
+        )
 
-def _windows(window: int, run: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in in_slices(batches, 256):
-            parts = []
             for key, text, own in zip(batch.column(0).to_pylist(), binary(batch.column(1)), batch.column(2), strict=True):
                 if (h := _hashes(text, window)) is None:
                     continue
                 at = np.flatnonzero(np.isin(minimizers(h, window, run), own.values.to_numpy().view(np.uint64)))
                 word = (h & np.uint64(0x7FFFFFFF)).astype(np.int32)
-                before = np.append(np.int32(-1), word)[at]
-                parts.append((rolled(h, window - 1, MIX_C)[at].view(np.int64), word[at + window - 1], before, np.full(len(at), key, np.int64), at.astype(np.int32)))
-            if parts:
-                node, after, before, keys, at = (np.concatenate(p) for p in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(after), pa.array(before, mask=before < 0), pa.array(keys), pa.array(at)], names=["node", "after", "before", "doc_id", "pos"])
+                parts.append((rolled(h, window - 1, MIX_C)[at], word[at + window - 1], np.full(len(at), key, np.int64), at.astype(np.int32)))
+                held += len(at)
+            if held > most:
+                yield combined(parts)
+                parts, held = [], 0
+        if held:
+            yield combined(parts)
 
     return found
 
@@ -132,34 +188,28 @@ def _removals(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame, window: int, run: int) -> DataFrame:
-    """doc_id, start, size, source, source_start of every compacted path that has its first source in a smaller document."""
-    found = anchors(docs, window, run)
-    repeated = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    own = found.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")).join(copies, "doc_id", "left_anti")
-    windows = docs.join(own, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_windows(window, run), "node long, after int, before int, doc_id long, pos int")
-    place = F.struct("doc_id", "pos")
-    nodes = windows.groupBy("node").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"), F.min("after").alias("after_low"), F.max("after").alias("after_high"), F.min("before").alias("before_low"), F.max("before").alias("before_high")).where(F.col("first.doc_id") < F.col("last"))
-    nodes = nodes.select("node", F.col("first.doc_id").alias("source"), F.col("first.pos").alias("source_pos"), (F.col("after_low") < F.col("after_high")).alias("leaves_branch"), F.coalesce(F.col("before_low") < F.col("before_high"), F.lit(False)).alias("enters_branch"))
-    placed = windows.select("node", "after", "doc_id", "pos").join(nodes, "node")
-    single = placed.where(~F.col("leaves_branch") & (F.col("source") < F.col("doc_id"))).select("doc_id", "pos", "source", "source_pos", F.col("enters_branch").alias("new"))
-    branching = placed.where("leaves_branch").select("node", "after", "doc_id", "pos")
-    edges = branching.groupBy("node", "after").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).where(F.col("first.doc_id") < F.col("last"))
-    split = branching.join(edges, ["node", "after"]).where(F.col("first.doc_id") < F.col("doc_id")).select("doc_id", "pos", F.col("first.doc_id").alias("source"), F.col("first.pos").alias("source_pos"), F.lit(True).alias("new"))
+def repeated_spans(docs: DataFrame, copies: DataFrame, window: int, run: int, most: int) -> DataFrame:
+    """doc_id, start, size, source, source_start of every compacted path whose edges stand in a smaller document too."""
+    own = repeated_anchors(docs, window, run, most).join(copies, "doc_id", "left_anti")
+    edges = docs.join(own, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_edges(window, run, most), "key long, after int, doc_id long, pos int, source long, source_pos int, forks boolean")
+    at_node = Window.partitionBy("key")  # its exchange also serves the edges of a node
+    nodes = edges.withColumn("forks", F.coalesce("forks", F.min("after").over(at_node) < F.max("after").over(at_node)))
+    first = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("key", "after"))
+    sourced = nodes.withColumn("first", first).select("doc_id", "pos", "forks", F.coalesce("source", "first.doc_id").alias("source"), F.coalesce("source_pos", "first.pos").alias("source_pos")).where("source < doc_id")
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    follows = (F.lag("pos").over(by_doc) == F.col("pos") - 1) & (F.lag("source").over(by_doc) == F.col("source")) & (F.lag("source_pos").over(by_doc) == F.col("source_pos") - 1) & ~F.col("new")
-    paths = single.unionByName(split).dropDuplicates(["doc_id", "pos"]).withColumn("path", F.sum(F.when(follows, 0).otherwise(1)).over(by_doc))
+    follows = (F.lag("pos").over(by_doc) == F.col("pos") - 1) & (F.lag("source").over(by_doc) == F.col("source")) & (F.lag("source_pos").over(by_doc) == F.col("source_pos") - 1) & ~F.col("forks")
+    paths = sourced.withColumn("path", F.sum(F.when(follows, 0).otherwise(1)).over(by_doc))
     return paths.groupBy("doc_id", "path").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + window).cast("int").alias("size"), F.first("source").alias("source"), F.min("source_pos").alias("source_start")).drop("path")
 
 
-def deduplicated(docs: DataFrame, *, window: int = WINDOW, run: int = RUN) -> DataFrame:
+def deduplicated(docs: DataFrame, *, window: int = WINDOW, run: int = RUN, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and the removed word ranges (starts, ends) of every document."""
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = every.where("doc_id is not null")
     hashed = known.where("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))
     firsts = hashed.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = cut(hashed.join(firsts, "hash").where("doc_id > first").select("doc_id", "hash").distinct())
-    spans = repeated_spans(known, copies.select("doc_id"), window, run)  # not stored: all three joins with the texts then read one exchange of them
+    spans = stored(repeated_spans(known, copies.select("doc_id"), window, run, most))
     wanted = spans.select(F.col("source").alias("doc_id"), F.struct(F.col("source_start").alias("start"), "size").alias("w")).distinct().groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
     digests = known.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_digests, "source long, source_start int, size int, digest binary")
     checked = spans.join(digests.distinct(), ["source", "source_start", "size"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "digest")).alias("spans"))
