@@ -45,7 +45,7 @@ class Hashing:
         a = rng.normal(size=(unit.shape[1], self.tables * self.projections))
         b = rng.uniform(0, self.width, self.tables * self.projections)
         h = np.floor((unit @ a + b) / self.width).astype(np.int64).astype(np.uint64).reshape(len(unit), self.tables, self.projections)
-        out = np.zeros(h.shape[:2], np.uint64) + np.arange(self.tables, dtype=np.uint64)
+        out = np.zeros(h.shape[:2], np.uint64) + mixed(np.arange(1, self.tables + 1, dtype=np.uint64))
         for k in range(self.projections):
             out = mixed(out + h[:, :, k])
         return out.view(np.int64)
@@ -123,7 +123,7 @@ def _linked(cosine: float):
         for batch in in_slices(batches, 512):
             columns = [batch.column(k).to_pylist() for k in range(9)]
             x = batch.column(9)
-            for k, own in enumerate(zip(*columns[:4], strict=True)):
+            for k, own in enumerate(zip(*columns[:5], strict=True)):
                 if own != key:
                     if len(rows) > 1:
                         found += block(rows)
@@ -153,7 +153,7 @@ def classes(vectors: DataFrame, *, cosine: float = COSINE, hashing: Hashing | No
     dealt = each.join(sizes, ["kind", "t", "bucket"]).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     # the rows of part p meet those of every part q: the lower part is the left side, and one part alone is both
     blocks = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).select(
-        F.xxhash64("kind", "bucket").alias("key"), "kind", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "t", "vec_id", "copies", F.signum(F.col("part") - F.col("q")).cast("int").alias("side"), "buckets", "x"
+        F.xxhash64("kind", "t", "bucket").alias("key"), "kind", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "t", "vec_id", "copies", F.signum(F.col("part") - F.col("q")).cast("int").alias("side"), "buckets", "x"
     )
     ordered = blocks.repartition("key", "kind", "i", "j", "t").sortWithinPartitions("key", "kind", "i", "j", "t")
     links = ordered.mapInArrow(_linked(cosine), "vec_id long, links long, root long")
