@@ -151,21 +151,23 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
 
     Overlapping spans are replaced as one, by the name of the one that starts first. n_chars follows the new text if there is such a column.
     """
-    found = find_spans(docs, **options).where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("doc_id").alias("f_id"), "text_hash", F.array_sort(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("found")).distinct()
+    spans = F.array_sort(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found = find_spans(docs, **options).where((F.size("base") > 0) | (F.size("terms") > 0)).select("doc_id", "text_hash", spans.alias("found")).distinct()
     names = F.create_map(*(F.lit(x) for k in KINDS for x in (k, f"[{k.upper()}]")), F.lit("generalise"), F.lit("[TERM]"), F.lit("remove"), F.lit(""))
 
     def step(acc, s):
         inside = s["start"] < acc["at"]
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        gap = F.substring(F.col("row.text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.element_at(names, s["kind"]))).alias("out"))
 
-    new = F.aggregate("found", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["f_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["text_hash"]), "left")
-    text = F.when(F.col("found").isNotNull(), new).otherwise(docs["text"])
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    new = F.aggregate("found", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("row.text"), (acc["at"] + 1).cast("int"), F.length("row.text"))))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of docs can clash
+    joined = rows.join(found, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("text_hash")), "left")
+    changed = joined.select("row", F.col("found").isNotNull().alias("hit"), F.when(F.col("found").isNotNull(), new).otherwise(F.col("row.text")).alias("new"))
+    out = {c: F.col(f"row.{c}") for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("hit"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return changed.select(*(x.alias(c) for c, x in out.items()))
 
 
 def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
