@@ -81,7 +81,8 @@ def anchors(docs: DataFrame, window: int, run: int, most: int) -> DataFrame:
         doc, anchor = doc[order], anchor[order]
         lonely = new & np.append(new[1:], True)
         key = np.where(new, anchor, mixed(anchor ^ doc.view(np.uint64)))
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(anchor.view(np.int64), mask=lonely), pa.array(new)], names=["key", "doc_id", "anchor", "first"])
+        by_doc = np.argsort(doc, kind="stable")  # rows of one document together compress well
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[by_doc]), pa.array(doc[by_doc]), pa.array(anchor.view(np.int64)[by_doc], mask=lonely[by_doc]), pa.array(new[by_doc])], names=["key", "doc_id", "anchor", "first"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, held = [], [], 0
@@ -121,8 +122,10 @@ def _edges(window: int, run: int, most: int):
         group = np.cumsum(start) - 1
         forked = np.bincount(group, forks) > 0
         key = np.where(travels, node[order], mixed(node[order] ^ (doc[order] * 31 + pos[order]).view(np.uint64)))
+        columns = (key.view(np.int64), after[order], doc[order], pos[order], doc[first], pos[first], forked[group])
+        by_doc = np.lexsort((pos[order], doc[order]))
         return pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(after[order]), pa.array(doc[order]), pa.array(pos[order]), pa.array(doc[first], mask=travels), pa.array(pos[first], mask=travels), pa.array(forked[group], mask=travels)],
+            [pa.array(x[by_doc], mask=travels[by_doc] if k > 3 else None) for k, x in enumerate(columns)],
             names=["key", "after", "doc_id", "pos", "source", "source_pos", "forks"],
         )
 
