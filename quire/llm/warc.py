@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import shared_dir, table
+from quire.llm.common import binary, in_slices, shared_dir, stored, table
 
 SMALLEST_REVISIT = 100
 END = "\r\n\r\n"
-RECORDS = "file string, origin string, number int, total long, kind string, page_id long, url string, digest string, refers_to string, block binary"
+RECORDS = "origin string, number int, total long, page_id long, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, block binary"
 PAYLOADS = "page_id long, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -112,26 +112,6 @@ def parse_archive(content: bytes) -> Iterator[dict]:
             yield head | {"block": block}
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("block", pa.binary())])
-    for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            held, rows = 0, []
-            for x in parse_archive(content.as_py()):
-                own = x["warc-type"] != "continuation"
-                rows.append({
-                    "file": path.as_py(), "origin": x["warc-record-id"] if own else x["warc-segment-origin-id"], "number": int(x.get("warc-segment-number", 0)),
-                    "total": int(x["warc-segment-total-length"]) if "warc-segment-total-length" in x else None, "kind": x["warc-type"] if own else None,
-                    "page_id": _page_number(x["warc-record-id"]) if own else None, "url": x.get("warc-target-uri"),
-                    "digest": x["warc-payload-digest"].removeprefix("sha256:") if own else None, "refers_to": x.get("warc-refers-to"), "block": x["block"],
-                })
-                held += len(x["block"])
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    held, rows = 0, []
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-
 def dechunked(body: bytes) -> bytes:
     """The payload of a chunked body; extensions and trailers are passed over."""
     out, at = [], 0
@@ -151,21 +131,49 @@ def payload_of(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def _decoded(with_payload: bool):
+def _checked(block: bytes, digest: str, page: int | None) -> bytes:
+    data = payload_of(block)
+    if hashlib.sha256(data).hexdigest() != digest:
+        raise ValueError(f"the payload of page {page} does not have the digest that its record states")
+    return data
+
+
+def _parsed(with_payload: bool):
+    """Whole records decoded and checked; segments with their block."""
+    schema = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("block", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {k: [] for k in ("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload")}
-            for x in zip(*(batch.column(n) for n in ("page_id", "url", "kind", "refers_to", "digest", "block")), strict=True):
-                page, url, kind, refers, digest, block = (v.as_py() for v in x)
-                size = data = None
-                if kind == "response":
-                    data = payload_of(block)
-                    size = len(data)
-                    if hashlib.sha256(data).hexdigest() != digest:
-                        raise ValueError(f"the payload of page {page} does not have the digest that its record states")
-                for k, v in zip(out, (page, url, kind, refers, size, digest, data if with_payload else None), strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=list(out))
+            for content in batch.column(0):
+                held, rows = 0, []
+                for x in parse_archive(content.as_py()):
+                    own, number = x["warc-type"] != "continuation", int(x.get("warc-segment-number", 0))
+                    row = {"number": number, "url": x.get("warc-target-uri"), "refers_to": x.get("warc-refers-to")}
+                    if own:
+                        row |= {"page_id": _page_number(x["warc-record-id"]), "record_type": x["warc-type"], "payload_digest": x["warc-payload-digest"].removeprefix("sha256:")}
+                    if number:
+                        row |= {"origin": x["warc-record-id"] if own else x["warc-segment-origin-id"], "total": int(x["warc-segment-total-length"]) if "warc-segment-total-length" in x else None, "block": x["block"]}
+                    elif x["warc-type"] == "response":
+                        data = _checked(x["block"], row["payload_digest"], row["page_id"])
+                        row |= {"payload_bytes": len(data), "payload": data if with_payload else None}
+                    rows.append(row)
+                    held += len(x["block"]) if number or with_payload else 200
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        held, rows = 0, []
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
+
+
+def _decoded(with_payload: bool):
+    """The payloads of reassembled records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, 64):
+            data = [_checked(b, d, p) for b, d, p in zip(binary(batch.column(5)), batch.column(4).to_pylist(), batch.column(0).to_pylist(), strict=True)]
+            columns = [*(batch.column(k) for k in range(4)), pa.array(map(len, data), pa.int64()), batch.column(4), pa.array(data if with_payload else [None] * len(data), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
     return run
 
@@ -173,25 +181,23 @@ def _decoded(with_payload: bool):
 def read_archive(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
     """One row a logical record: page_id, url, record_type, refers_to (a page_id), payload_bytes, payload_digest and payload.
 
-    A revisit has the length of the payload that it refers to and, as in the archive, no payload of its own.
+    A revisit has, as in the archive, no payload of its own and no length; with_lengths() fills that in. Files are
+    parsed once: what is not payload is stored and read by what follows; with payloads they are parsed twice.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    records = files.mapInArrow(_parsed, RECORDS)
-    whole = records.where("number = 0")
+    records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed(with_payload), RECORDS)
+    records = records if with_payload else stored(records)
+    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     parts = (
         records.where("number > 0")
         .groupBy("origin")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"),
-            *(F.max(c).alias(c) for c in ("file", "kind", "page_id", "url", "digest", "refers_to")),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"), *(F.max(c).alias(c) for c in ("page_id", "url", "record_type", "refers_to", "payload_digest")))
         .withColumn("block", F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["block"])))
     )
-    sound = (F.octet_length("block") == F.col("total")) & (F.element_at("parts", -1)["number"] == F.size("parts")) & F.col("kind").isNotNull()
+    sound = (F.octet_length("block") == F.col("total")) & (F.element_at("parts", -1)["number"] == F.size("parts")) & F.col("record_type").isNotNull()
     joined = parts.withColumn("block", F.when(sound, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments are missing of "), F.col("origin")))))
-    names = ["page_id", "url", "kind", "refers_to", "digest", "block"]
-    rows = whole.select(names).unionByName(joined.select(names)).mapInArrow(_decoded(with_payload), PAYLOADS)
-    return rows.withColumn("refers_to", F.regexp_extract("refers_to", r"^<urn:x-page:(\d+)>$", 1).cast("long"))
+    whole = joined.select("page_id", "url", "record_type", "refers_to", "payload_digest", "block").mapInArrow(_decoded(with_payload), PAYLOADS)
+    rows = records.where("number = 0").select(names).unionByName(whole.select(names))
+    return rows.withColumn("refers_to", F.regexp_extract("refers_to", r"^<urn:x-page:(\d+)>$", 1).try_cast("long"))
 
 
 def with_lengths(rows: DataFrame) -> DataFrame:
