@@ -1,6 +1,6 @@
 """N-gram Jaccard join by PartEnum signatures, and the classes of near duplicates that it links.
 
-A document's set is its distinct five-word shingles (hashed to 64 bits). Sets fall into bands of sizes [l, 1.5 l].
+A document's set is its distinct five-word shingles (hashed to 64 bits). Sets fall into bands of sizes [l, 1.3 l].
 Two sets of one band, or a set and one at the foot of the next band, with Jaccard similarity of at least
 0.8 differ in at most k = 2r/9 elements, r the band's largest size. The feature domain is
 partitioned by hash into n = k + g + e parts: such sets agree on at least g + e of them. Every subset of g parts
@@ -8,13 +8,15 @@ makes a signature, so similar sets share one that no part of is empty, provided
 empty parts; sets with more of these also enumerate their empty parts. g is 2 for small sets (all pairs
 of parts) and 1 for large ones.
 
-Linear candidates. Equal sets are one class from the start. Signatures held by one document fall away in a
-grouped minimum that combines before the shuffle; for the others each document is compared with the smallest of
-its signature (a star, not all pairs), on the texts. Where documents of one signature are still in different
-classes after that, they are compared with a second centre, and then with each other across
-classes: in blocks of documents, and only if the parities of their sets (one bit for each hash bucket, which
-differ in at most as many bits as the sets do in elements, so nothing similar is lost) allow it. So the
-result is exact: every similar pair shares a signature, and is compared or already in one class.
+Linear candidates. Equal sets are one class from the start. Signatures are combined where they are made, so a
+frequent one reaches a task as one row for each combined batch. Each document is compared, on the texts, with
+one centre, the smallest document that it shares a signature with in a batch or as first of its batch: a
+star, not all pairs. Where documents of one signature are in different classes after that, they are compared
+across classes, clusters of them in blocks: pairs are never rows, a block gives the links that join its classes, and
+an exact bound (parities of hash buckets) spares most intersections. Similar sets agree on g + e parts, so a
+document must share a known number of signatures; those that share fewer (a passage in common, say) are
+in no similar pair and fall out before. So the result is whole: every
+similar pair shares a signature, and is compared or already in one class.
 
 Defined cases: no words (null or empty text): n_shingles 0, linked with nothing; fewer than five words: one
 shingle of all; repeated rows are equal sets; a null doc_id is kept and links nothing; empty tables
@@ -32,10 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import MIX_B, binary, connected_components, cut, flat_list, in_slices, mixed, rolled, stored, table, word_hashes
+from quire.llm.common import MIX_B, binary, connected_components, cut, in_slices, mixed, rolled, stored, table, word_hashes
 
-WIDTH, GROWTH = 5, 1.5
-BLOCK = 512
+WIDTH, GROWTH = 5, 1.3
+BLOCK = 2048
+#: A table of ids of so many rows (some 16 MB) is small enough to broadcast.
+BROADCAST_ROWS = 500_000
+#: The centre of a signature that no other document of its batch has.
+ALONE = -(2**63)
+#: Signatures that a task combines at a time.
+MOST = 1_000_000
 
 
 def shingles_of(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -64,7 +72,7 @@ def parameters(high: int) -> tuple[int, int, int]:
     if k == 0:
         return 1, 1, 0
     g = 2 if k <= 2 else 1
-    e = 1 + (k + 1) // 16
+    e = 4 + (k + 1) // 6  # few sets have more empty parts
     return k + g + e, g, e
 
 
@@ -74,7 +82,7 @@ def signatures(shingles: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarra
     own = next(k for k, (low, high) in enumerate(bounds) if low <= n <= high)
     out = []
     for band in (own, own + 1):
-        low, high = bounds[band] if band < len(bounds) else (bounds[-1][1] + 1, int((bounds[-1][1] + 1) * GROWTH))
+        low, high = bounds[band]
         if band > own and 5 * n < 4 * low:
             break
         parts, g, e = parameters(high)
@@ -89,51 +97,109 @@ def signatures(shingles: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarra
             out.append(tags[used])
         else:
             out.append(np.array([tags[list(c)].sum() for c in combinations(used, g)], np.uint64))
-    return mixed(np.concatenate(out))
-
-
-def parity(shingles: np.ndarray) -> bytes:
-    """One bit for each of a power of two of hash buckets, at least twice as many as elements."""
-    bits = 64
-    while bits < 2 * len(shingles):
-        bits *= 2
-    counts = np.bincount((mixed(shingles ^ MIX_B) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(counts.astype(np.uint8), bitorder="little").tobytes()
+        out[-1] = (mixed(out[-1]) & ~np.uint64(127)) | np.uint64(band & 127)  # the last seven bits tell the band
+    return np.concatenate(out)
 
 
 def _all_bands() -> list[tuple[int, int]]:
     return bands(1 << 40)
 
 
+def needed(shingles: np.ndarray, bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(band, number of signatures of that band that this set shares with any similar one, at least)."""
+    n, out = len(shingles), []
+    own = next(k for k, (low, high) in enumerate(bounds) if low <= n <= high)
+    for band in (own, own + 1):
+        if band > own and 5 * n < 4 * bounds[band][0]:
+            break
+        parts, g, e = parameters(bounds[band][1])
+        empty = parts - len(np.unique(mixed(shingles ^ np.uint64(band + 1)) % np.uint64(parts)))
+        agreeing = max(g, g + e - empty)
+        out.append((band, agreeing if g == 1 else agreeing * (agreeing - 1) // 2))
+    return out
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set, and its parities as longs."""
+    """doc_id, n_shingles, a 128-bit hash of the set, and needed() as bands and needs."""
+    bounds = _all_bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             sets = [shingles_of(t) for t in binary(batch.column(1))]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            longs = [np.frombuffer(parity(s), "<i8") for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), flat_list(np.concatenate(longs), [len(x) for x in longs], pa.int64())], names=["doc_id", "n_shingles", "digest", "parities"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, parities array<long>")
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(signature, doc_id) for every signature of every set that is not empty."""
+            needs = [needed(s, bounds) if len(s) else [] for s in sets]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
+            columns += [pa.array([[x[k] for x in n] for n in needs], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands", "needs"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<int>, needs array<int>")
+
+
+def _combined(keys: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+    """Signatures of some documents, combined: a signature's smallest document is its local centre, the others are members."""
+    doc, signature = np.concatenate(keys), np.concatenate(found).view(np.int64)
+    order = np.lexsort((doc, signature))
+    doc, signature = doc[order], signature[order]
+    new = np.append(True, signature[1:] != signature[:-1])
+    centre = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+    member = ~new
+    shared = np.append(member[1:], False) & new
+    by_doc = np.argsort(doc, kind="stable")  # rows of one document together compress well
+    told = np.where(member | shared, doc[centre], ALONE)
+    return pa.RecordBatch.from_arrays([pa.array(x[by_doc]) for x in (signature, doc, told)], names=["signature", "doc_id", "centre"])
+
+
+def occurrences(docs: DataFrame, most: int) -> DataFrame:
+    """The signatures of all sets that are not empty, combined over about `most` of them at a time."""
     bounds = _all_bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, found, held = [], [], 0
         for batch in in_slices(batches, 256):
-            keys, found = [], []
             for key, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
                 s = shingles_of(text)
                 if len(s):
                     found.append(signatures(s, bounds))
                     keys.append(np.full(len(found[-1]), key, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys))], names=["signature", "doc_id"])
-
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "signature long, doc_id long")
+                    held += len(found[-1])
+            if held > most:
+                yield _combined(keys, found)
+                keys, found, held = [], [], 0
+        if held:
+            yield _combined(keys, found)
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "signature long, doc_id long, centre long")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the rows of one shuffle partition: (signature, doc_id, centre) of signatures that several documents have."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    if not parts:
+        return
+    signature, doc, centre = (np.concatenate(p) for p in zip(*parts, strict=True))
+    parts.clear()
+    shared = doc == centre
+    local = shared | (centre == ALONE)
+    yield pa.RecordBatch.from_arrays([pa.array(x[~local]) for x in (signature, doc, centre)], names=["signature", "doc_id", "centre"])
+    signature, doc, shared = signature[local], doc[local], shared[local]
+    order = np.lexsort((doc, signature))
+    signature, doc, shared = signature[order], doc[order], shared[order]
+    same = np.append(False, signature[1:] == signature[:-1])
+    first = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))]
+    keep = np.flatnonzero(same | np.append(same[1:], False) | shared)
+    for at in range(0, len(keep), 1 << 18):
+        k = keep[at : at + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (signature, doc, first)], names=["signature", "doc_id", "centre"])
+
+
+def shared_signatures(docs: DataFrame, most: int) -> DataFrame:
+    """(signature, doc_id, centre) for every signature that at least two documents have; one exchange.
+
+    Local centres are dealt by their signature; members, which know their local centre, by both: so a signature
+    of any number of documents reaches one task only as one row for each combined batch.
+    """
+    local = (F.col("centre") == ALONE) | (F.col("centre") == F.col("doc_id"))
+    dealt = occurrences(docs, most).repartition(F.when(local, F.xxhash64("signature")).otherwise(F.xxhash64("signature", "centre")))
+    return dealt.mapInArrow(_shared, "signature long, doc_id long, centre long")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,69 +216,133 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
-def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids that are similar, judged on whole texts. Both joins read one exchange of the texts."""
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of doc_ids that are similar, judged on whole texts."""
     with_a = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
     both = with_a.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_compared, "a long, b long")
 
 
 def _with_class(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """The signatures whose documents are in more than one class, with the class of each; one signature for each set of documents."""
+    """(signature, doc_id, component) of the signatures whose documents are in more than one class."""
     known = shared.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("signature", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    split = known.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).where("low < high")
-    one = split.groupBy("n", "members").agg(F.min("signature").alias("signature"), F.max("high").alias("high"))
-    return known.join(one.select("signature", "n", "high"), "signature")
+    split = known.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
+    return known.join(split, "signature")
+
+
+def _blocks_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by block: links (a, b) that join all classes of a block between which two sets are similar."""
+    key, rows, out = None, [], []
+    for batch in in_slices(batches, 256):
+        columns = [batch.column(k).to_pylist() for k in range(6)]
+        texts = binary(batch.column(6))
+        for k, own in enumerate(zip(*columns[:3], strict=True)):
+            if own != key:
+                out += _linked_classes(rows)
+                key, rows = own, []
+            rows.append((columns[3][k], columns[4][k], columns[5][k], texts[k]))
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+            out = []
+    out += _linked_classes(rows)
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], names=["a", "b"])
+
+
+def _linked_classes(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
+    """rows: side (0: both, -1 and 1 meet each other), doc_id, class, text.
+
+    Sets differ in at least as many elements as the parities of their hash buckets do; only pairs that sizes and parities
+    allow, the likeliest first, are intersected, and none whose classes are joined already.
+    """
+    if len({r[2] for r in rows}) < 2:
+        return []
+    side, ids, of = (np.array([r[k] for r in rows]) for k in range(3))
+    sets = [shingles_of(r[3]) for r in rows]
+    sizes = np.array([len(s) for s in sets])
+    bits = 64
+    while bits < 8 * sizes.max():
+        bits *= 2
+    parities = np.stack([np.packbits(np.bincount((mixed(s ^ MIX_B) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.uint64) for s in sets])
+    likely, where = [], []
+    for i in range(len(rows) - 1):
+        j = np.arange(i + 1, len(rows))
+        j = j[(of[j] != of[i]) & ((side[j] != side[i]) | (side[i] == 0)) & (9 * np.abs(sizes[j] - sizes[i]) <= sizes[j] + sizes[i])]
+        if len(j):
+            differ = np.bitwise_count(parities[j] ^ parities[i]).sum(axis=1, dtype=np.int64)
+            ok = 9 * differ <= sizes[j] + sizes[i]
+            likely.append(differ[ok] / (sizes[j] + sizes[i])[ok])
+            where.append(np.stack([np.full(ok.sum(), i), j[ok]], axis=1))
+    if not where:
+        return []
+    pairs = np.concatenate(where)[np.argsort(np.concatenate(likely), kind="stable")]
+    root = {c: c for c in of.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
 
+    out = []
+    for i, j in pairs.tolist():
+        a, b = find(int(of[i])), find(int(of[j]))
+        if a != b:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= 80 * (sizes[i] + sizes[j] - both):
+                root[max(a, b)] = min(a, b)
+                out.append((int(ids[i]), int(ids[j])))
+    return out
 
-def _across(mixed_: DataFrame, about: DataFrame) -> DataFrame:
-    """Pairs of documents of one signature and different classes whose sizes and parities allow similarity; in blocks."""
-    rows = mixed_.join(about.select("doc_id", "n_shingles", "parities"), "doc_id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    left = rows.select("signature", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "component", "n_shingles", "parities")))
-    right = rows.select(F.col("signature").alias("of"), F.explode(F.sequence(F.lit(0), "block")).alias("i_b"), F.col("block").alias("j_b"), *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n_shingles", "parities")))
-    small = F.least(F.size("parities_a"), F.size("parities_b"))
 
-    def folded(p):
-        return F.transform(F.sequence(F.lit(0), small - 1), lambda k: F.aggregate(F.filter(p, lambda _, at: at % small == k), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x)))
+def _across(split: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the classes of documents that share signatures across classes.
 
-    same_size = F.size("parities_a") == F.size("parities_b")
-    pa_, pb_ = (F.when(same_size, F.col(c)).otherwise(folded(F.col(c))) for c in ("parities_a", "parities_b"))
-    differ = F.aggregate(F.zip_with(pa_, pb_, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    total = F.col("n_shingles_a") + F.col("n_shingles_b")
-    fits = (F.col("component_a") != F.col("component_b")) & (9 * F.abs(F.col("n_shingles_a") - F.col("n_shingles_b")) <= total) & ((F.col("i") < F.col("j")) | (F.col("doc_id_a") < F.col("doc_id_b"))) & (9 * differ <= total)
-    found = left.join(right, (F.col("signature") == F.col("of")) & (F.col("i") == F.col("i_b")) & (F.col("j") == F.col("j_b")) & fits)
-    return found.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")).distinct()
+    Documents chained by such signatures of one band are one cluster; its documents are compared block by
+    block, each pair of blocks in a task of its own if need be.
+    """
+    split = split.withColumn("member", F.xxhash64("doc_id", F.col("signature").bitwiseAND(F.lit(127))))
+    first = split.groupBy("signature").agg(F.min("member").alias("b"))
+    chained = connected_components(split.join(first, "signature").select(F.col("member").alias("a"), "b").distinct()).withColumnsRenamed({"node": "member", "component": "cluster"})
+    size = chained.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = split.select("member", "doc_id", "component").distinct().join(chained, "member").join(size, "cluster").join(texts, "doc_id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["cluster", "i", "j"]
+    dealt = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.signum(F.col("block") - F.col("other")).cast("int").alias("side"), "doc_id", "component", "text")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_blocks_linked, "a long, b long")
 
 
-def _second_star(split: DataFrame) -> DataFrame:
-    """For each signature the documents of other classes with the smallest of its last class."""
-    centre = split.where("component = high").groupBy("signature").agg(F.min("doc_id").alias("b"))
-    return split.where("component < high").join(centre, "signature").select(F.col("doc_id").alias("a"), "b").distinct()
+def _small(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, marked for a broadcast if it has at most BROADCAST_ROWS rows; Spark chooses otherwise."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, *, most: int = MOST) -> DataFrame:
     """doc_id, n_shingles and component_id of every document; see the module's text."""
     about = stored(described(docs))
     sets = about.where("doc_id is not null and n_shingles > 0")
     firsts = sets.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("first"))
     copies = sets.select("doc_id", "n_shingles", "digest").join(firsts, ["n_shingles", "digest"]).where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    holders = occurrences(docs)
-    repeated = holders.groupBy("signature").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").drop("last")
-    shared = holders.join(repeated, "signature").join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    shared = stored(shared.select("signature", "doc_id", "centre"))  # without documents whose set stands under a smaller doc_id
-    star = shared.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    edges = cut(copies.unionByName(similar(star, docs)))
+    copies = cut(copies)
+    every = stored(shared_signatures(docs, most))
+    band = F.col("signature").bitwiseAND(F.lit(127)).cast("int")
+    needs = sets.select("doc_id", F.explode(F.arrays_zip("bands", "needs")).alias("x")).groupBy("doc_id", F.col("x.bands").alias("band")).agg(F.min("x.needs").alias("need"))
+    enough = every.groupBy("doc_id", band.alias("band")).agg(F.count("*").alias("n")).join(needs, ["doc_id", "band"]).where("n >= need").select("doc_id", "band")
+    enough = _small(stored(enough.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")))
+    shared = stored(every.withColumn("band", band).join(enough, ["doc_id", "band"], "left_semi").select("signature", "doc_id", "centre"))
+
+    def of_firsts(pairs: DataFrame) -> DataFrame:
+        """Pairs of different sets: copies stand for the first document of their set."""
+        pairs = pairs.join(copies.select(F.col("a").alias("b"), F.col("b").alias("first")), "b", "left").withColumn("b", F.coalesce("first", "b")).drop("first")
+        return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    near = _small(stored(shared.select("doc_id").distinct()))
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(near, "doc_id", "left_semi"))
+    star = of_firsts(shared.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
+    star = stored(star.groupBy("a").agg(F.min("b").alias("b")))  # one centre for each document; the others count where it is not similar
+    edges = cut(copies.unionByName(similar(star, texts)))
     found = connected_components(edges)
-    for candidates in (_second_star, lambda split: _across(split, about)):
-        split = cut(_with_class(shared.select("signature", "doc_id"), found))
-        if split.isEmpty():
-            break
-        more = cut(similar(candidates(split), docs))
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            found = connected_components(edges)
+    split = cut(_with_class(shared.select("signature", "doc_id"), found))
+    if not split.isEmpty():
+        found = connected_components(edges.unionByName(cut(_across(split, texts))))
     return about.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
