@@ -4,10 +4,14 @@ A page is cut into tags and text once. Furniture (scripts, styles, menus, page h
 sidebars, notices, adverts, forms, reader comments; by element, role, id or class) is dropped with all it
 holds. What remains is a tree of containers with text blocks. Every block passes points to its container
 and half of them to the container above: one, one a comma, and one for each hundred characters, all
-discounted by the share of its characters inside links. The container with the most points is the
-article; siblings of it that score at least `sibling` of it, or are a prose block beside it, are kept
-too. Its blocks, in page order, are the text: character references decoded, white space inside a block
-made one space, trimmed, joined by one line end. Nothing else is dropped or cut.
+discounted by the share of its characters inside links. The container with the most points is in the
+article: the outermost article element around it, or else the main element, is kept with every block it
+holds, whatever the block's length or score. In a main element around the article, and on the whole page where
+there is neither element, everything else stays too but link lists (a quarter or more of the characters inside
+links, judged by container and, where that is mixed, by block). Outside an article or main element a
+container must also hold `sibling` of the best one's points, if it is no article itself. The blocks, in page
+order, are the text: character references decoded, white space inside a block made one space, trimmed,
+joined by one line end. Nothing else is dropped or cut.
 
 Defined cases: null or empty html gives an empty text, as does a page without text outside furniture;
 unclosed elements end with their container; a cut-off tag at the end of the page is markup, not text.
@@ -60,10 +64,11 @@ def is_furniture(name: str, attributes: str, inside_article: bool) -> bool:
 
 
 class Container:
-    __slots__ = ("points", "parent", "order", "parts")
+    __slots__ = ("name", "points", "mass", "chars", "linked", "parent", "parts")
 
-    def __init__(self, parent: Container | None):
-        self.parent, self.points, self.parts = parent, 0.0, []
+    def __init__(self, name: str, parent: Container | None):
+        self.name, self.parent, self.points, self.parts = name, parent, 0.0, []
+        self.mass, self.chars, self.linked = 0.0, 0, 0.0  # points, characters and linked ones of all blocks within
 
 
 def _finish(pieces: list[str], linked: int, into: Container) -> None:
@@ -73,13 +78,16 @@ def _finish(pieces: list[str], linked: int, into: Container) -> None:
         points = (1 + text.count(",") + len(text) / 100) * (1 - density)
         into.parts.append((text, density))
         into.points += points
+        into.mass += points
+        into.chars += len(text)
+        into.linked += len(text) * density
         if into.parent is not None:
             into.parent.points += points / 2
 
 
 def blocks_of(page: str, sibling: float = 0.2) -> list[str]:
     """The article's blocks in page order."""
-    root = Container(None)
+    root = Container("", None)
     stack: list[tuple[str, Container]] = []
     here, everything = root, [root]
     pieces: list[str] = []
@@ -130,38 +138,56 @@ def blocks_of(page: str, sibling: float = 0.2) -> list[str]:
             pieces, linked, in_link = [], 0, 0
             if name in CONTAINERS or name == "blockquote":
                 stack.append((name, here))
-                here = Container(here)
+                here = Container(name, here)
                 everything.append(here)
                 here.parent.parts.append(here)
                 articles += name == "article"
     _finish(pieces, linked, here)
+    return _selected(everything, sibling)
+
+
+def _around(c: Container) -> Iterator[Container]:
+    """The container and those around it, from the inside out."""
+    while c is not None:
+        yield c
+        c = c.parent
+
+
+def _selected(everything: list[Container], sibling: float) -> list[str]:
+    """The article's blocks; containers stand after the one around them."""
+    for c in reversed(everything[1:]):
+        c.parent.mass += c.mass
+        c.parent.chars += c.chars
+        c.parent.linked += c.linked
     best = max(everything, key=lambda c: c.points)
     if best.points <= 0:
         best = max(everything, key=lambda c: sum(len(p[0]) for p in c.parts if isinstance(p, tuple)))
     while best.parent is not None and best.parent.points > best.points * 0.9:
         best = best.parent
+    around = list(_around(best))
+    main = next((c for c in reversed(around) if c.name == "main"), None)
+    frame = next((c for c in reversed(around) if c.name == "article"), main or best)
+    marked_off = frame.name in ("article", "main")
+    least = max(2.0, sibling * best.points)
+    path = set(map(id, _around(frame)))
     out: list[str] = []
-
-    def gather(c: Container) -> None:
-        todo = list(reversed(c.parts))
-        while todo:
-            part = todo.pop()
-            if isinstance(part, Container):
-                todo += reversed(part.parts)
-            else:
+    # A part with the part of the page that it is in: "outside" an article or main element, in the "open", "whole" (all is kept)
+    todo = [(everything[0], "outside" if marked_off else "open")]
+    while todo:
+        part, place = todo.pop()
+        if isinstance(part, tuple):
+            if place == "whole" or part[1] < 0.25:
                 out.append(part[0])
-
-    if best.parent is None:
-        gather(best)
-        return out
-    for part in best.parent.parts:
-        if part is best:
-            gather(best)
-        elif isinstance(part, Container):
-            if part.points >= max(2.0, sibling * best.points):
-                gather(part)
-        elif part[1] < 0.25 and len(part[0]) >= 80:
-            out.append(part[0])
+            continue
+        if part is frame:
+            place = "whole"
+        elif part is main:
+            place = "open"
+        elif id(part) not in path and place != "whole":
+            if place == "outside" and part.mass < least and part.name not in ("article", "main"):
+                continue
+            place = "whole" if part.linked < 0.25 * part.chars else "open"
+        todo += [(x, place) for x in reversed(part.parts)]
     return out
 
 

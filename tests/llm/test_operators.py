@@ -350,6 +350,36 @@ def test_html_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def paragraphs(n, word="text"):
+    return [f"{word.title()} {k}, with words, commas and some more words so that it counts as prose." for k in range(n)]
+
+
+def marked_up(blocks, name="p"):
+    return "".join(f"<{name}>{x}</{name}>" for x in blocks)
+
+
+LINKS = "<ul>" + "".join(f'<li><a href="/{k}">Another page, number {k}</a></li>' for k in range(30)) + "</ul>"
+
+
+@pytest.mark.parametrize("name", ["article", "main", "div"])
+def test_html_text_keeps_whole_articles(name):
+    body, short = paragraphs(8), paragraphs(1, "short")
+    nested = f"<div>{LINKS}</div><{name}><h1>Title</h1><div><div class=body>{marked_up(body)}</div><p>Near</p></div><p>short close</p></{name}><div>{LINKS}</div>"
+    assert html_text.blocks_of(f"<html><body>{nested}</body></html>") == ["Title", *body, "Near", "short close"]
+    unequal = f"<{name}><section>{marked_up(body)}</section><section><h2>B</h2><div><p>Tiny.</p></div></section><section>{marked_up(short)}</section></{name}>"
+    assert html_text.blocks_of(f"<body>{LINKS}{unequal}</body>") == [*body, "B", "Tiny.", *short]
+    dominant = f"<{name}><p>Intro</p><ul>{marked_up(paragraphs(20), 'li')}</ul><h2>End</h2></{name}>"
+    assert html_text.blocks_of(f"<body>{dominant}{LINKS}</body>") == ["Intro", *paragraphs(20), "End"]
+
+
+def test_html_text_beside_the_article():
+    body = paragraphs(8)
+    article = f"<article><p>Intro</p>{marked_up(body)}{LINKS}</article>"
+    inside = ["Intro", *body, *(f"Another page, number {k}" for k in range(30))]
+    assert html_text.blocks_of(f"<main><h1>Title</h1><div><p>Lead</p></div>{article}<div>{LINKS}</div></main>") == ["Title", "Lead", *inside]
+    assert html_text.blocks_of(f"<body>{article}<div><p>Small print</p></div>{LINKS}<article><p>Second</p></article></body>") == [*inside, "Second"]
+
+
 def test_warc(spark, tmp_path):
     big = "".join(random.Random(1).choice("aé\n\r語 ") for _ in range(200_000))
     rows = [(1, "http://a/\r\nX: y", "é" * 60), (2, None, "é" * 60), (2, None, "é" * 60), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", big), (8, "u", "WARC/1.1\r\n\r\n" * 30), (None, "u", "é" * 60), (9, "u", big)]
