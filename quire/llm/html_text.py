@@ -14,7 +14,8 @@ order, are the text: character references decoded, white space inside a block ma
 joined by one line end. Nothing else is dropped or cut.
 
 Defined cases: null or empty html gives an empty text, as does a page without text outside furniture;
-unclosed elements end with their container; a cut-off tag at the end of the page is markup, not text.
+unclosed elements, dropped ones too, end where HTML lets their end tag be left out (the next block, item, row
+or cell) or else with their container, and an unclosed dropped one before an article or main element; a cut-off tag at the end of the page is markup, not text.
 """
 
 from __future__ import annotations
@@ -46,6 +47,12 @@ _END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _SPACE = re.compile(r"\s+")
 #: A paragraph or list item ends where one of these starts.
 _CLOSES_P = BLOCKS | CONTAINERS | FURNITURE | {"hr"} - {"caption"}
+#: What the start of an element ends if it is open, and the elements that hide what is open around them from it. All else that starts a block ends a paragraph.
+_P_ENDS_AT = frozenset("address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre search section table ul".split())
+_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"})}
+_ENDS |= dict.fromkeys(("dd", "dt"), ({"dd", "dt"}, {"dl"})) | dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", "table"})) | {"tr": ({"tr", "td", "th"}, {"table"})}
+_ENDS |= dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}))
+_P_HIDDEN_BY = frozenset("td th caption table button object template".split())
 
 
 def is_furniture(name: str, attributes: str, inside_article: bool) -> bool:
@@ -64,10 +71,11 @@ def is_furniture(name: str, attributes: str, inside_article: bool) -> bool:
 
 
 class Container:
-    __slots__ = ("name", "points", "mass", "chars", "linked", "parent", "parts")
+    __slots__ = ("name", "points", "mass", "chars", "linked", "parent", "parts", "unclosed")
 
     def __init__(self, name: str, parent: Container | None):
         self.name, self.parent, self.points, self.parts = name, parent, 0.0, []
+        self.unclosed: list[str] = []  # blocks open in it
         self.mass, self.chars, self.linked = 0.0, 0, 0.0  # points, characters and linked ones of all blocks within
 
 
@@ -111,6 +119,8 @@ def blocks_of(page: str, sibling: float = 0.2) -> list[str]:
             elif name in BLOCKS or name in CONTAINERS or name == "br" or name == "header":
                 _finish(pieces, linked, here)
                 pieces, linked = [], 0
+                if name in here.unclosed:
+                    del here.unclosed[len(here.unclosed) - 1 - here.unclosed[::-1].index(name) :]
                 depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
                 if depth is not None:
                     in_link = 0
@@ -129,13 +139,17 @@ def blocks_of(page: str, sibling: float = 0.2) -> list[str]:
             if name in FURNITURE or name in CONTAINERS or name in BLOCKS:
                 _finish(pieces, linked, here)
                 pieces, linked = [], 0
-            at = _end_of(page, at, name)
+                _close(here.unclosed, name)
+            at = _end_of(page, at, name, here)
             continue
         if name == "a":
             in_link = 1
         elif name in _CLOSES_P:
             _finish(pieces, linked, here)
             pieces, linked, in_link = [], 0, 0
+            _close(here.unclosed, name)
+            if name in BLOCKS and name != "blockquote":
+                here.unclosed.append(name)
             if name in CONTAINERS or name == "blockquote":
                 stack.append((name, here))
                 here = Container(name, here)
@@ -191,18 +205,63 @@ def _selected(everything: list[Container], sibling: float) -> list[str]:
     return out
 
 
-def _end_of(page: str, at: int, name: str) -> int:
-    """Where a dropped element ends: its own end tag, nested ones of its name counted; the page's end if it has none."""
+def _close(names: list[str], name: str) -> None:
+    """Takes the open elements off that the start of an element ends."""
+    if name in _P_ENDS_AT:
+        _close_any(names, {"p"}, _P_HIDDEN_BY)
+    if name in _ENDS:
+        _close_any(names, *_ENDS[name])
+
+
+def _close_any(names: list[str], ended: set[str], hidden_by: set[str]) -> None:
+    first = None
+    for k in range(len(names) - 1, -1, -1):
+        if names[k] in hidden_by:
+            break
+        if names[k] in ended:
+            first = k
+    if first is not None:
+        del names[first:]
+
+
+def _end_of(page: str, at: int, name: str, here: Container) -> int:
+    """Where a dropped element of the container ends: with its own end tag, else where HTML lets it be left out, else before the end tag of what is open around it."""
     if name in RAW:
         m = _END[name].search(page, at)
-        return page.find(">", m.end()) + 1 or len(page) if m else len(page)
-    depth = 1
-    for m in re.compile(rf"<!--.*?(?:-->|$)|<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I | re.S).finditer(page, at):
-        if m[1] is not None:
-            depth += -1 if m[1] else 1
-            if not depth:
-                return m.end()
-    return len(page)
+        if m:
+            return page.find(">", m.end()) + 1 or len(page)
+        if name in ("script", "style", "textarea", "title", "iframe"):
+            return len(page)
+    names = [x for c in reversed(list(_around(here))) for x in (c.name, *c.unclosed)]
+    outer, text = len(names), -1  # text: where an article starts
+    names.append(name)
+    while at < len(page):
+        m = _TAG.search(page, at)
+        if not m:
+            break
+        at, tag = m.end(), (m[2] or "").lower()
+        if not tag or tag in VOID and tag != "hr":
+            continue
+        if m[1]:
+            k = next((k for k in range(len(names) - 1, -1, -1) if names[k] == tag), -1)
+            if k == outer:
+                return at
+            if 0 <= k < outer:
+                return m.start() if text < 0 else text
+            if k > 0:
+                del names[k:]
+            continue
+        if tag in ("article", "main") and text < 0:
+            text = m.start()
+        _close(names, tag)
+        if len(names) <= outer:
+            return m.start()
+        if tag in RAW:
+            end = _END[tag].search(page, at)
+            at = end.end() if end else at if tag in ("noscript", "template", "svg") else len(page)
+        elif tag != "hr":
+            names.append(tag)
+    return len(page) if text < 0 else text
 
 
 def main_text(page: str | None) -> str:

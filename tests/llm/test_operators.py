@@ -380,6 +380,21 @@ def test_html_text_beside_the_article():
     assert html_text.blocks_of(f"<body>{article}<div><p>Small print</p></div>{LINKS}<article><p>Second</p></article></body>") == [*inside, "Second"]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><p class="ad">Buy now<p>First paragraph</p><p>Second</p></article>', ["First paragraph", "Second"]),
+    ('<article><p>One<p class="ad">Buy <b>now</b><ul><li class="share">Send<li>First<li class="share">Post</ul><p>Two</article>', ["One", "First", "Two"]),
+    ('<article><ul><li>One<ul><li class="share">Send</ul><li class="share">Post<ul><li>x</ul><li>Two</ul><p>End</article>', ["One", "Two", "End"]),
+    ('<article><dl><dt class="ad">Buy<dd>One<dt>Two<dd class="ad">Now</dl><p>End</article>', ["One", "Two", "End"]),
+    ('<article><table><tr class="ad"><td>Buy<td>now<tr><td class="promo">x<td>One<td class="promo">y<tr><td>Two</table><p>End</article>', ["One", "Two", "End"]),
+    ('<body><div><article><p>One</p><div class="ad">Buy<p>now</p></article></div><p>Two</p></body>', ["One", "Two"]),
+    ('<body><nav><ul><li>Home</ul><article><p>One</p></article></body>', ["One"]),
+    ('<body><main><p>One <span class="share">Send</p><p>Two</p><aside>Else</main><p>Three</p></body>', ["One", "Two", "Three"]),
+    ('<body><main><nav><a title="</nav>">x</a><!-- </nav> --><nav>y</nav>z</nav><p>One</p><noscript>Off</main><p>Two</p>', ["One", "Two"]),
+])
+def test_html_text_unclosed_furniture(page, want):
+    assert html_text.blocks_of(page) == want
+
+
 def test_warc(spark, tmp_path):
     big = "".join(random.Random(1).choice("aé\n\r語 ") for _ in range(200_000))
     rows = [(1, "http://a/\r\nX: y", "é" * 60), (2, None, "é" * 60), (2, None, "é" * 60), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", big), (8, "u", "WARC/1.1\r\n\r\n" * 30), (None, "u", "é" * 60), (9, "u", big)]
