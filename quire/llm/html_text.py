@@ -2,7 +2,10 @@
 
 A page is cut into tags and text once. Furniture (scripts, styles, menus, page headers and footers,
 sidebars, notices, adverts, forms, reader comments; by element, role, id or class) is dropped with all it
-holds. What remains is a tree of containers with text blocks. Every block passes points to its container
+holds. A container that only an id or class marks may be the layout's wrapper ("has-sidebar"): it stays if it holds
+a main element, or an article of at least `sibling` of the page's best points, or, marked by a part of
+a word only, more points than what is not marked in the article around it (or on the page, if it has no article elsewhere)
+and half of those of the largest such container. What remains is a tree of containers with text blocks. Every block passes points to its container
 and half of them to the container above: one, one a comma, and one for each hundred characters, all
 discounted by the share of its characters inside links. The container with the most points is in the
 article: the outermost article element around it, or else the main element, is kept with every block it
@@ -41,6 +44,11 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|sidebar|rail|widget|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|cookie|cookies|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|comment|comments|disqus|reply|replies|respond|pagination|pager|toolbar|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Words that begin like this mark what an element holds, not how a page is laid out.
+_SURELY = re.compile(r"(?:^|\s)(?:comments?|disqus|repl(?:y|ies)|respond|ads?|advert\w*|sponsor\w*|cookies?|consent|gdpr|newsletter)(?:$|[\s_-])", re.I)
+#: Blocks that can hold others, so that a mark on them may be the layout's; other blocks go with their mark.
+_HOLDERS = frozenset("blockquote dd dt li tbody td tfoot th thead tr".split())
+_HELD = re.compile(r"<(?:article|main|section|div|p|h[1-6]|ul|ol|dl|table|td|blockquote|pre)(?=[\s/>])", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|</[^a-zA-Z>][^>]*(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
@@ -63,19 +71,34 @@ def is_furniture(name: str, attributes: str, inside_article: bool) -> bool:
         return False
     for key, *value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(value)
-        if key == "role" and value.lower() in ROLES or key in ("id", "class") and MARKS.search(value) and not (inside_article and re.fullmatch(r"(?:\S*[\s_-])?header", value, re.I)):
+        if key == "role" and value.lower() in ROLES:
             return True
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
     return bool(re.search(r"\shidden(?=\s|$)", attributes))
 
 
+def mark_of(name: str, attributes: str, inside_article: bool) -> str:
+    """Whether an id or class marks an element as furniture: "word" by a whole word or what it surely holds, "part" by a part of a word, or "" (an article: only as a reader's comment)."""
+    found = ""
+    if attributes and name not in ("html", "body", "main"):
+        for key, *value in _ATTRIBUTE.findall(attributes):
+            value = "".join(value)
+            if key.lower() in ("id", "class") and MARKS.search(value) and not (inside_article and re.fullmatch(r"(?:\S*[\s_-])?header", value, re.I)):
+                if _SURELY.search(value) or name != "article" and any(MARKS.fullmatch(x) for x in value.split()):
+                    return "word"
+                found = "part"
+    return "" if name == "article" else found
+
+
 class Container:
-    __slots__ = ("name", "points", "mass", "chars", "linked", "parent", "parts", "unclosed")
+    __slots__ = ("name", "points", "mass", "chars", "linked", "parent", "parts", "unclosed", "mark", "plain", "articles")
 
-    def __init__(self, name: str, parent: Container | None):
+    def __init__(self, name: str, parent: Container | None, mark: str = ""):
         self.name, self.parent, self.points, self.parts = name, parent, 0.0, []
         self.unclosed: list[str] = []  # blocks open in it
+        self.mark = mark
+        self.plain, self.articles = 0.0, 0  # points that no mark within is about; articles with text
         self.mass, self.chars, self.linked = 0.0, 0, 0.0  # points, characters and linked ones of all blocks within
 
 
@@ -84,13 +107,7 @@ def _finish(pieces: list[str], linked: int, into: Container) -> None:
     if text:
         density = min(1.0, linked / len(text))
         points = (1 + text.count(",") + len(text) / 100) * (1 - density)
-        into.parts.append((text, density))
-        into.points += points
-        into.mass += points
-        into.chars += len(text)
-        into.linked += len(text) * density
-        if into.parent is not None:
-            into.parent.points += points / 2
+        into.parts.append((text, density, points))
 
 
 def blocks_of(page: str, sibling: float = 0.2) -> list[str]:
@@ -100,8 +117,22 @@ def blocks_of(page: str, sibling: float = 0.2) -> list[str]:
     here, everything = root, [root]
     pieces: list[str] = []
     linked, in_link, articles, at, n = 0, 0, 0, 0, len(page)
+    limits: list[tuple[int, int]] = []  # where marked elements end that end tags do not tell, and their place in the stack
     while at < n:
         m = _TAG.search(page, at)
+        for reached in (at, m.start() if m else at):
+            if limits and reached >= limits[-1][0]:
+                if reached > at:
+                    pieces.append(page[at:reached])
+                    linked += (reached - at) * in_link
+                    at = reached
+                _finish(pieces, linked, here)
+                pieces, linked, in_link = [], 0, 0
+                while limits and reached >= limits[-1][0]:
+                    depth = limits.pop()[1]
+                    articles -= sum(x == "article" for x, _ in stack[depth:])
+                    here = stack[depth][1]
+                    del stack[depth:]
         text = page[at : m.start()] if m else page[at:]
         if text:
             pieces.append(text)
@@ -127,22 +158,40 @@ def blocks_of(page: str, sibling: float = 0.2) -> list[str]:
                     articles -= sum(x == "article" for x, _ in stack[depth:])
                     here = stack[depth][1]
                     del stack[depth:]
+                    while limits and limits[-1][1] >= depth:
+                        limits.pop()
             continue
         attributes = m[3] or ""
         if name in VOID:
             if name in ("br", "hr", "img", "wbr"):
                 pieces.append("" if name == "wbr" else " ")
             continue
-        if name in RAW or is_furniture(name, attributes, articles > 0):
+        mark = mark_of(name, attributes, articles > 0)
+        end = 0
+        dropped = name in RAW or is_furniture(name, attributes, articles > 0)
+        if mark and not dropped and (name not in CONTAINERS or name in _ENDS):
+            end = _end_of(page, at, name, here)
+            if attributes.endswith("/") or not (name in _HOLDERS or name not in BLOCKS and _HELD.search(page, at, end)):
+                dropped = True
+        if dropped:
             if attributes.endswith("/") or name == "head":
                 continue
             if name in FURNITURE or name in CONTAINERS or name in BLOCKS:
                 _finish(pieces, linked, here)
                 pieces, linked = [], 0
                 _close(here.unclosed, name)
-            at = _end_of(page, at, name, here)
+            at = end or _end_of(page, at, name, here)
             continue
-        if name == "a":
+        if end:
+            _finish(pieces, linked, here)
+            pieces, linked, in_link = [], 0, 0
+            _close(here.unclosed, name)
+            limits.append((end, len(stack)))
+            stack.append(("", here))
+            here = Container(name, here, mark)
+            everything.append(here)
+            here.parent.parts.append(here)
+        elif name == "a":
             in_link = 1
         elif name in _CLOSES_P:
             _finish(pieces, linked, here)
@@ -152,11 +201,13 @@ def blocks_of(page: str, sibling: float = 0.2) -> list[str]:
                 here.unclosed.append(name)
             if name in CONTAINERS or name == "blockquote":
                 stack.append((name, here))
-                here = Container(name, here)
+                here = Container(name, here, mark)
                 everything.append(here)
                 here.parent.parts.append(here)
                 articles += name == "article"
     _finish(pieces, linked, here)
+    if any(c.mark and c.name != "article" for c in everything):
+        _drop_marked(everything, sibling)
     return _selected(everything, sibling)
 
 
@@ -167,12 +218,82 @@ def _around(c: Container) -> Iterator[Container]:
         c = c.parent
 
 
+def _measure(everything: list[Container]) -> None:
+    """Sums of what containers hold; containers stand after the one around them."""
+    for c in everything:
+        c.points = c.mass = c.plain = c.linked = 0.0
+        c.chars = c.articles = 0
+    for c in reversed(everything):
+        own = [p for p in c.parts if isinstance(p, tuple)]
+        points = sum(p[2] for p in own)
+        c.points += points
+        c.mass += points
+        c.plain += points
+        c.chars += sum(len(p[0]) for p in own)
+        c.linked += sum(len(p[0]) * p[1] for p in own)
+        c.articles += c.name in ("article", "main") and not c.mark and c.mass > 0
+        if c.parent is not None:
+            c.parent.points += points / 2
+            c.parent.mass += c.mass
+            c.parent.plain += 0 if c.mark and c.name != "article" else c.plain
+            c.parent.chars += c.chars
+            c.parent.linked += c.linked
+            c.parent.articles += c.articles
+
+
+def _drop_marked(everything: list[Container], sibling: float) -> None:
+    """Empties the containers that an id or class marks, but those that are wrappers of the article."""
+    _measure(everything)
+    inside: set[int] = set()  # containers in a marked one
+    best = 0.0
+    for c in everything:
+        if c.mark and c.name != "article" or id(c.parent) in inside:
+            inside.add(id(c))
+        if id(c) not in inside:
+            best = max(best, c.points)
+        if c.name in ("article", "main") and not c.mark:
+            best = max(best, c.mass)
+    kept: set[int] = set()
+    for c in everything:
+        if c.name == "main" and c.mass > 0 or c.name == "article" and not c.mark and c.mass > 0 and c.mass >= sibling * best:
+            around = c.parent
+            while around is not None and id(around) not in kept:
+                kept.add(id(around))
+                around = around.parent
+    marked = [c for c in everything if c.mark and c.name != "article"]
+    for c in marked:
+        if id(c) in kept:
+            c.mark = ""
+        elif c.mark == "word":
+            c.parts = []
+    _measure(everything)
+    undecided = [c for c in marked if c.mark == "part" and c.mass > 0]
+    half = 0.5 * max((c.plain for c in undecided), default=0.0)
+    page = everything[0]
+    scopes = {id(page): page}  # the article around, or the page
+    gone: set[int] = set()
+    for c in everything[1:]:
+        scope = scopes[id(c.parent)]
+        scopes[id(c)] = c if c.name in ("article", "main") and not c.mark else scope
+        if id(c.parent) in gone:
+            gone.add(id(c))
+        elif c.mark == "part" and c.mass > 0:
+            if c.mass > scope.plain and c.mass >= half and (scope is not page or page.articles == c.articles):
+                c.mark = ""
+                while scope is not page:
+                    scope.plain += c.plain
+                    scope = scopes[id(scope.parent)]
+                page.plain += c.plain
+            else:
+                gone.add(id(c))
+    for c in marked:
+        if c.mark:
+            c.parts = []
+
+
 def _selected(everything: list[Container], sibling: float) -> list[str]:
-    """The article's blocks; containers stand after the one around them."""
-    for c in reversed(everything[1:]):
-        c.parent.mass += c.mass
-        c.parent.chars += c.chars
-        c.parent.linked += c.linked
+    """The article's blocks."""
+    _measure(everything)
     best = max(everything, key=lambda c: c.points)
     if best.points <= 0:
         best = max(everything, key=lambda c: sum(len(p[0]) for p in c.parts if isinstance(p, tuple)))

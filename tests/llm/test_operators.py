@@ -395,6 +395,32 @@ def test_html_text_unclosed_furniture(page, want):
     assert html_text.blocks_of(page) == want
 
 
+SIDE = "<div class=sidebar><p>More, here</p></div><div id='cookie-notice'>We, use, cookies</div>"
+
+
+@pytest.mark.parametrize("mark", ['id="page" class="site has-sidebar"', 'class="no-sidebar"', 'class="with-nav"', 'class="header-fixed"', 'class="related-layout"', 'id="with-comments"'])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_html_text_marked_wrappers(mark, inner):
+    body, other = paragraphs(8), paragraphs(2, "nice post")
+    inside = f"<{inner}><h1>Title</h1>{marked_up(body)}</{inner}>"
+    comments = f"<section class=comments>{marked_up(other * 9)}</section>"
+    assert html_text.blocks_of(f"<body><div {mark}>{SIDE}{inside}{comments}</div></body>") == ["Title", *body]
+    assert html_text.blocks_of(f"<body>{SIDE}<div {mark}><div class='x with-share'>{inside}</div>{SIDE}</div>{comments}</body>") == ["Title", *body]
+    assert html_text.blocks_of(f"<body><table><tr><td {mark}>{inside}{SIDE}<td class=sidebar><p>Side</p></table>{comments}</body>") == ["Title", *body]
+    assert html_text.blocks_of(f"<body><x-app {mark}>{inside}{SIDE}</x-app><p class=notice>End</p></body>") == ["Title", *body]
+
+
+def test_html_text_marks_that_hold_no_article():
+    body, teaser = paragraphs(8), "<article><h2>Next</h2><p>Read.</p></article>"
+    beside = f'<div class="related-posts">{teaser}</div><ul class="share-list"><li>Send</ul><ol class="comment-list"><li><article class="comment-body">{marked_up(body * 3)}</article></ol>'
+    for name in ("article", "main", "div"):
+        assert html_text.blocks_of(f"<body><{name}>{marked_up(body)}</{name}>{beside}</body>") == body
+        assert html_text.blocks_of(f"<body><{name}>{marked_up(body[:4])}<div class='with-ad'>{SIDE}{marked_up(body[4:])}</div>{beside}</{name}></body>")[:4] == body[:4]
+    assert html_text.blocks_of(f"<body><article><h1>A</h1><div class='body with-share'>{marked_up(body)}</div>{SIDE}</article></body>") == ["A", *body]
+    several = "".join(f"<div class='with-share'><article>{marked_up(paragraphs(4, w))}</article></div>" for w in "abc")
+    assert html_text.blocks_of(f"<body>{several}{SIDE}</body>") == [x for w in "abc" for x in paragraphs(4, w)]
+
+
 def test_warc(spark, tmp_path):
     big = "".join(random.Random(1).choice("aé\n\r語 ") for _ in range(200_000))
     rows = [(1, "http://a/\r\nX: y", "é" * 60), (2, None, "é" * 60), (2, None, "é" * 60), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", big), (8, "u", "WARC/1.1\r\n\r\n" * 30), (None, "u", "é" * 60), (9, "u", big)]
