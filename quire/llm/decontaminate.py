@@ -10,10 +10,11 @@ position; the hit words of a document are the merged spans of its occurrences.
 
 The benchmark is the broadcast side: it is split by size into parts of at most `part_words` words (a proven
 bound on what a task receives), and each part is searched over all documents. With one part, as for
-any benchmark of usual size, there is no shuffle at all; more parts are merged by document.
+any benchmark of usual size, there is no shuffle at all; the hits of more parts are merged by doc_id and text.
 
 Defined cases: null or wordless text has no words and no hits; items that are null or wordless have no
-window; equal items all count, as do equal item_ids (once); extra columns are ignored; empty tables give
+window; equal items all count, as do equal item_ids (once) and items without an id (as one, null); every row of documents
+gives a row and is judged by itself, also where doc_ids are null or repeat; extra columns are ignored; empty tables give
 no rows or no hits.
 """
 
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import binary, flat_list, in_slices, table
+from quire.llm.common import binary, flat_list, in_slices, stored, table
 
 WINDOW = 13
 PART_WORDS = 2_000_000
@@ -135,10 +136,10 @@ class FMIndex:
 class Phrases:
     """The windows of one part of the benchmark, by length, over numbered words."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         numbers: dict[bytes, int] = {}
         by_length: dict[int, dict[tuple[int, ...], list[int]]] = {}
-        self.items = sorted({i for i, _ in items})
+        self.items = sorted({i for i, _ in items if i is not None}) + [None] * any(i is None for i, _ in items)
         place = {x: k for k, x in enumerate(self.items)}
         for item, text in items:
             ids = [numbers.setdefault(w, len(numbers) + 2) for w in words_of(text)]
@@ -192,10 +193,10 @@ class Phrases:
         return found
 
 
-def benchmark_parts(benchmark: DataFrame, part_words: int = PART_WORDS) -> Iterator[list[tuple[str, bytes]]]:
+def benchmark_parts(benchmark: DataFrame, part_words: int = PART_WORDS) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark in parts of at most part_words words (or one item), streamed to the driver one at a time."""
     rows, held = [], 0
-    for r in benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
+    for r in benchmark.where("text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
         n = len(words_of(bytes(r[1])))
         if rows and held + n > part_words:
             yield rows
@@ -206,9 +207,12 @@ def benchmark_parts(benchmark: DataFrame, part_words: int = PART_WORDS) -> Itera
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """doc_id, n_words, span_starts, span_ends (word numbers, merged, ends exclusive) and items (ids as strings, sorted)."""
+    """doc_id, text_hash, n_words, span_starts, span_ends (word numbers, merged, ends exclusive) and items (ids as strings, sorted, all items without an id as one null at the end).
+
+    One row for every row of docs, whatever the number of parts: what further parts find is joined by doc_id and text_hash.
+    """
     spark = docs.sparkSession
-    schema = "doc_id long, n_words long, span_starts array<long>, span_ends array<long>, items array<string>"
+    schema = "doc_id long, text_hash long, n_words long, span_starts array<long>, span_ends array<long>, items array<string>"
 
     def searched(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,19 +221,22 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, p
                 docs = [words_of(t) for t in binary(batch.column(1))]
                 found = phrases.search(docs)
                 names = [[phrases.items[i] for i in sorted(x)] for *_, x in found]
-                arrays = [batch.column(0), pa.array([len(w) for w in docs], pa.int64())]
+                arrays = [batch.column(0), batch.column(2), pa.array([len(w) for w in docs], pa.int64())]
                 arrays += [flat_list(np.concatenate([f[k] for f in found]), [len(f[k]) for f in found], pa.int64()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "span_starts", "span_ends", "items"])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text_hash", "n_words", "span_starts", "span_ends", "items"])
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        return docs.select(F.col("doc_id").cast("long"), "text", _text_hash(F.col("text")).alias("text_hash")).mapInArrow(run, schema)
 
     found = [searched(spark.sparkContext.broadcast(part)) for part in benchmark_parts(benchmark, part_words)]
     if len(found) == 1:
         return found[0]
-    merged = found[0]
-    for more in found[1:]:
+    key = ["doc_id", "text_hash"]
+    found[0] = stored(found[0])
+    hits = [x.where(F.size("span_starts") > 0).dropDuplicates(key) for x in found]
+    merged = hits[0]
+    for more in hits[1:]:
         merged = merged.unionByName(more)
-    spans = merged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    spans = merged.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def step(acc, x):
         last = F.element_at(acc, -1)
@@ -237,20 +244,27 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, p
         return F.when((F.size(acc) > 0) & (x["span_starts"] <= F.try_element_at(acc, F.lit(-1))["span_ends"]), grown).otherwise(F.concat(acc, F.array(x)))
 
     joined = F.aggregate("spans", F.expr("cast(array() as array<struct<span_starts:bigint,span_ends:bigint>>)"), step)
-    return spans.withColumn("spans", joined).select("doc_id", "n_words", F.col("spans.span_starts").alias("span_starts"), F.col("spans.span_ends").alias("span_ends"), "items")
+    spans = spans.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), joined.alias("spans"), "items")
+    rows = found[0].select("doc_id", "text_hash", "n_words").join(spans, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
+    columns = {"span_starts": F.col("spans.span_starts"), "span_ends": F.col("spans.span_ends"), "items": F.col("items")}
+    return rows.select("doc_id", "text_hash", "n_words", *(F.coalesce(x, F.array().cast(kind)).alias(c) for (c, x), kind in zip(columns.items(), ("array<long>", "array<long>", "array<string>"), strict=True)))
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items and contaminated: at least a twentieth of the words hit."""
+    """doc_id, text_hash, n_words, n_hit, n_items, items and contaminated: at least a twentieth of the words hit."""
     found = find_spans(docs, benchmark, **options)
     hit = F.aggregate(F.zip_with("span_starts", "span_ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.withColumn("n_hit", hit).withColumns({"n_items": F.size("items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))})
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, unchanged."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    """The documents that are not contaminated, unchanged; each row is judged by its own text."""
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (_text_hash(docs["text"]) == bad["bad_hash"]), "left_anti")
 
 
 def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

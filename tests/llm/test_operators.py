@@ -164,6 +164,21 @@ def test_embeddings(spark):
     rng = np.random.default_rng(4)
     rows, k = [], 0
     for label in (1, 2):
+@pytest.mark.parametrize("part_words", [1, 10**6])
+def test_fm_index_null_and_repeated_ids(spark, part_words):
+    items = [(1, "one two three"), (2, "four five six"), (None, "six seven eight"), (None, "nine ten")]
+    texts = [(None, "one two three x"), (None, "four five six x x"), (None, None), (None, "clean"), (7, "one two three four five six"), (7, "clean words"), (7, "clean words"), (7, "one two three four five six"), (8, "x nine ten"), (9, "five six seven eight one two three")]
+    want = [(None, 4, 3, ["1"]), (None, 5, 3, ["2"]), (None, 0, 0, []), (None, 1, 0, []), (7, 6, 6, ["1", "2"]), (7, 2, 0, []), (7, 2, 0, []), (7, 6, 6, ["1", "2"]), (8, 3, 2, [None]), (9, 7, 6, ["1", None])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = corpus(spark, [t for _, t in texts], [i for i, _ in texts])
+    rows = decontaminate.contamination(docs, bench, part_words=part_words).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in rows), key=str) == sorted(want, key=str)
+    assert all(r.n_items == len(r["items"]) for r in rows)
+    left = decontaminate.decontaminated(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(None, None), (None, "clean"), (7, "clean words"), (7, "clean words")], key=str)
+
+
         centres = rng.normal(size=(30, 24))
         for c in centres:
             for _ in range(int(rng.integers(1, 40))):
