@@ -197,7 +197,7 @@ def read_archive(spark: SparkSession, path: str, *, with_payload: bool = True) -
     joined = parts.withColumn("block", F.when(sound, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments are missing of "), F.col("origin")))))
     whole = joined.select("page_id", "url", "record_type", "refers_to", "payload_digest", "block").mapInArrow(_decoded(with_payload), PAYLOADS)
     rows = records.where("number = 0").select(names).unionByName(whole.select(names))
-    return rows.withColumn("refers_to", F.regexp_extract("refers_to", r"^<urn:x-page:(\d+)>$", 1).try_cast("long"))
+    return rows.withColumn("refers_to", F.regexp_extract("refers_to", r"^<urn:x-page:(-?\d+)>$", 1).try_cast("long"))
 
 
 def with_lengths(rows: DataFrame) -> DataFrame:

@@ -462,3 +462,9 @@ def test_warc_missing_segment(spark, tmp_path):
     os.remove(max(glob.glob(f"{path}/*.gz"), key=os.path.getsize))
     with pytest.raises(Exception, match="segments are missing"):
         warc.read_archive(spark, path).collect()
+def test_warc_negative_page_id(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "same " * 40) for i in (-5, 0, 3)], "page_id long, url string, html string")
+    rows = warc.with_lengths(warc.round_trip(pages, str(tmp_path / "archive"))).collect()
+    assert {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in rows} == {(-5, "response", None, 200), (0, "revisit", -5, 200), (3, "revisit", -5, 200)}
+
+
