@@ -347,10 +347,23 @@ def classes(docs: DataFrame, *, most: int = MOST) -> DataFrame:
 
 
 def firsts_of_classes(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest doc_id, with its columns; repeated rows of one doc_id give one row, documents without doc_id all stay."""
-    later = classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("later_id")).distinct()
-    left = docs.join(later, docs["doc_id"].cast("long") == later["later_id"], "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """One document of each class, that with the smallest doc_id, with its columns; documents without doc_id all stay.
+
+    Rows that share a doc_id but not the text are documents of their own, numbered in the order of doc_id and a hash
+    of the text (all texts without words count as one); of equal rows by these the smallest by all columns stays.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key_hash = F.xxhash64(F.when(text.rlike(r"^[ \t\n\r\x0b\f]*$"), F.lit("")).otherwise(text))
+    with_id = docs.where("doc_id is not null")
+    if with_id.groupBy(F.col("doc_id").cast("long")).count().where("count > 1").isEmpty():
+        later = classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("later_id"))
+        return docs.join(later, docs["doc_id"].cast("long") == later["later_id"], "left_anti")
+    rows = with_id.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("key_id"), key_hash.alias("key_hash"), text.alias("text"))
+    nodes = stored(rows.select("key_id", "key_hash").distinct().orderBy("key_id", "key_hash").withColumn("node", F.monotonically_increasing_id()))
+    numbered = rows.join(nodes, ["key_id", "key_hash"])
+    later = classes(numbered.select(F.col("node").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("node")).distinct()
+    left = numbered.join(later, "node", "left_anti").groupBy("node").agg(F.min("row").alias("row")).select("row.*")
+    return left.unionByName(docs.where("doc_id is null"))
 
 
 def op8_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, embeddings, html_text, jaccard, packing, pii, quality, substrings, tokens, warc
 from quire.llm.common import connected_components
@@ -88,6 +89,19 @@ def test_firsts_of_classes(spark, texts):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in jaccard.classes(docs).where("doc_id = component_id").collect()}
 
 
+def test_firsts_of_classes_repeated_ids(spark, texts):
+    a, b, c = texts[7], texts[8], texts[9]
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(3, a), (7, near), (7, b), (7, b), (8, ""), (8, " \n"), (8, c), (9, c), (None, a), (None, a)]
+    docs = corpus(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)
+    kept = jaccard.firsts_of_classes(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "").strip()) for r in kept.collect()), key=str)
+    assert got == sorted([(3, a), (7, b), (8, ""), (8, c), (None, a), (None, a)], key=str)
+    sources = docs.where("doc_id = 7").unionByName(docs.where("doc_id = 7").withColumn("source", F.lit("a")))
+    assert {r.source for r in jaccard.firsts_of_classes(sources).collect()} == {"a"}
+
+
 @pytest.mark.parametrize("most", [50, 10**6])
 def test_substrings(spark, texts, most):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduplicated(corpus(spark, texts).repartition(3), most=most).collect()}
@@ -150,20 +164,6 @@ def test_fm_index_empty(spark):
     assert [r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()] == [1]
 
 
-def test_wavelet_ranks():
-    rng = np.random.default_rng(3)
-    x = rng.integers(0, 37, 500)
-    w = decontaminate.WaveletMatrix(x, 6)
-    at = rng.integers(0, 501, 200)
-    symbol = rng.integers(0, 37, 200)
-    assert (w.rank(symbol, at) == [(x[:a] == s).sum() for s, a in zip(symbol, at, strict=True)]).all()
-    assert (w.access(np.arange(500)) == x).all()
-
-
-def test_embeddings(spark):
-    rng = np.random.default_rng(4)
-    rows, k = [], 0
-    for label in (1, 2):
 @pytest.mark.parametrize("part_words", [1, 10**6])
 def test_fm_index_null_and_repeated_ids(spark, part_words):
     items = [(1, "one two three"), (2, "four five six"), (None, "six seven eight"), (None, "nine ten")]
@@ -179,6 +179,20 @@ def test_fm_index_null_and_repeated_ids(spark, part_words):
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(None, None), (None, "clean"), (7, "clean words"), (7, "clean words")], key=str)
 
 
+def test_wavelet_ranks():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 37, 500)
+    w = decontaminate.WaveletMatrix(x, 6)
+    at = rng.integers(0, 501, 200)
+    symbol = rng.integers(0, 37, 200)
+    assert (w.rank(symbol, at) == [(x[:a] == s).sum() for s, a in zip(symbol, at, strict=True)]).all()
+    assert (w.access(np.arange(500)) == x).all()
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(4)
+    rows, k = [], 0
+    for label in (1, 2):
         centres = rng.normal(size=(30, 24))
         for c in centres:
             for _ in range(int(rng.integers(1, 40))):
@@ -452,6 +466,12 @@ def test_warc(spark, tmp_path):
     assert warc.with_lengths(warc.round_trip(pages.limit(0))).count() == 0
 
 
+def test_warc_negative_page_id(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "same " * 40) for i in (-5, 0, 3)], "page_id long, url string, html string")
+    rows = warc.with_lengths(warc.round_trip(pages, str(tmp_path / "archive"))).collect()
+    assert {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in rows} == {(-5, "response", None, 200), (0, "revisit", -5, 200), (3, "revisit", -5, 200)}
+
+
 def test_warc_missing_segment(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "abc " * 5000)], "page_id long, url string, html string")
     path = str(tmp_path / "archive")
@@ -462,9 +482,3 @@ def test_warc_missing_segment(spark, tmp_path):
     os.remove(max(glob.glob(f"{path}/*.gz"), key=os.path.getsize))
     with pytest.raises(Exception, match="segments are missing"):
         warc.read_archive(spark, path).collect()
-def test_warc_negative_page_id(spark, tmp_path):
-    pages = spark.createDataFrame([(i, "u", "same " * 40) for i in (-5, 0, 3)], "page_id long, url string, html string")
-    rows = warc.with_lengths(warc.round_trip(pages, str(tmp_path / "archive"))).collect()
-    assert {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in rows} == {(-5, "response", None, 200), (0, "revisit", -5, 200), (3, "revisit", -5, 200)}
-
-
