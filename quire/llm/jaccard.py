@@ -5,8 +5,8 @@ Two sets of one band, or a set and one at the foot of the next band, with Jaccar
 0.8 differ in at most k = 2r/9 elements, r the band's largest size. The feature domain is
 partitioned by hash into n = k + g + e parts: such sets agree on at least g + e of them. Every subset of g parts
 makes a signature, so similar sets share one that no part of is empty, provided one of them has at most e
-empty parts; sets with more of these also enumerate their empty parts. g is 2 for small sets (all pairs
-of parts) and 1 for large ones.
+empty parts; sets with more of these also enumerate their empty parts. g is 2 (all pairs of parts)
+for sets of 4 to 10 shingles and 1 for all others: single parts, plain pigeonhole.
 
 Linear candidates. Equal sets are one class from the start. Signatures are combined where they are made, so a
 frequent one reaches a task as one row for each combined batch. Each document is compared, on the texts, with
