@@ -9,6 +9,9 @@ from quire.functions import numbers, text
 from quire.plans.common import read
 from quire.sources import records
 
+#: Event numbers to a bucket, so that a user's lines are numbered in parts.
+LINES_A_BUCKET = 10_000
+
 
 def d22_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a page holds diagrams or formulas; some paragraphs are marked as such first."""
@@ -46,8 +49,12 @@ def z12_task_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r8b_bad_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a user's properties that are no JSON; every seventh is cut short."""
     e = read(spark, sf_dir, "events").withColumn("line", F.when(F.col("event_id") % 7 == 3, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props")))
-    whole = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return records.bad_json_lines(whole, "text", "user_id").select(F.col("doc").alias("user_id"), "line_no")
+    dealt = e.select("user_id", "event_id", F.trim("line").alias("line"), F.floor(F.col("event_id") / LINES_A_BUCKET).alias("bucket"))
+    counts = dealt.groupBy("user_id", "bucket").agg(F.count("*").alias("n"))
+    before = counts.select("user_id", "bucket", (F.sum("n").over(Window.partitionBy("user_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("user_id", "bucket").orderBy("event_id")) - 1
+    numbered = dealt.withColumn("nth", nth).join(before, ["user_id", "bucket"])
+    return numbered.where((F.col("line") != "") & F.try_parse_json("line").isNull()).select("user_id", (F.col("before") + F.col("nth")).cast("int").alias("line_no"))
 
 
 def r12_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
