@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a session on this one machine (local mode) gets a folder of its own; a cluster has to name one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place is None:
-        place = "/tmp/quire-checkpoints"
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            return given.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+        place = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
@@ -50,15 +59,76 @@ def binary(column: pa.Array) -> list:
     return column.cast(kind).to_pylist()
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, so that what is made from a batch stays small whatever the session's Arrow settings are."""
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows and about `size` bytes (or one row), so that what is made from a batch stays small whatever the session's Arrow settings are."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def word_hashes(words: Iterable[bytes], count: int) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=count)
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+_ODD_FACTOR = 0x5851F42D4C957F2D
+_INVERSE_FACTOR = pow(_ODD_FACTOR, -1, 1 << 64)
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd factor and of its inverse modulo 2 ** 64, kept for the longest piece so far."""
+    global _powers
+    if len(_powers[0]) < n:
+        _powers = tuple(np.cumprod(np.append(np.uint64(1), np.full(2 * n, f, np.uint64))) for f in (_ODD_FACTOR, _INVERSE_FACTOR))
+    return _powers
+
+
+def run_hashes(codes: np.ndarray, gap: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of codes: a run goes from its start to the next gap or start. Polynomials in an odd factor, so that all runs of a piece are hashed at once."""
+    power, inverse = _powers_to(len(codes))
+    values = (codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)]
+    values[gap] = 0
+    return mixed(np.add.reduceat(values, starts) * inverse[starts]) if len(starts) else np.zeros(0, np.uint64)
+
+
+_GAP = np.zeros(256, bool)
+_GAP[[32, *range(9, 14)]] = True
+_NEXT_GAP = re.compile(rb"[ \t-\r]")
+
+
+def _hashed_piece(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.frombuffer(raw, np.uint8)
+    gap = _GAP[codes]
+    start = ~gap
+    start[1:] &= gap[:-1]
+    starts = np.flatnonzero(start)
+    return starts, run_hashes(codes, gap, starts)
+
+
+def word_hashes(texts: list[bytes | None], piece: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The hashes of each text's words (by ASCII white space). Short texts are hashed together and long ones in pieces of about `piece` bytes."""
+    held, size = [], 0
+
+    def out() -> Iterator[np.ndarray]:
+        starts, hashes = _hashed_piece(b" ".join(held))
+        ends = np.cumsum([len(t) + 1 for t in held])
+        yield from np.split(hashes, np.searchsorted(starts, ends[:-1]))
+
+    for text in texts:
+        text = text or b""
+        if size + len(text) > piece and held:
+            yield from out()
+            held, size = [], 0
+        if len(text) <= piece:
+            held.append(text)
+            size += len(text) + 1
+            continue
+        parts, at = [], 0
+        while at < len(text):
+            m = _NEXT_GAP.search(text, min(len(text), at + piece))
+            end = m.start() if m else len(text)
+            parts.append(_hashed_piece(text[at:end])[1])
+            at = end
+        yield np.concatenate(parts)
+    if held:
+        yield from out()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -1,32 +1,36 @@
 """N-gram Jaccard join by PartEnum signatures, and the classes of near duplicates that it links.
 
-A document's set is its distinct five-word shingles (hashed to 64 bits). Sets fall into bands of sizes [l, 1.3 l].
+A document's set is its distinct five-word shingles (hashed to 64 bits). Sets fall into bands of sizes [l, GROWTH * l].
 Two sets of one band, or a set and one at the foot of the next band, with Jaccard similarity of at least
-0.8 differ in at most k = 2r/9 elements, r the band's largest size. The feature domain is
-partitioned by hash into n = k + g + e parts: such sets agree on at least g + e of them. Every subset of g parts
-makes a signature, so similar sets share one that no part of is empty, provided one of them has at most e
-empty parts; sets with more of these also enumerate their empty parts. g is 2 (all pairs of parts)
-for sets of 4 to 10 shingles and 1 for all others: single parts, plain pigeonhole.
+0.8 differ in at most k = 2r/9 elements, r the band's largest size.
+
+Signatures, on two levels. The feature domain is partitioned by hash into n + e groups, n = ceil((k + 1) / 2): at least
+1 + e groups of such sets differ in one element at most. Each group is partitioned again into three parts, and every subset of
+two parts makes a signature; where a group differs in one element, one of its three subsets agrees. An empty subset
+makes no signature, as too many sets share it. A group with one is bad; a set of at most e bad groups still shares a
+subset that is not empty with every similar set. A set of more also makes the signatures of the next seed, and so does
+every similar set whose agreeing subsets are all empty, since it has the same bad groups.
 
 Linear candidates. Equal sets are one class from the start. Signatures are combined where they are made, so a
 frequent one reaches a task as one row for each combined batch. Each document is compared, on the texts, with
 one centre, the smallest document that it shares a signature with in a batch or as first of its batch: a
 star, not all pairs. Where documents of one signature are in different classes after that, they are compared
 across classes, clusters of them in blocks: pairs are never rows, a block gives the links that join its classes, and
-an exact bound (parities of hash buckets) spares most intersections. Similar sets agree on g + e parts, so a
-document must share a known number of signatures; those that share fewer (a passage in common, say) are
-in no similar pair and fall out before. So the result is whole: every
-similar pair shares a signature, and is compared or already in one class.
+an exact bound (parities of hash buckets) spares most intersections. Similar sets share a known number of signatures;
+documents that share fewer with all others (a passage in common, say) are in no similar pair and fall out before. So the result
+is whole: every similar pair shares a signature, and is compared or already in one class.
 
 Defined cases: no words (null or empty text): n_shingles 0, linked with nothing; fewer than five words: one
 shingle of all; repeated rows are equal sets; a null doc_id is kept and links nothing; empty tables
-give no rows; extra columns are ignored. Any number of documents may share a set, a signature or a class.
+give no rows; extra columns are ignored; very long texts are hashed in pieces. Any number of documents may share a set, a
+signature or a class.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,25 +40,28 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import MIX_B, binary, connected_components, cut, in_slices, mixed, rolled, stored, table, word_hashes
 
-WIDTH, GROWTH = 5, 1.3
-BLOCK = 2048
+WIDTH, GROWTH = 5, 1.4
+#: Documents, and shingles, of a block that is compared in one task.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: A table of ids of so many rows (some 16 MB) is small enough to broadcast.
 BROADCAST_ROWS = 500_000
 #: The centre of a signature that no other document of its batch has.
 ALONE = -(2**63)
-#: Signatures that a task combines at a time.
-MOST = 1_000_000
+#: Signatures that a task combines at a time, and that a task of the shuffle gets.
+MOST, A_TASK = 500_000, 1_500_000
+#: The last seed makes signatures of empty subsets too.
+SEEDS = 8
+
+
+def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    for h in word_hashes([(t or b"").lower() for t in texts]):
+        n = len(h)
+        yield np.unique(rolled(h, width)) if n >= width else rolled(h, n, MIX_B + np.uint64(2 * n)) if n else np.zeros(0, np.uint64)
 
 
 def shingles_of(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(words, len(words))
-    if len(words) < width:
-        return rolled(h, len(words), MIX_B + np.uint64(2 * len(words)))
-    return np.unique(rolled(h, width))
+    return next(shingle_sets([text], width))
 
 
 def bands(largest: int) -> list[tuple[int, int]]:
@@ -66,140 +73,154 @@ def bands(largest: int) -> list[tuple[int, int]]:
     return out
 
 
-def parameters(high: int) -> tuple[int, int, int]:
-    """Parts, subset size and empty parts allowed for a band whose largest size is `high`."""
-    k = 2 * high // 9
-    if k == 0:
-        return 1, 1, 0
-    g = 2 if k <= 2 else 1
-    e = 4 + (k + 1) // 6  # few sets have more empty parts
-    return k + g + e, g, e
+BANDS = bands(1 << 40)
+_FEET = np.array([low for low, _ in BANDS])
 
 
-def signatures(shingles: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """The signatures of one set: for its own band, and for the next one if it is large enough to meet that band's sets."""
-    n = len(shingles)
-    own = next(k for k, (low, high) in enumerate(bounds) if low <= n <= high)
-    out = []
-    for band in (own, own + 1):
-        low, high = bounds[band]
-        if band > own and 5 * n < 4 * low:
-            break
-        parts, g, e = parameters(high)
-        place = (mixed(shingles ^ np.uint64(band + 1)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        filled, first = np.unique(place[order], return_index=True)
-        held = np.zeros(parts, np.uint64)
-        held[filled] = np.add.reduceat(mixed(shingles + MIX_B)[order], first)
-        used = filled if parts - len(filled) <= e else np.arange(parts)
-        tags = mixed(held + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)))
-        if g == 1:
-            out.append(tags[used])
-        else:
-            out.append(np.array([tags[list(c)].sum() for c in combinations(used, g)], np.uint64))
-        out[-1] = (mixed(out[-1]) & ~np.uint64(127)) | np.uint64(band & 127)  # the last seven bits tell the band
-    return np.concatenate(out)
-
-
-def _all_bands() -> list[tuple[int, int]]:
-    return bands(1 << 40)
-
-
-def needed(shingles: np.ndarray, bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(band, number of signatures of that band that this set shares with any similar one, at least)."""
-    n, out = len(shingles), []
-    own = next(k for k, (low, high) in enumerate(bounds) if low <= n <= high)
-    for band in (own, own + 1):
-        if band > own and 5 * n < 4 * bounds[band][0]:
-            break
-        parts, g, e = parameters(bounds[band][1])
-        empty = parts - len(np.unique(mixed(shingles ^ np.uint64(band + 1)) % np.uint64(parts)))
-        agreeing = max(g, g + e - empty)
-        out.append((band, agreeing if g == 1 else agreeing * (agreeing - 1) // 2))
+def _seeds(groups: int, spare: int, n: float) -> float:
+    """Seeds that a set of n elements uses on average: one more whenever more than `spare` groups are bad."""
+    mean = groups * min(1.0, 3 * math.exp(-2 * n / (3 * groups)) - 2 * math.exp(-n / groups))
+    if mean > 50:
+        more = 0.5 * math.erfc((spare + 0.5 - mean) / math.sqrt(2 * mean))
+    else:
+        more = 1 - math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(min(spare, 120) + 1))
+    return 1 / (1 - min(1 - 1 / SEEDS, max(0.0, more)))
+
+
+@lru_cache(maxsize=None)
+def parameters(band: int) -> tuple[int, int, int]:
+    """Groups, how many of them may be bad (spare), and the most elements in which similar sets of the band differ. No groups where they cannot differ.
+
+    More spare groups make more signatures with each seed, fewer make more seeds: the least of both over the sizes that use the band.
+    """
+    low, high = BANDS[band]
+    k = 2 * high // 9
+    if k == 0:
+        return 0, 0, 0
+    n = (k + 2) // 2
+    sizes = [0.8 * low, 0.9 * low, low, (low + high) / 2, high]
+    spare = min({0, 1, 2, 3, *(n * x // 100 for x in range(0, 120, 2))}, key=lambda e: ((n + e) * sum(_seeds(n + e, e, size) for size in sizes), e))
+    return n + spare, spare, k
+
+
+def bands_of(n: int) -> list[int]:
+    """The bands in which a set of n elements makes signatures: its own, and the next one if it is large enough to meet that band's sets."""
+    own = int(np.searchsorted(_FEET, n, "right")) - 1
+    return [b for b in (own, own + 1) if parameters(b)[0] and (b == own or 5 * n >= 4 * BANDS[b][0])]
+
+
+def signatures(shingles: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """For each band of a set: its signatures (the last seven bits tell the band), and how many of them it shares with any similar set, at least."""
+    out, weights = [], mixed(shingles + MIX_B)
+    for band in bands_of(len(shingles)):
+        groups, spare, k = parameters(band)
+        found = []
+        for seed in range(SEEDS):
+            tag = np.uint64(band + 1 + (seed << 40))
+            place = (mixed(shingles ^ tag) % np.uint64(3 * groups)).astype(np.uint16 if 3 * groups < 1 << 16 else np.int64)
+            order = np.argsort(place, kind="stable")
+            placed = place[order]
+            first = np.flatnonzero(np.append(True, placed[1:] != placed[:-1]))
+            held, some = np.zeros(3 * groups, np.uint64), np.zeros(3 * groups, bool)
+            held[placed[first]] = np.add.reduceat(weights[order], first)
+            some[placed[first]] = True
+            held = mixed(held + mixed(np.arange(3 * groups, dtype=np.uint64) + (tag << np.uint64(8)))).reshape(-1, 3)
+            some = some.reshape(-1, 3)
+            made = mixed(held[:, [0, 0, 1]] * np.uint64(3) + held[:, [1, 2, 2]])
+            filled = some[:, [0, 0, 1]] | some[:, [1, 2, 2]]
+            bad = int((~filled).any(axis=1).sum())
+            found.append(made[filled] if bad <= spare or seed < SEEDS - 1 else made.ravel())
+            if bad <= spare:
+                break
+        # of a group without difference all three subsets agree, with one difference one does
+        agreeing = 3 * groups - (2 * k if k <= groups else groups + k)
+        need = max(1, agreeing - int((~filled).sum())) if seed == 0 else 1
+        out.append(((np.concatenate(found) & ~np.uint64(127)) | np.uint64(band & 127), need))
     return out
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set, and needed() as bands and needs."""
-    bounds = _all_bands()
+    """doc_id, n_shingles, a 128-bit hash of the set, and about how many signatures it makes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            sets = [shingles_of(t) for t in binary(batch.column(1))]
-            needs = [needed(s, bounds) if len(s) else [] for s in sets]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
-            columns += [pa.array([[x[k] for x in n] for n in needs], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands", "needs"])
+            sets = list(shingle_sets(binary(batch.column(1))))
+            made = [sum(3 * parameters(b)[0] for b in bands_of(len(s))) if len(s) else 0 for s in sets]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(made, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "n_signatures"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<int>, needs array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, n_signatures long")
 
 
-def _combined(keys: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+def _combined(rows: list[tuple[int, np.ndarray, int]]) -> pa.RecordBatch:
     """Signatures of some documents, combined: a signature's smallest document is its local centre, the others are members."""
-    doc, signature = np.concatenate(keys), np.concatenate(found).view(np.int64)
+    sizes = [len(r[1]) for r in rows]
+    doc, need = (np.repeat(np.array([r[k] for r in rows], kind), sizes) for k, kind in ((0, np.int64), (2, np.int32)))
+    signature = np.concatenate([r[1] for r in rows]).view(np.int64)
     order = np.lexsort((doc, signature))
-    doc, signature = doc[order], signature[order]
+    doc, signature, need = doc[order], signature[order], need[order]
     new = np.append(True, signature[1:] != signature[:-1])
     centre = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
     member = ~new
     shared = np.append(member[1:], False) & new
     by_doc = np.argsort(doc, kind="stable")  # rows of one document together compress well
     told = np.where(member | shared, doc[centre], ALONE)
-    return pa.RecordBatch.from_arrays([pa.array(x[by_doc]) for x in (signature, doc, told)], names=["signature", "doc_id", "centre"])
+    return pa.RecordBatch.from_arrays([pa.array(x[by_doc]) for x in (signature, doc, told, need)], names=["signature", "doc_id", "centre", "need"])
 
 
 def occurrences(docs: DataFrame, most: int) -> DataFrame:
     """The signatures of all sets that are not empty, combined over about `most` of them at a time."""
-    bounds = _all_bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, found, held = [], [], 0
-        for batch in in_slices(batches, 256):
-            for key, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
-                s = shingles_of(text)
-                if len(s):
-                    found.append(signatures(s, bounds))
-                    keys.append(np.full(len(found[-1]), key, np.int64))
-                    held += len(found[-1])
+        rows, held = [], 0
+        for batch in in_slices(batches, 256, 1 << 20):
+            for key, s in zip(batch.column(0).to_pylist(), shingle_sets(binary(batch.column(1))), strict=True):
+                for made, need in signatures(s) if len(s) else ():
+                    rows.append((key, made, need))
+                    held += len(made)
             if held > most:
-                yield _combined(keys, found)
-                keys, found, held = [], [], 0
+                yield _combined(rows)
+                rows, held = [], 0
         if held:
-            yield _combined(keys, found)
+            yield _combined(rows)
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "signature long, doc_id long, centre long")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "signature long, doc_id long, centre long, need int")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the rows of one shuffle partition: (signature, doc_id, centre) of signatures that several documents have."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    """From the rows of one shuffle partition: those of signatures that several documents have, with the smallest one as centre."""
+    names = ["signature", "doc_id", "centre", "need"]
+    parts = []
+    for b in batches:
+        signature, doc, centre, need = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        member = (centre != doc) & (centre != ALONE)
+        if member.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[member]) for x in (signature, doc, centre, need)], names=names)
+        parts.append((signature[~member], doc[~member], (centre == doc)[~member], need[~member]))
     if not parts:
         return
-    signature, doc, centre = (np.concatenate(p) for p in zip(*parts, strict=True))
+    signature, doc, shared, need = (np.concatenate(p) for p in zip(*parts, strict=True))
     parts.clear()
-    shared = doc == centre
-    local = shared | (centre == ALONE)
-    yield pa.RecordBatch.from_arrays([pa.array(x[~local]) for x in (signature, doc, centre)], names=["signature", "doc_id", "centre"])
-    signature, doc, shared = signature[local], doc[local], shared[local]
     order = np.lexsort((doc, signature))
-    signature, doc, shared = signature[order], doc[order], shared[order]
+    signature, doc, shared, need = signature[order], doc[order], shared[order], need[order]
     same = np.append(False, signature[1:] == signature[:-1])
     first = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))]
     keep = np.flatnonzero(same | np.append(same[1:], False) | shared)
-    for at in range(0, len(keep), 1 << 18):
-        k = keep[at : at + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (signature, doc, first)], names=["signature", "doc_id", "centre"])
+    for at in range(0, len(keep), 1 << 16):
+        k = keep[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (signature, doc, first, need)], names=names)
 
 
-def shared_signatures(docs: DataFrame, most: int) -> DataFrame:
-    """(signature, doc_id, centre) for every signature that at least two documents have; one exchange.
+def shared_signatures(docs: DataFrame, most: int, n_signatures: int) -> DataFrame:
+    """(signature, doc_id, centre, need) for every signature that at least two documents have; one exchange.
 
     Local centres are dealt by their signature; members, which know their local centre, by both: so a signature
-    of any number of documents reaches one task only as one row for each combined batch.
+    of any number of documents reaches one task only as one row for each combined batch. There are as many tasks as keep a task's rows at A_TASK.
     """
     local = (F.col("centre") == ALONE) | (F.col("centre") == F.col("doc_id"))
-    dealt = occurrences(docs, most).repartition(F.when(local, F.xxhash64("signature")).otherwise(F.xxhash64("signature", "centre")))
-    return dealt.mapInArrow(_shared, "signature long, doc_id long, centre long")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + n_signatures // A_TASK)
+    dealt = occurrences(docs, most).repartition(tasks, F.when(local, F.xxhash64("signature")).otherwise(F.xxhash64("signature", "centre")))
+    return dealt.mapInArrow(_shared, "signature long, doc_id long, centre long, need int")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +228,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, centre = None, None
     for batch in in_slices(batches, 128):
         keep = []
-        for b, ta, tb in zip(batch.column(1).to_pylist(), binary(batch.column(2)), binary(batch.column(3)), strict=True):
+        for b, s, tb in zip(batch.column(1).to_pylist(), shingle_sets(binary(batch.column(2))), binary(batch.column(3)), strict=True):
             if b != last:
                 last, centre = b, shingles_of(tb)
-            s = shingles_of(ta)
             both = len(np.intersect1d(s, centre, assume_unique=True))
             keep.append(100 * both >= 80 * (len(s) + len(centre) - both) > 0)
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
@@ -257,7 +277,7 @@ def _linked_classes(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int,
     if len({r[2] for r in rows}) < 2:
         return []
     side, ids, of = (np.array([r[k] for r in rows]) for k in range(3))
-    sets = [shingles_of(r[3]) for r in rows]
+    sets = list(shingle_sets([r[3] for r in rows]))
     sizes = np.array([len(s) for s in sets])
     bits = 64
     while bits < 8 * sizes.max():
@@ -297,13 +317,14 @@ def _across(split: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between the classes of documents that share signatures across classes.
 
     Documents chained by such signatures of one band are one cluster; its documents are compared block by
-    block, each pair of blocks in a task of its own if need be.
+    block, each pair of blocks in a task of its own if need be. A block is bounded by documents and by their shingles.
     """
     split = split.withColumn("member", F.xxhash64("doc_id", F.col("signature").bitwiseAND(F.lit(127))))
     first = split.groupBy("signature").agg(F.min("member").alias("b"))
     chained = connected_components(split.join(first, "signature").select(F.col("member").alias("a"), "b").distinct()).withColumnsRenamed({"node": "member", "component": "cluster"})
-    size = chained.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = split.select("member", "doc_id", "component").distinct().join(chained, "member").join(size, "cluster").join(texts, "doc_id")
+    members = split.select("member", "doc_id", "component").distinct().join(chained, "member").join(texts, "doc_id")
+    size = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = members.join(size, "cluster")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["cluster", "i", "j"]
     dealt = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.signum(F.col("block") - F.col("other")).cast("int").alias("side"), "doc_id", "component", "text")
@@ -322,10 +343,10 @@ def classes(docs: DataFrame, *, most: int = MOST) -> DataFrame:
     firsts = sets.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("first"))
     copies = sets.select("doc_id", "n_shingles", "digest").join(firsts, ["n_shingles", "digest"]).where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     copies = cut(copies)
-    every = stored(shared_signatures(docs, most))
     band = F.col("signature").bitwiseAND(F.lit(127)).cast("int")
-    needs = sets.select("doc_id", F.explode(F.arrays_zip("bands", "needs")).alias("x")).groupBy("doc_id", F.col("x.bands").alias("band")).agg(F.min("x.needs").alias("need"))
-    enough = every.groupBy("doc_id", band.alias("band")).agg(F.count("*").alias("n")).join(needs, ["doc_id", "band"]).where("n >= need").select("doc_id", "band")
+    total = sets.agg(F.sum("n_signatures")).first()[0] or 0
+    every = stored(shared_signatures(docs, most, total))
+    enough = every.groupBy("doc_id", band.alias("band")).agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("doc_id", "band")
     enough = _small(stored(enough.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")))
     shared = stored(every.withColumn("band", band).join(enough, ["doc_id", "band"], "left_semi").select("signature", "doc_id", "centre"))
 
@@ -336,13 +357,14 @@ def classes(docs: DataFrame, *, most: int = MOST) -> DataFrame:
 
     near = _small(stored(shared.select("doc_id").distinct()))
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(near, "doc_id", "left_semi"))
+    weighed = texts.withColumn("n_shingles", F.octet_length("text") / 6)
     star = of_firsts(shared.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
     star = stored(star.groupBy("a").agg(F.min("b").alias("b")))  # one centre for each document; the others count where it is not similar
     edges = cut(copies.unionByName(similar(star, texts)))
     found = connected_components(edges)
     split = cut(_with_class(shared.select("signature", "doc_id"), found))
     if not split.isEmpty():
-        found = connected_components(edges.unionByName(cut(_across(split, texts))))
+        found = connected_components(edges.unionByName(cut(_across(split, weighed))))
     return about.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -53,11 +53,6 @@ def minimizers(h: np.ndarray, window: int, run: int) -> np.ndarray:
     return out
 
 
-def _hashes(text: bytes | None, window: int) -> np.ndarray | None:
-    words = (text or b"").split()
-    return word_hashes(words, len(words)) if len(words) >= window else None
-
-
 def local_firsts(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows in `order` that sort equal keys together: which rows are the first of their key, and the index of each row's first."""
     new = np.zeros(len(order), bool)
@@ -87,8 +82,8 @@ def anchors(docs: DataFrame, window: int, run: int, most: int) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, held = [], [], 0
         for batch in in_slices(batches):
-            for key, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
-                if (h := _hashes(text, window)) is not None:
+            for key, h in zip(batch.column(0).to_pylist(), word_hashes(binary(batch.column(1))), strict=True):
+                if len(h) >= window:
                     values.append(np.unique(minimizers(h, window, run)))
                     keys.append(np.full(len(values[-1]), key, np.int64))
                     held += len(values[-1])
@@ -132,8 +127,8 @@ def _edges(window: int, run: int, most: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in in_slices(batches, 256):
-            for key, text, own in zip(batch.column(0).to_pylist(), binary(batch.column(1)), batch.column(2), strict=True):
-                if (h := _hashes(text, window)) is None:
+            for key, h, own in zip(batch.column(0).to_pylist(), word_hashes(binary(batch.column(1))), batch.column(2), strict=True):
+                if len(h) < window:
                     continue
                 at = np.flatnonzero(np.isin(minimizers(h, window, run), own.values.to_numpy().view(np.uint64)))
                 word = (h & np.uint64(0x7FFFFFFF)).astype(np.int32)
