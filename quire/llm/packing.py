@@ -11,8 +11,9 @@ Pieces meet the plan by rank: the pieces of a length are numbered, and a slot of
 numbers. Numbering deals the pieces of each length over buckets of about `rows_a_bucket` rows, so that no
 common length lands in one task. The plan is broadcast: it has a few segments a length, so its size is bounded by `size`.
 
-Defined cases: a null or empty text is one piece of one token; repeated rows are packed each for itself;
-an empty table packs nothing; extra columns are ignored. Documents of up to `size` tokens are never cut.
+Defined cases: a null or empty text is one piece of one token; repeated rows, also those without a doc_id, are packed each for
+itself; very long texts are encoded in pieces and only their ids are held whole; an empty table packs nothing; extra columns are
+ignored. Documents of up to `size` tokens are never cut.
 """
 
 from __future__ import annotations
@@ -36,13 +37,16 @@ def pieces_of(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for every piece of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(path)
+        known, end = encoder(path), np.array([END_OF_TEXT], "<u4")
         for batch in in_slices(batches, 1024):
-            rows = []
-            for key, (ids, _) in zip(batch.column(0).to_pylist(), known.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids = np.append(ids, np.uint32(END_OF_TEXT)).astype("<u4")
-                rows += [(key, k, s, min(size, len(ids) - s), zlib.crc32(ids[s : s + size].tobytes())) for k, s in enumerate(range(0, len(ids), size))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            encoded = [np.append(ids, end) for ids, _ in known.encode([t or "" for t in batch.column(1).to_pylist()])]
+            tokens = np.array([len(ids) for ids in encoded])
+            counts = -(-tokens // size)
+            piece = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            length = np.minimum(size, np.repeat(tokens, counts) - piece * size)
+            crc = np.fromiter((zlib.crc32(ids[s : s + size]) for ids in encoded for s in range(0, len(ids), size)), np.int64, len(piece))
+            doc = batch.column(0).take(pa.array(np.repeat(np.arange(len(encoded)), counts)))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(piece * size), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -1,16 +1,21 @@
 """Encoding whole documents once, and token counts of their sections.
 
 WordEncoder gives exactly what the tokenizer gives for a whole text. Tokenizers that split a text into
-words before merging encode every word alike wherever it stands, so the encoder splits a text, encodes
-each new word once with the tokenizer itself and gathers the rest from a bounded memory. Texts with
-characters outside the ranges whose splitting is spelled out below, and texts that hold a special
-token's string, go to the tokenizer whole.
+words before merging encode every word alike wherever it stands, so the encoder splits texts into words, encodes
+each new word once with the tokenizer itself and gathers the rest from a bounded memory. Splitting, hashing and
+gathering are array operations over many texts at once: characters have classes, words begin where the class changes,
+and a word is known by its length and a 64-bit hash. Texts with characters outside the ranges whose splitting is spelled
+out below, and texts that hold a special token's string, go to the tokenizer whole.
 
 Attribution: sections are character spans. A token belongs to the section that holds most of its
 characters, the earlier one on a tie ("majority"); or that of its first character ("start"); or each
 section gets the token's share by characters ("share"). A token without characters, and one that touches no section, counts for the
 section -1. The spans of tokens and sections are both in order, so the interval join is a merge within
 each document, done where the document is encoded.
+
+Defined cases: null text counts as empty: one empty section without tokens; repeated rows are counted each for itself; a
+null doc_id is kept; very long texts are split into words in pieces, so that memory grows with the text's tokens only; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,16 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import in_slices, table
+from quire.llm.common import in_slices, run_hashes, table
 
 #: The letters, numbers and white space among the characters that are split here (to U+024F and general punctuation).
 _L = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
 _N = "0-9²³¹¼½¾"
 _S = "\\t-\\r \\x85\\xa0"
-_ODD = re.compile("[^\\x00-\\x1b -įı-ɏ‐-‧‰-⁞]|<\\|(?:start|end)oftext\\|>")
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-#: Words that one encoder remembers; it starts anew when they are more.
+_PLAIN = "\\x00-\\x1b -įı-ɏ‐-‧‰-⁞"
+_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+SPACE, LETTER, NUMBER, OTHER, STRANGE = range(5)
+_LAST = 0x205F  # this character and all after it are strange
+_CLASS = np.array([SPACE if re.match(f"[{_S}]", c) else LETTER if re.match(f"[{_L}]", c) else NUMBER if re.match(f"[{_N}]", c) else OTHER if re.match(f"[{_PLAIN}]", c) else STRANGE for c in map(chr, range(_LAST + 1))], np.uint8)
+#: Words that one encoder remembers (some 40 bytes each, 80 with offsets); it starts anew when they are more.
 MOST_WORDS = 1_000_000
+#: Characters that are split at a time.
+PIECE = 1 << 17
 
 
 class Grown:
@@ -51,6 +61,82 @@ class Grown:
         self.n += len(rows)
 
 
+class Numbers:
+    """Numbers of 64-bit keys in the order in which they are added; a table with open addressing, searched for many keys at once."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1. Key 0 stands for an empty place, so it counts as 1."""
+        keys = np.maximum(keys, np.uint64(1))
+        mask = np.uint64(len(self.keys) - 1)
+        at = keys & mask
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], np.int32(-1))
+        left = np.flatnonzero((held != keys) & (held != 0))
+        while len(left):
+            at[left] = (at[left] + np.uint64(1)) & mask
+            held = self.keys[at[left]]
+            same = held == keys[left]
+            out[left[same]] = self.values[at[left[same]]]
+            left = left[~same & (held != 0)]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Adds distinct keys that are not held yet."""
+        keys = np.maximum(keys, np.uint64(1))
+        while 2 * (self.n + len(keys)) > len(self.keys):
+            old, numbers = self.keys[self.keys != 0], self.values[self.keys != 0]
+            self.bits += 1
+            self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._place(old, numbers)
+        self._place(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+
+    def _place(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        mask = np.uint64(len(self.keys) - 1)
+        at = keys & mask
+        while len(keys):
+            free = self.keys[at] == 0
+            _, lead = np.unique(at[free], return_index=True)
+            chosen = np.flatnonzero(free)[lead]
+            self.keys[at[chosen]], self.values[at[chosen]] = keys[chosen], numbers[chosen]
+            rest = np.ones(len(keys), bool)
+            rest[chosen] = False
+            keys, numbers, at = keys[rest], numbers[rest], (at[rest] + np.uint64(1)) & mask
+
+
+def split_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From lower-cased code points: the class of each, and the starts and ends of the words.
+
+    Words are runs of letters, single numbers, runs of other characters, and the English endings after an apostrophe that
+    begins a word ('s 't 'm 'd 're 've 'll).
+    """
+    kind = _CLASS[np.minimum(codes, _LAST)]
+    start = np.ones(len(kind), bool)
+    start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    start &= kind != SPACE
+    quotes = np.flatnonzero((codes == ord("'")) & start)
+    if len(quotes):
+        after = np.concatenate([codes, np.zeros(2, codes.dtype)])
+        one, two = after[quotes + 1], after[quotes + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        start[quotes[short | long] + 1] = False
+        ends = np.concatenate([quotes[short] + 2, quotes[long] + 3])
+        ends = ends[ends < len(kind)]
+        start[ends[kind[ends] == LETTER]] = True
+    starts = np.flatnonzero(start)
+    gap = kind == SPACE
+    stops = np.append(starts[1:], len(kind)) if len(starts) else starts
+    begun = np.flatnonzero(gap & np.append(True, ~gap[:-1]))  # first gap after each run of words
+    where = np.searchsorted(begun, starts)
+    ends = np.minimum(stops, np.append(begun, len(kind))[where])
+    return kind, starts, ends
+
+
 class WordEncoder:
     """Ids and character offsets of whole texts by a tokenizer of the lower-casing word BPE family."""
 
@@ -67,14 +153,12 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.first, self.spans = Grown(np.uint32), Grown(np.int64, 1), Grown(np.int32, 2)
-        self.first.add(np.zeros((1, 1), np.int64))
+        self.known = Numbers()
+        self.ids, self.first, self.spans = Grown(np.uint32), Grown(np.int64), Grown(np.int32, 2)
+        self.first.add(np.zeros(1, np.int64))
 
     def _learn(self, words: list[str], together: int = 256) -> None:
         """Encodes words joined by spaces, many at a time; the last token of each is one that ends a word."""
-        if len(self.place) + len(words) > MOST_WORDS:
-            self._forget()
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
         for at in range(0, len(words), together * 64):
             groups = [words[k : k + together] for k in range(at, min(at + together * 64, len(words)), together)]
@@ -86,45 +170,109 @@ class WordEncoder:
                 if self.offsets:
                     begins = np.cumsum([0, *(len(w) + 1 for w in group)])[:-1]
                     self.spans.add(np.array(got.offsets, np.int32).reshape(-1, 2) - np.repeat(begins, np.diff(ends, prepend=0))[:, None].astype(np.int32))
-                self.first.add(ends[:, None] + self.ids.n)
+                self.first.add(ends + self.ids.n)
                 self.ids.add(ids)
-        for w in words:
-            self.place[w] = len(self.place)
+
+    def _numbers(self, low: str, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The words' numbers in the memory; new words are learned."""
+        at = self.known.find(keys)
+        if (at < 0).any():
+            new, where = np.unique(keys[at < 0], return_index=True)
+            if self.known.n + len(new) > MOST_WORDS:
+                self._forget()
+                new, where = np.unique(keys, return_index=True)
+            else:
+                where = np.flatnonzero(at < 0)[where]
+            self._learn([low[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            self.known.add(new)
+            at = self.known.find(keys)
+        return at
+
+    def _piece(self, low: str, counts: list[int]) -> list[tuple[np.ndarray, np.ndarray | None] | None]:
+        """Ids and offsets in `low` of the texts of `counts` characters that it joins by spaces; None for a text with a strange character."""
+        codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind, starts, ends = split_words(codes)
+        stops = np.cumsum(np.array(counts) + 1)
+        strange = np.zeros(len(counts), bool)
+        strange[np.searchsorted(stops, np.flatnonzero(kind == STRANGE), "right")] = True
+        if strange.any():  # their words are not looked up
+            keep = ~strange[np.searchsorted(stops, starts, "right")]
+            starts, ends = starts[keep], ends[keep]
+        if not len(starts):
+            none = np.zeros(0, np.uint32), np.zeros((0, 2), np.int64) if self.offsets else None
+            return [None if x else none for x in strange.tolist()]
+        gap = np.ones(len(codes) + 1, np.int8)
+        gap[:-1] = kind == SPACE
+        if strange.any():
+            inside = np.zeros(len(codes) + 1, np.int32)
+            np.add.at(inside, starts, 1)
+            np.add.at(inside, ends, -1)
+            gap[:-1] |= np.cumsum(inside[:-1]) == 0
+        keys = run_hashes(codes, gap[:-1].astype(bool), starts) ^ (ends - starts).astype(np.uint64)
+        at = self._numbers(low, keys, starts, ends)
+        begin = self.first.data[at]
+        tokens = self.first.data[at + 1] - begin
+        before = np.cumsum(tokens)
+        where = np.repeat(begin - before + tokens, tokens) + np.arange(int(before[-1]))
+        ids = self.ids.data[where]
+        spans = self.spans.data[where] + np.repeat(starts, tokens)[:, None] if self.offsets else None
+        cuts = np.append(0, before)[np.searchsorted(starts, np.append(0, stops))]
+        out = []
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            out.append(None if strange[k] else (ids[a:b], spans[a:b] - (stops[k] - counts[k] - 1) if self.offsets else None))
+        return out
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
         """For each text its ids (uint32) and, if asked for, the (start, end) of each token in code points."""
-        split: list[list[str] | None] = [None if _ODD.search(t) else _WORDS.findall(t.lower()) for t in texts]
-        known = self.place
-        new = list({w for words in split if words for w in words if w not in known})
-        if len(new) > MOST_WORDS:
-            return [x for t in texts for x in self.encode([t])] if len(texts) > 1 else [self._whole(texts[0])]
-        if new:
-            before = len(self.place)
-            self._learn(new)
-            if len(self.place) < before + len(new):  # what was known is forgotten
-                self._learn(list({w for words in split if words for w in words if w not in self.place}))
-        place, out = self.place, []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self._whole(text))
-                continue
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            begin = self.first.data[at, 0]
-            counts = self.first.data[at + 1, 0] - begin
-            where = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-            spans = None
-            if self.offsets:
-                begins = np.fromiter((m.start() for m in _WORDS.finditer(text.lower())), np.int64, len(words))
-                spans = self.spans.data[where] + np.repeat(begins, counts)[:, None]
-            out.append((self.ids.data[where], spans))
+        out: list = [None] * len(texts)
+        held: list[tuple[int, str]] = []
+
+        def flush() -> None:
+            found = self._piece(" ".join(t for _, t in held), [len(t) for _, t in held])
+            for (k, _), x in zip(held, found, strict=True):
+                out[k] = x or self._whole(texts[k])
+            held.clear()
+
+        size = 0
+        for k, text in enumerate(texts):
+            low = text.lower()
+            if any(x in low for x in _SPECIAL):
+                out[k] = self._whole(text)
+            elif len(low) > PIECE:
+                out[k] = self._long(low) or self._whole(text)
+            else:
+                if size + len(low) > PIECE and held:
+                    flush()
+                    size = 0
+                held.append((k, low))
+                size += len(low) + 1
+        if held:
+            flush()
         return out
 
+    def _long(self, low: str) -> tuple[np.ndarray, np.ndarray | None] | None:
+        """A long text in pieces that end at white space."""
+        ids, spans, at = [], [], 0
+        while at < len(low):
+            m = _GAP.search(low, min(len(low), at + PIECE))
+            end = m.start() if m else len(low)
+            found = self._piece(low[at:end], [end - at])[0]
+            if found is None:
+                return None
+            ids.append(found[0])
+            spans += [found[1] + at] if self.offsets else []
+            at = end
+        return np.concatenate(ids), np.concatenate(spans) if self.offsets else None
+
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray | None]:
         x = self.tokenizer.encode(text, add_special_tokens=False)
         return np.array(x.ids, np.uint32), np.array(x.offsets, np.int64).reshape(-1, 2) if self.offsets else None
 
 
-@lru_cache(maxsize=2)
+_GAP = re.compile(f"[{_S}]")
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str, offsets: bool = False) -> WordEncoder:
     """One encoder in each Python worker, kept over its batches and tasks."""
     return WordEncoder(path, offsets)
