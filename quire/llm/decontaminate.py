@@ -9,13 +9,14 @@ position. Windows are matched by backward search, all at once, and located by wa
 position; the hit words of a document are the merged spans of its occurrences.
 
 The benchmark is the broadcast side: it is split by size into parts of at most `part_words` words (a proven
-bound on what a task receives), and each part is searched over all documents. With one part, as for
-any benchmark of usual size, there is no shuffle at all; the hits of more parts are merged by doc_id and text.
+bound on what a task receives: arrays of window words as 32-bit numbers, some 60 bytes a word, and the distinct words), and each
+part is searched over all documents. With one part, as for any benchmark of usual size, there is no shuffle at all; the hits of
+more parts are merged by doc_id and text.
 
 Defined cases: null or wordless text has no words and no hits; items that are null or wordless have no
 window; equal items all count, as do equal item_ids (once) and items without an id (as one, null); every row of documents
-gives a row and is judged by itself, also where doc_ids are null or repeat; extra columns are ignored; empty tables give
-no rows or no hits.
+gives a row and is judged by itself, also where doc_ids are null or repeat; a very long text is a shard of its own; extra
+columns are ignored; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import binary, flat_list, in_slices, stored, table
 
 WINDOW = 13
-PART_WORDS = 2_000_000
+PART_WORDS = 500_000
 #: Bytes that are word characters after lower-casing keep their place, all others become spaces.
 _WORD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else (c + 32 if 65 <= c <= 90 else 32) for c in range(256))
 
@@ -110,12 +111,15 @@ class FMIndex:
             rank, step = new, step * 2
 
     def ranges(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges [low, high) of phrases of one length, one a row, by backward search."""
+        """Suffix ranges [low, high) of phrases of one length, one a row, by backward search; a phrase whose range is empty is left alone."""
         low = np.zeros(len(phrases), dtype=np.int64)
         high = np.full(len(phrases), self.wavelet.n, dtype=np.int64)
+        left = np.arange(len(phrases))
         for column in phrases.T[::-1]:
-            low = self.before[column] + self.wavelet.rank(column, low)
-            high = np.maximum(low, self.before[column] + self.wavelet.rank(column, high))
+            symbol = column[left].astype(np.int64)
+            low[left] = self.before[symbol] + self.wavelet.rank(symbol, low[left])
+            high[left] = np.maximum(low[left], self.before[symbol] + self.wavelet.rank(symbol, high[left]))
+            left = left[high[left] > low[left]]
         return low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -137,18 +141,28 @@ class Phrases:
     """The windows of one part of the benchmark, by length, over numbered words."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
-        numbers: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        self.numbers: dict[bytes, int] = {}
+        by_length: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         self.items = sorted({i for i, _ in items if i is not None}) + [None] * any(i is None for i, _ in items)
         place = {x: k for k, x in enumerate(self.items)}
         for item, text in items:
-            ids = [numbers.setdefault(w, len(numbers) + 2) for w in words_of(text)]
-            width = min(window, len(ids))
-            for s in range(len(ids) - width + 1 if ids else 0):
-                by_length.setdefault(width, {}).setdefault(tuple(ids[s : s + width]), []).append(place[item])
-        self.numbers, self.size = numbers, len(numbers) + 1
-        self.shortest = min(by_length, default=0)
-        self.windows = {n: (np.array(list(x), dtype=np.int64), [sorted(set(v)) for v in x.values()]) for n, x in by_length.items()}
+            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 2) for w in words_of(text)], np.int32)
+            if len(ids):
+                width = min(window, len(ids))
+                found, owners = by_length.setdefault(width, ([], []))
+                found.append(np.lib.stride_tricks.sliding_window_view(ids, width))
+                owners.append(np.full(len(ids) - width + 1, place[item], np.int32))
+        self.size, self.shortest = len(self.numbers) + 1, min(by_length, default=0)
+        #: for each length the distinct windows, and the items of each as bounds into a list
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width, (found, owners) in by_length.items():
+            windows, owner = np.concatenate(found), np.concatenate(owners)
+            order = np.lexsort((owner, *windows.T))
+            windows, owner = windows[order], owner[order]
+            new = np.append(True, (windows[1:] != windows[:-1]).any(axis=1))
+            fresh = new | np.append(True, owner[1:] != owner[:-1])  # an item counts once for a window
+            first = np.cumsum(fresh) - 1
+            self.windows[width] = (windows[new], np.append(first[new], fresh.sum()), owner[fresh])
 
     def search(self, docs: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray, set[int]]]:
         """For each document its hit spans (starts, ends, merged and in order) and the items that occur."""
@@ -171,7 +185,7 @@ class Phrases:
         sequence, source, place = np.concatenate(sequences), np.concatenate(sources), np.concatenate(places)
         index = FMIndex(sequence, self.size)
         spans, items = [], {}
-        for width, (phrases, owners) in self.windows.items():
+        for width, (phrases, bounds, owners) in self.windows.items():
             low, high = index.ranges(phrases)
             some = np.flatnonzero(high > low)
             if not len(some):
@@ -181,7 +195,7 @@ class Phrases:
             at = index.locate(rows)
             spans.append(np.stack([source[at], place[at], place[at] + width], axis=1))
             for d, w in set(zip(source[at].tolist(), np.repeat(some, counts).tolist(), strict=True)):
-                items.setdefault(d, set()).update(owners[w])
+                items.setdefault(d, set()).update(owners[bounds[w] : bounds[w + 1]].tolist())
         if spans:
             s = np.concatenate(spans)
             s = s[np.lexsort((s[:, 1], s[:, 0]))]
@@ -216,7 +230,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, p
 
     def searched(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(shared.value, window)
+            phrases = shared.value
             for batch in in_slices(batches, 2048):
                 docs = [words_of(t) for t in binary(batch.column(1))]
                 found = phrases.search(docs)
@@ -227,7 +241,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, p
 
         return docs.select(F.col("doc_id").cast("long"), "text", _text_hash(F.col("text")).alias("text_hash")).mapInArrow(run, schema)
 
-    found = [searched(spark.sparkContext.broadcast(part)) for part in benchmark_parts(benchmark, part_words)]
+    found = [searched(spark.sparkContext.broadcast(Phrases(part, window))) for part in benchmark_parts(benchmark, part_words)]
     if len(found) == 1:
         return found[0]
     key = ["doc_id", "text_hash"]
@@ -261,10 +275,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return found.withColumn("n_hit", hit).withColumns({"n_items": F.size("items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))})
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, unchanged; each row is judged by its own text."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (_text_hash(docs["text"]) == bad["bad_hash"]), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """The documents that are not contaminated, unchanged; each row is judged by its own text.
+
+    With one part of the benchmark the rows are judged and kept in the pass that searches them, without a shuffle.
+    """
+    parts = benchmark_parts(benchmark, part_words)
+    first, more = next(parts), next(parts, None)
+    if more is not None:
+        bad = contamination(docs, benchmark, window=window, part_words=part_words).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+        return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (_text_hash(docs["text"]) == bad["bad_hash"]), "left_anti")
+    shared, at = docs.sparkSession.sparkContext.broadcast(Phrases(first, window)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, 2048):
+            words = [words_of(t) for t in binary(batch.column(at))]
+            hits = [int((ends - starts).sum()) for starts, ends, _ in shared.value.search(words)]
+            yield batch.filter(pa.array([not (n and 20 * n >= len(w)) for n, w in zip(hits, words, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
