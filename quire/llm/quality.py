@@ -10,8 +10,9 @@ Training uses at most `most_rows` labelled rows (a documented bound; the ones wi
 doc_id, so the same at every run); their sparse vectors come to the driver and the model, whose size
 does not depend on the corpus, is broadcast. Scoring is a narrow operation over whole texts.
 
-Defined cases: null text counts as empty; empty texts get a score from their (zero) statistics; rows
-without a label, with a null label, or labelled twice with different labels are not learned from; without
+Defined cases: null text counts as empty; empty texts get a score from their (zero) statistics; a very long text is scored as
+any other (memory grows with its distinct words); repeated rows each get their score; rows of equal features are ordered by their label, so
+that the model is the same at every run; rows without a label, with a null label, or labelled twice with different labels are not learned from; without
 any row to learn from every score is 0.5; extra columns are ignored.
 """
 
@@ -73,12 +74,20 @@ class Model:
         bins = (s[:, None] > self.cuts).sum(axis=1)
         return np.concatenate([places, BUCKETS + np.arange(len(s)) * BINS + bins]), np.concatenate([values, np.full(len(s), 0.3, np.float32)])
 
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray, list[float]]]) -> np.ndarray:
+        """The scores of many rows at once, in linear time."""
+        if not rows:
+            return np.zeros(0)
+        vectors = [self.vector(*r) for r in rows]
+        i, x = (np.concatenate([v[k] for v in vectors]) for k in (0, 1))
+        starts = np.cumsum([0, *(len(v[0]) for v in vectors[:-1])])
+        v = self.factors[i].astype(np.float64) * x[:, None]
+        s = np.add.reduceat(v, starts)
+        z = self.bias + np.add.reduceat(self.linear[i].astype(np.float64) * x, starts) + 0.5 * ((s * s).sum(axis=1) - np.add.reduceat((v * v).sum(axis=1), starts))
+        return 1 / (1 + np.exp(-np.clip(z, -30.0, 30.0)))
+
     def score(self, places: np.ndarray, values: np.ndarray, statistics: list[float]) -> float:
-        i, x = self.vector(places, values, statistics)
-        v = self.factors[i] * x[:, None]
-        s = v.sum(axis=0)
-        z = self.bias + float(self.linear[i] @ x) + 0.5 * float((s * s).sum() - (v * v).sum())
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return float(self.scores([(places, values, statistics)])[0])
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Model:
@@ -139,8 +148,10 @@ def fitted(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most_r
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).select("label", F.col("text").cast("string")).mapInArrow(_featurised, "label int, places array<int>, x array<float>, statistics array<double>")
     got = rows.toArrow()
     features = [(np.asarray(p.values.to_numpy(), np.int64), np.asarray(x.values.to_numpy(), np.float32), s.as_py()) for p, x, s in zip(got["places"], got["x"], got["statistics"], strict=True)]
-    order = sorted(range(len(features)), key=lambda k: (len(features[k][0]), features[k][2]))  # rows come in any order
-    return train([features[k] for k in order], np.asarray(got["label"].to_numpy(), np.float32)[order])
+    label_of = got["label"].to_pylist()
+    # rows come in any order; those that agree in the key have the same words or the same hashed places
+    order = sorted(range(len(features)), key=lambda k: (len(features[k][0]), features[k][2], label_of[k], features[k][0].tobytes(), features[k][1].tobytes()))
+    return train([features[k] for k in order], np.array(label_of, np.float32)[order])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -148,8 +159,8 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
-            scores = np.array([shared.value.score(*features_of(t)) for t in binary(batch.column(1))], np.float64)
+        for batch in in_slices(batches, 128, 2 << 20):
+            scores = shared.value.scores([features_of(t) for t in binary(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -161,9 +172,8 @@ def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
-            good = [shared.value.score(*features_of(t)) >= threshold for t in binary(batch.column(at))]
-            yield batch.filter(pa.array(good, pa.bool_()))
+        for batch in in_slices(batches, 128, 2 << 20):
+            yield batch.filter(pa.array(shared.value.scores([features_of(t) for t in binary(batch.column(at))]) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
