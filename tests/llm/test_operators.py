@@ -76,6 +76,28 @@ def test_jaccard(spark, texts, most):
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 9, 14, 50, 200, 5000])
+def test_partenum_signatures(n):
+    """Sets at the least similarity share as many signatures as each counts on, though they differ in exactly the most elements; bands differ too."""
+    rng = np.random.default_rng(n)
+    for size in {n, int(n / 0.8)}:
+        for _ in range(60 if n < 1000 else 4):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            common = -(-8 * (n + size) // 18)  # 100 c >= 80 (n + size - c)
+            if common > n:
+                continue
+            b = np.unique(np.concatenate([a[n - common :], rng.integers(0, 2**63, size - common).astype(np.uint64)]))
+            shared = 0
+            for x, need_x in jaccard.signatures(a):
+                for y, need_y in jaccard.signatures(b):
+                    if x[0] & np.uint64(127) == y[0] & np.uint64(127):
+                        both = len(np.intersect1d(x, y))
+                        assert both >= max(need_x, need_y)
+                        shared += both
+            assert shared
+    assert n < 14 or all(jaccard.parameters(b)[0] > 1 for b in jaccard.bands_of(n))
+
+
 def test_jaccard_null_ids_and_empty(spark):
     rows = jaccard.classes(corpus(spark, ["a b c d e f", "a b c d e f", "a b c d e f"], [None, 7, 7])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in rows) == [(-1, -1), (7, 7), (7, 7)]
@@ -174,7 +196,7 @@ def test_fm_index_null_and_repeated_ids(spark, part_words):
     rows = decontaminate.contamination(docs, bench, part_words=part_words).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in rows), key=str) == sorted(want, key=str)
     assert all(r.n_items == len(r["items"]) for r in rows)
-    left = decontaminate.decontaminated(docs, bench)
+    left = decontaminate.decontaminated(docs, bench, part_words=part_words)
     assert left.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(None, None), (None, "clean"), (7, "clean words"), (7, "clean words")], key=str)
 
@@ -235,7 +257,7 @@ def test_base_spans(spark, text, kind, want):
 
 
 def test_disclosing_terms(spark):
-    lines = [f"reach Quoxley at user{k}@mail.example.com please" for k in range(12)] + ["please reach the office at noon"] * 300 + ["ü Quoxley Ünder x@y.zz"]
+    lines = [f"reach Quoxley at user{k}@mail.example.com please" for k in range(12)] + ["please reach the office at noon"] * 300 + ["ü (Quoxley) Ünder x@y.zz"]
     docs = corpus(spark, [None, "", "no data", *lines, lines[0]])
     found = {r.doc_id: r for r in pii.find_spans(docs).collect()}
     assert len(found) == len(lines) + 4 and not found[0].base and not found[2].terms
@@ -243,11 +265,53 @@ def test_disclosing_terms(spark):
     assert [(s.kind, lines[0][s.start : s.end]) for s in one.terms] == [("remove", "Quoxley")]
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
     assert clean[3] == "reach  at [EMAIL] please" and clean[0] is None and clean[2] == "no data"
-    assert clean[3 + len(lines) - 1] == "ü  Ünder [EMAIL]"
+    assert clean[3 + len(lines) - 1] == "ü () Ünder [EMAIL]"
     assert pii.sanitised(docs).columns == docs.columns
     assert pii.find_spans(corpus(spark, [])).count() == 0
 
 
+def test_secrets_and_what_gives_them_away(spark):
+    rng = random.Random(12)
+    secrets = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(9)]
+    words = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(4)) for _ in range(n))
+    texts = [f'{words(30)} token = "{s}" {words(20)}\nnext line {s[:10]}' for s in secrets] + [words(200) for _ in range(40)] + ["x" * 30_000, "twenty-letters-and-more-words-here"]
+    found = {r.doc_id: r for r in pii.find_spans(corpus(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        spans = [(s.kind, t[s.start : s.end]) for s in found[k].terms]
+        assert spans == ([("remove", "token"), ("secret", secrets[k])] if k < len(secrets) else [])
+    clean = {r.doc_id: r for r in pii.sanitised(corpus(spark, texts)).collect()}
+    assert clean[0].text == texts[0].replace(secrets[0], "[SECRET]").replace("token", "") and clean[0].n_chars == len(clean[0].text)
+    assert clean[len(texts) - 1].text == texts[-1]
+
+
+def test_many_entities_in_one_text(spark):
+    """Linear in the text: over 1 MB with 30,000 entities in seconds."""
+    import time
+
+    text = "\n".join(f"line {k} user{k}@mail.example.com and words" for k in range(30_000))
+    began = time.time()
+    row = pii.sanitised(corpus(spark, [text])).collect()[0]
+    assert row.text == "\n".join(f"line {k} [EMAIL] and words" for k in range(30_000))
+    assert time.time() - began < 60
+
+
+def test_united_spans(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(60):
+        starts = sorted(rng.randrange(400) for _ in range(rng.randrange(1, 300)))
+        rows.append(([(s, s + rng.randrange(1, 6), "ip") for s in starts],))
+    df = spark.createDataFrame(rows, "s array<struct<start:bigint,end:bigint,kind:string>>").select("s", pii._united(F.col("s")).alias("u"))
+    for r in df.collect():
+        want = []
+        for s, e, _ in r.s:
+            if want and s < want[-1][1]:
+                want[-1][1] = max(e, want[-1][1])
+            else:
+                want.append([s, e])
+        assert [[x.start, x.end] for x in r.u] == want
+
+
 def test_disclosure_uses_no_python(spark):
     plan = pii.find_spans(corpus(spark, ["a@b.cc"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
