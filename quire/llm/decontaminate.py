@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import binary, flat_list, in_slices, stored, table
+from quire.llm.common import binary, flat_list, in_slices, released, stored, table
 
 WINDOW = 13
 PART_WORDS = 500_000
@@ -239,7 +239,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, p
                 arrays += [flat_list(np.concatenate([f[k] for f in found]), [len(f[k]) for f in found], pa.int64()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text_hash", "n_words", "span_starts", "span_ends", "items"])
 
-        return docs.select(F.col("doc_id").cast("long"), "text", _text_hash(F.col("text")).alias("text_hash")).mapInArrow(run, schema)
+        return docs.select(F.col("doc_id").cast("long"), "text", _text_hash(F.col("text")).alias("text_hash")).mapInArrow(released(run), schema)
 
     found = [searched(spark.sparkContext.broadcast(Phrases(part, window))) for part in benchmark_parts(benchmark, part_words)]
     if len(found) == 1:
@@ -293,7 +293,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDO
             hits = [int((ends - starts).sum()) for starts, ends, _ in shared.value.search(words)]
             yield batch.filter(pa.array([not (n and 20 * n >= len(w)) for n, w in zip(hits, words, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import MIX_B, binary, connected_components, cut, in_slices, mixed, rolled, stored, table, word_hashes
+from quire.llm.common import MIX_B, binary, connected_components, cut, in_slices, mixed, released, rolled, stored, table, word_hashes
 
 WIDTH, GROWTH = 5, 1.4
 #: Documents, and shingles, of a block that is compared in one task.
@@ -149,7 +149,7 @@ def described(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(made, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "n_signatures"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, n_signatures long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, n_shingles long, digest binary, n_signatures long")
 
 
 def _combined(rows: list[tuple[int, np.ndarray, int]]) -> pa.RecordBatch:
@@ -172,19 +172,27 @@ def occurrences(docs: DataFrame, most: int) -> DataFrame:
     """The signatures of all sets that are not empty, combined over about `most` of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        rows, seen, held = [], {}, 0
         for batch in in_slices(batches, 256, 1 << 20):
             for key, s in zip(batch.column(0).to_pylist(), shingle_sets(binary(batch.column(1))), strict=True):
-                for made, need in signatures(s) if len(s) else ():
+                if not len(s):
+                    continue
+                places = seen.setdefault(xxhash.xxh3_128_digest(s.tobytes()), [])
+                for k in places:  # equal sets are one class already: the smallest document of the batch stands for them
+                    rows[k] = (min(key, rows[k][0]), *rows[k][1:])
+                if places:
+                    continue
+                for made, need in signatures(s):
+                    places.append(len(rows))
                     rows.append((key, made, need))
                     held += len(made)
             if held > most:
                 yield _combined(rows)
-                rows, held = [], 0
+                rows, seen, held = [], {}, 0
         if held:
             yield _combined(rows)
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "signature long, doc_id long, centre long, need int")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "signature long, doc_id long, centre long, need int")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +228,7 @@ def shared_signatures(docs: DataFrame, most: int, n_signatures: int) -> DataFram
     local = (F.col("centre") == ALONE) | (F.col("centre") == F.col("doc_id"))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + n_signatures // A_TASK)
     dealt = occurrences(docs, most).repartition(tasks, F.when(local, F.xxhash64("signature")).otherwise(F.xxhash64("signature", "centre")))
-    return dealt.mapInArrow(_shared, "signature long, doc_id long, centre long, need int")
+    return dealt.mapInArrow(released(_shared), "signature long, doc_id long, centre long, need int")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +248,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of doc_ids that are similar, judged on whole texts."""
     with_a = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
     both = with_a.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_compared, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(released(_compared), "a long, b long")
 
 
 def _with_class(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -328,7 +336,7 @@ def _across(split: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["cluster", "i", "j"]
     dealt = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.signum(F.col("block") - F.col("other")).cast("int").alias("side"), "doc_id", "component", "text")
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_blocks_linked, "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(_blocks_linked), "a long, b long")
 
 
 def _small(ids: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import in_slices, stored, table
+from quire.llm.common import in_slices, released, stored, table
 from quire.llm.tokens import encoder
 
 SIZE = 2048
@@ -48,7 +48,7 @@ def pieces_of(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
             doc = batch.column(0).take(pa.array(np.repeat(np.arange(len(encoded)), counts)))
             yield pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(piece * size), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def enumerate_patterns(present: np.ndarray, size: int = SIZE, spread: int = 24) -> np.ndarray:

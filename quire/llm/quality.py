@@ -7,7 +7,7 @@ in the training rows; and its length likewise as metadata. Interactions of all p
 are scored in linear time by the sum-of-squares identity: 1/2 * sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2).
 
 Training uses at most `most_rows` labelled rows (a documented bound; the ones with the smallest hash of
-doc_id, so the same at every run); their sparse vectors come to the driver and the model, whose size
+doc_id, so the same at every run); their sparse vectors (8 bytes a distinct word) come to the driver and the model, whose size
 does not depend on the corpus, is broadcast. Scoring is a narrow operation over whole texts.
 
 Defined cases: null text counts as empty; empty texts get a score from their (zero) statistics; a very long text is scored as
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import binary, in_slices, table
+from quire.llm.common import binary, give_back, in_slices, released, table
 
 BUCKETS, BINS, RANK = 1 << 15, 8, 8
 MOST_ROWS = 12_000
@@ -71,8 +71,8 @@ class Model:
 
     def vector(self, places: np.ndarray, values: np.ndarray, statistics: list[float]) -> tuple[np.ndarray, np.ndarray]:
         s = np.asarray(statistics)
-        bins = (s[:, None] > self.cuts).sum(axis=1)
-        return np.concatenate([places, BUCKETS + np.arange(len(s)) * BINS + bins]), np.concatenate([values, np.full(len(s), 0.3, np.float32)])
+        bins = (s[:, None] > self.cuts).sum(axis=1, dtype=np.int32)
+        return np.concatenate([places, BUCKETS + np.arange(len(s), dtype=np.int32) * BINS + bins], dtype=np.int32, casting="unsafe"), np.concatenate([values, np.full(len(s), 0.3, np.float32)], dtype=np.float32, casting="unsafe")
 
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray, list[float]]]) -> np.ndarray:
         """The scores of many rows at once, in linear time."""
@@ -145,13 +145,16 @@ def fitted(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most_r
     """A model of labels[label] from the rows that are not held out; at most most_rows of them."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("label_id")).agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most")
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows).select("label_id", F.col("label").cast("int").alias("label"))
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).select("label", F.col("text").cast("string")).mapInArrow(_featurised, "label int, places array<int>, x array<float>, statistics array<double>")
+    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).select("label", F.col("text").cast("string")).mapInArrow(released(_featurised), "label int, places array<int>, x array<float>, statistics array<double>")
     got = rows.toArrow()
-    features = [(np.asarray(p.values.to_numpy(), np.int64), np.asarray(x.values.to_numpy(), np.float32), s.as_py()) for p, x, s in zip(got["places"], got["x"], got["statistics"], strict=True)]
+    features = [(p.values.to_numpy(), x.values.to_numpy(), s.as_py()) for p, x, s in zip(got["places"], got["x"], got["statistics"], strict=True)]  # views of Arrow's memory
     label_of = got["label"].to_pylist()
-    # rows come in any order; those that agree in the key have the same words or the same hashed places
-    order = sorted(range(len(features)), key=lambda k: (len(features[k][0]), features[k][2], label_of[k], features[k][0].tobytes(), features[k][1].tobytes()))
-    return train([features[k] for k in order], np.array(label_of, np.float32)[order])
+    # rows come in any order; those that agree in the key have the same words, or the same hashed places
+    order = sorted(range(len(features)), key=lambda k: (len(features[k][0]), features[k][2], label_of[k], zlib.crc32(features[k][0]), zlib.crc32(features[k][1])))
+    model = train([features[k] for k in order], np.array(label_of, np.float32)[order])
+    del rows, got, features
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -163,7 +166,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             scores = shared.value.scores([features_of(t) for t in binary(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, score double, predicted int")
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,7 +178,7 @@ def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
         for batch in in_slices(batches, 128, 2 << 20):
             yield batch.filter(pa.array(shared.value.scores([features_of(t) for t in binary(batch.column(at))]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op3_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
