@@ -23,11 +23,21 @@ def json_value(value: Column) -> Column:
     return F.when(is_typed(value), F.trim(value)).otherwise(json_string(value))
 
 
+#: The short escapes of JSON; other control characters are written by their number.
+SHORT_ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
 def json_string(value: Column) -> Column:
-    """A JSON string with short escapes for quotes, backslashes and line ends, tabs included."""
-    for raw, short in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        value = F.replace(value, F.lit(raw), F.lit(short))
-    return F.concat(F.lit('"'), value, F.lit('"'))
+    """A JSON string: quotes, backslashes and all control characters are escaped; texts without any take one test."""
+    escaped = value
+    for raw, short in SHORT_ESCAPES.items():
+        escaped = F.replace(escaped, F.lit(raw), F.lit(short))
+    rare = escaped
+    for c in (chr(k) for k in range(32)):
+        if c not in SHORT_ESCAPES:
+            rare = F.replace(rare, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    escaped = F.when(escaped.rlike(r"[\x00-\x1f]"), rare).otherwise(escaped)
+    return F.concat(F.lit('"'), F.when(value.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(value), F.lit('"'))
 
 
 def is_numeric(value: Column) -> Column:

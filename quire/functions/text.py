@@ -70,3 +70,103 @@ def split_records(text: Column, size: int = 4096) -> Column:
     """Fixed-size records of a text's bytes."""
     raw = F.encode(text, "UTF-8")
     return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length(raw) - 1) / size).cast("int"))), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
+
+
+def strip_xml_illegal(text: Column) -> Column:
+    """Without the characters that XML cannot hold: control characters but tab and line ends, U+FFFE and U+FFFF."""
+    return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]", "")
+
+
+def safe_label(raw: Column) -> Column:
+    """A note's label of letters, digits and _.- only, at most 56 characters, never empty; to be made unique by numbering."""
+    clean = F.regexp_replace(F.regexp_replace(F.trim(raw), "[^A-Za-z0-9_.-]+", "-"), "^-+|-+$", "")
+    short = F.substring(clean, 1, 56)
+    return F.when(short == "", "note").otherwise(short)
+
+
+def sheet_name(raw: Column) -> Column:
+    """A sheet's name as workbooks allow it: no []:*?/\\ and at most 31 characters; to be made unique by numbering."""
+    clean = F.trim(F.regexp_replace(raw, r"[\[\]:*?/\\]", "_"))
+    return F.substring(F.when(clean == "", "Sheet").otherwise(clean), 1, 31)
+
+
+def contents_entry(line: Column) -> Column:
+    """A line of a table of contents, "title ..... 12", as "title — 12"; null for other lines."""
+    title, number = F.trim(F.regexp_extract(line, r"^(\S.*?)\s*\.{3,}\s*([0-9]+)$", 1)), F.regexp_extract(line, r"^(\S.*?)\s*\.{3,}\s*([0-9]+)$", 2)
+    return F.when((number != "") & (title != ""), F.concat(title, F.lit(" — "), number))
+
+
+def limit_message(shown: Column, total: Column, noun: str = "records") -> Column:
+    return F.concat(F.lit("Showing the first "), F.format_number(shown, 0), F.lit(" of "), F.format_number(total, 0), F.lit(f" {noun}."))
+
+
+def blob_label(length: Column) -> Column:
+    """What a binary value is, without its bytes: "[blob 1.2 KB]"; halves are rounded up."""
+    one = lambda x: F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10)
+    size = F.when(length < 1024, F.concat(length.cast("string"), F.lit(" B"))).when(length < 1024 * 1024, F.concat(one(length / 1024), F.lit(" KB"))).otherwise(F.concat(one(length / 1024 / 1024), F.lit(" MB")))
+    return F.concat(F.lit("[blob "), size, F.lit("]"))
+
+
+def yaml_scalar(raw: Column) -> Column:
+    """A scalar of YAML: quotes removed and their escapes undone, a comment cut off; null where there is none or a block follows."""
+    v = F.trim(raw)
+    quoted = lambda q: (F.length(v) >= 2) & v.startswith(q) & v.endswith(q)
+    inner = F.substring(v, F.lit(2), F.length(v) - 2)
+    return (
+        F.when((v == "") | v.rlike(r"^[|>][+-]?[0-9]*$"), None).when(quoted("'"), F.replace(inner, F.lit("''"), F.lit("'")))
+        .when(quoted('"'), F.regexp_replace(inner, r'\\(["\\])', "$1")).otherwise(F.regexp_replace(v, r"\s+#.*$", ""))
+    )
+
+
+#: The lines that a front-matter block may hold, and the longest block.
+FRONT_MATTER_LINE = r"^(?:\s*|#.*|[A-Za-z0-9_][\w .-]*:(?:\s.*)?|[ \t].*|- .*)$"
+KEY_LINE = r"^[A-Za-z0-9_][\w .-]*:"
+FRONT_MATTER_LINES = 200
+
+
+def front_matter(text: Column) -> Column:
+    """(body, title): a text without the YAML block at its head, if that can be nothing else, and the title that the block names."""
+    lines = F.split(text, r"\r?\n")
+    ends = F.transform(F.slice(lines, F.lit(2), F.lit(FRONT_MATTER_LINES)), lambda l: F.rtrim(l).isin("---", "..."))
+    close = F.array_position(ends, True).cast("int")  # from 1, after the first line
+    block = F.slice(lines, F.lit(2), F.greatest(close - 1, F.lit(0)))
+    sound = (F.rtrim(F.get(lines, F.lit(0))) == "---") & (close > 0) & F.forall(block, lambda l: l.rlike(FRONT_MATTER_LINE)) & F.exists(block, lambda l: l.rlike(KEY_LINE))
+    title = yaml_scalar(F.substring(F.get(F.filter(block, lambda l: l.startswith("title:")), F.lit(0)), 7, 2**31 - 1))
+    body = F.array_join(F.slice(lines, close + 2, F.size(lines)), "\n")
+    return F.struct(F.when(sound, body).otherwise(text).alias("body"), F.when(sound, F.nullif(title, F.lit(""))).alias("title"))
+
+
+#: The constructs of Markdown, two of which make a text Markdown beyond doubt.
+CONSTRUCTS = (
+    r"(?m)^#{1,6}[ \t]+\S", r"(?m)^[ \t]*(?:[-*+]|\d+[.)])[ \t]+\S", r"\[[^\]\n]+\]\((?:https?:|mailto:|[./#])[^)\s]*\)", r"\*\*[^*\s][^*\n]*\*\*",
+    r"(?m)^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|", r"(?m)^>[ \t]",
+)
+FENCED = (r"(?m)^ {0,3}(?:`{3,}|~{3,})[\w+#.-]+[ \t]*$", r"(?ms)^ {0,3}`{3}[^\n]*\n.*?^ {0,3}`{3}", r"(?ms)^ {0,3}~{3}[^\n]*\n.*?^ {0,3}~{3}")
+
+
+def clearly_markdown(text: Column) -> Column:
+    """A fenced block, or two different constructs of Markdown."""
+    fenced = F.lit(False)
+    for pattern in FENCED:
+        fenced = fenced | text.rlike(pattern)
+    count = F.lit(0)
+    for pattern in CONSTRUCTS:
+        count = count + text.rlike(pattern).cast("int")
+    return fenced | (count >= 2)
+
+
+def auto_tables(html: Column, most_rows: int = 500, longest: int = 28) -> Column:
+    """Whether a document's tables are few enough in rows, and short enough in words, to be laid out by their content."""
+    rows = F.size(F.regexp_extract_all(html, F.lit(r"<tr[\s>]"), F.lit(0)))
+    tables = F.regexp_extract_all(html, F.lit(r"(?s)<table[\s>].*?</table>"), F.lit(0))
+    bare = F.transform(tables, lambda t: F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), r"&[#\w]+;", "x"))
+    return (rows <= most_rows) & ~F.exists(bare, lambda t: F.exists(F.split(t, r"\s+"), lambda w: F.length(w) > longest))
+
+
+def tab_rows(block: Column, code_tell: str) -> Column:
+    """A block of lines as rows of cells at its tabs; null unless all of two lines or more have the same two or more fields, begin with text and look like no code."""
+    lines = F.filter(F.split(block, "\n"), lambda l: F.trim(l) != "")
+    rows = F.transform(lines, lambda l: F.transform(F.split(F.regexp_replace(l, r"\s+$", ""), "\t"), lambda f: F.regexp_replace(f, r"^\s+|\s+$", "")))
+    plain = F.forall(lines, lambda l: l.rlike(r"^[^\t]*[^\t\s][^\t]*\t") & ~l.rlike(code_tell))
+    even = F.size(F.array_distinct(F.transform(rows, lambda r: F.size(r)))) == 1
+    return F.when((F.size(lines) >= 2) & plain & even & (F.size(F.get(rows, F.lit(0))) >= 2), rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.numbers import is_numeric, json_value
+from quire.functions.numbers import is_numeric, json_string, json_value
 from quire.functions.text import csv_cell, escape_html
 
 TABLE = ("doc", "table_no")
@@ -34,9 +34,8 @@ def rows_of(cells: DataFrame, value: Column | None = None) -> DataFrame:
 def trim_trailing(cells: DataFrame) -> DataFrame:
     """Without the empty rows and columns at the end; a table without any text stays as it is."""
     filled = F.trim("value") != ""
-    per = Window.partitionBy(*TABLE)
-    marked = cells.withColumns({"last_r": F.max(F.when(filled, F.col("r"))).over(per), "last_c": F.max(F.when(filled, F.col("c"))).over(per)})
-    return marked.where("last_r is null or (r <= last_r and c <= last_c)").drop("last_r", "last_c")
+    last = cells.groupBy(*TABLE).agg(F.max(F.when(filled, F.col("r"))).alias("last_r"), F.max(F.when(filled, F.col("c"))).alias("last_c"))
+    return cells.join(last, list(TABLE)).select(*cells.columns, "last_r", "last_c").where("last_r is null or (r <= last_r and c <= last_c)").drop("last_r", "last_c")
 
 
 def with_content(cells: DataFrame) -> DataFrame:
@@ -95,21 +94,48 @@ def json_rows(cells: DataFrame) -> DataFrame:
     joined = rows.join(keyed, list(TABLE))
     cell = lambda i: json_value(F.coalesce(F.get("cells", i), F.lit("")))
     places = F.sequence(F.lit(0), F.col("width") - 1)
-    as_object = F.concat(F.lit("{"), F.array_join(F.transform(places, lambda i: F.concat(F.lit('"'), F.get("names", i), F.lit('": '), cell(i))), ", "), F.lit("}"))
+    as_object = F.concat(F.lit("{"), F.array_join(F.transform(places, lambda i: F.concat(json_string(F.get("names", i)), F.lit(": "), cell(i))), ", "), F.lit("}"))
     as_array = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), F.size("cells") - 1), cell), ", "), F.lit("]"))
     return joined.where(~F.col("keyed") | (F.col("r") > 0)).select(*TABLE, "r", F.when(F.col("keyed"), as_object).otherwise(as_array).alias("row"))
 
 
-def pipe_rows(cells: DataFrame) -> DataFrame:
-    """(doc, table_no, line_no, line) of Markdown tables: the first row, the border, the other rows; bars escaped, short rows filled up."""
-    rows = rows_of(cells, F.replace(F.col("value"), F.lit("|"), F.lit("\\|")))
-    wide = rows.withColumn("width", F.max(F.size("cells")).over(Window.partitionBy(*TABLE)))
+def shared_alignments(cells: DataFrame) -> DataFrame:
+    """(doc, table_no, c, align) from cells with `is_header` and `align` (null: none): what the filled body cells of a column agree in, or, where it has none, the first row's; null where they differ."""
+    body = (F.col("r") > 0) & ~F.col("is_header") & (F.col("value") != "")
+    of = F.coalesce("align", F.lit("none"))
+    column = cells.groupBy(*TABLE, "c").agg(F.min(F.when(body, of)).alias("low"), F.max(F.when(body, of)).alias("high"), F.max(F.when(F.col("r") == 0, of)).alias("top"))
+    shared = F.when(F.col("low").isNull(), F.col("top")).when(F.col("low") == F.col("high"), F.col("low"))
+    return column.select(*TABLE, "c", F.nullif(shared, F.lit("none")).alias("align"))
+
+
+#: The border of a column by its alignment.
+BORDERS = {"left": ":---", "center": ":---:", "right": "---:"}
+
+
+def pipe_rows(cells: DataFrame, aligns: DataFrame | None = None) -> DataFrame:
+    """(doc, table_no, line_no, line) of Markdown tables: the first row, the border, the other rows; bars escaped, line ends as <br>, short rows filled up. aligns: shared_alignments()."""
+    value = F.regexp_replace(F.replace(F.col("value"), F.lit("|"), F.lit("\\|")), r"\r\n?|\n", "<br>")
+    width = cells.groupBy(*TABLE, "r").agg(F.count("*").alias("n")).groupBy(*TABLE).agg(F.max("n").cast("int").alias("width"))
+    wide = rows_of(cells, value).join(width, list(TABLE))
     line = lambda each: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), each), " | "), F.lit(" |"))
     body = wide.select(*TABLE, F.when(F.col("r") == 0, 0).otherwise(F.col("r") + 1).alias("line_no"), line(lambda i: F.coalesce(F.get("cells", i), F.lit(""))).alias("line"))
-    border = wide.where("r = 0").select(*TABLE, F.lit(1).alias("line_no"), line(lambda i: F.lit("---")).alias("line"))
+    marks = F.create_map(*(F.lit(x) for pair in BORDERS.items() for x in pair))
+    if aligns is None:
+        named = width.withColumn("marks", F.expr("cast(map() as map<int,string>)"))
+    else:
+        each = aligns.where("align is not null").groupBy(*TABLE).agg(F.map_from_entries(F.collect_list(F.struct(F.col("c").cast("int"), F.element_at(marks, F.col("align"))))).alias("marks"))
+        named = width.join(each, list(TABLE), "left").withColumn("marks", F.coalesce("marks", F.expr("cast(map() as map<int,string>)")))
+    border = named.select(*TABLE, F.lit(1).alias("line_no"), line(lambda i: F.coalesce(F.try_element_at("marks", i), F.lit("---"))).alias("line"))
     return body.unionByName(border)
 
 
+def promoted_headers(cells: DataFrame, marked: DataFrame) -> DataFrame:
+    """cells with `is_header` made true on the first row of tables that `marked` (doc, table_no) names and that have no header cell."""
+    any_header = cells.groupBy(*TABLE).agg(F.bool_or("is_header").alias("any_header"))
+    flagged = cells.join(any_header, list(TABLE)).join(marked.select(*TABLE, F.lit(True).alias("marked")).distinct(), list(TABLE), "left")
+    return flagged.withColumn("is_header", F.col("is_header") | ((F.col("r") == 0) & F.coalesce("marked", F.lit(False)) & ~F.col("any_header"))).select(*cells.columns)
+
+
 def html_tables(cells: DataFrame) -> DataFrame:
     """(doc, table_no, html): a table with a head if has_header()."""
     tagged = cells.join(has_header(cells), list(TABLE)).withColumn("tag", F.when((F.col("r") == 0) & F.col("header"), "th").otherwise("td"))
@@ -120,10 +146,10 @@ def html_tables(cells: DataFrame) -> DataFrame:
 
 
 def covered(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """cells with the merge that holds each (r0, c0, r1, c1 or null) and whether the cell is its anchor: a range join of a table's cells and merges."""
-    m = merges.select(*(F.col(c).alias(f"m_{c}") for c in TABLE), "r0", "c0", "r1", "c1")
-    inside = (F.col("doc") == F.col("m_doc")) & (F.col("table_no") == F.col("m_table_no")) & F.col("r").between(F.col("r0"), F.col("r1")) & F.col("c").between(F.col("c0"), F.col("c1"))
-    return cells.join(m, inside, "left").select(*cells.columns, "r0", "c0", "r1", "c1", F.when(F.col("r0").isNotNull(), (F.col("r") == F.col("r0")) & (F.col("c") == F.col("c0"))).alias("anchor"))
+    """cells with the merge that holds each (r0, c0, r1, c1 or null) and whether the cell is its anchor: merges spread to the places that they cover, joined by place."""
+    place = merges.select(*TABLE, "r0", "c0", "r1", "c1", F.explode(F.sequence("r0", "r1")).alias("r")).select("*", F.explode(F.sequence("c0", "c1")).alias("c"))
+    joined = cells.join(place, [*TABLE, "r", "c"], "left")
+    return joined.select(*cells.columns, "r0", "c0", "r1", "c1", F.when(F.col("r0").isNotNull(), (F.col("r") == F.col("r0")) & (F.col("c") == F.col("c0"))).alias("anchor"))
 
 
 def sheets(rows: DataFrame, most: int = 1_048_576) -> DataFrame:
@@ -134,8 +160,8 @@ def sheets(rows: DataFrame, most: int = 1_048_576) -> DataFrame:
 
 def first_rows(rows: DataFrame, most: int = 5000) -> DataFrame:
     """The first rows of each table for print, with the table's total."""
-    per = Window.partitionBy(*TABLE)
-    return rows.withColumn("total", F.count("*").over(per)).where(F.col("r") < most)
+    total = rows.groupBy(*TABLE).agg(F.count("*").alias("total"))
+    return rows.where(F.col("r") < most).join(total, list(TABLE)).select(*rows.columns, "total")
 
 
 def folded(cells: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -18,7 +19,7 @@ NUMBER = r"^-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{1,12})?$"
 
 def _parts(lines: DataFrame, order: str, text: str, by: str, suffix: str, head: str = "", tail: str = "") -> DataFrame:
     whole = lines.groupBy("doc", "table_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), by).alias("body"))
-    name = F.when(F.col("table_no") == 0, suffix).otherwise(F.concat(F.lit(f"-{''}"), (F.col("table_no") + 1).cast("string"), F.lit(suffix)))
+    name = F.when(F.col("table_no") == 0, suffix).otherwise(F.concat(F.lit("-"), (F.col("table_no") + 1).cast("string"), F.lit(suffix)))
     return whole.select("doc", "table_no", name.alias("suffix"), F.concat(F.lit(head), "body", F.lit(tail)).alias("content"))
 
 
@@ -44,6 +45,12 @@ def _letters(n: int) -> str:
     return out
 
 
+def _cell_text(text: str) -> str:
+    """A cell's text in a workbook's XML: what XML cannot hold, and what reads as such an escape, by its number as _xHHHH_."""
+    text = re.sub(r"_(?=x[0-9A-Fa-f]{4}_)", "_x005F_", text)
+    return escape(re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", lambda m: f"_x{ord(m[0]):04X}_", text))
+
+
 def workbook(sheets: list[tuple[str, list[list[tuple[str, bool]]]]]) -> bytes:
     """An xlsx file with the same bytes every time; cells are (text, whether it is a number), empty ones are left out."""
     out = io.BytesIO()
@@ -62,7 +69,7 @@ def workbook(sheets: list[tuple[str, list[list[tuple[str, bool]]]]]) -> bytes:
             body = []
             for r, row in enumerate(rows, 1):
                 body.append(f'<row r="{r}">')
-                body += [f'<c r="{_letters(c)}{r}"><v>{t}</v></c>' if number else f'<c r="{_letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(t)}</t></is></c>' for c, (t, number) in enumerate(row) if t]
+                body += [f'<c r="{_letters(c)}{r}"><v>{t}</v></c>' if number else f'<c r="{_letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{_cell_text(t)}</t></is></c>' for c, (t, number) in enumerate(row) if t]
                 body.append("</row>")
             put(f"xl/worksheets/sheet{k}.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join(body) + "</sheetData></worksheet>")
     return out.getvalue()

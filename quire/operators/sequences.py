@@ -103,10 +103,17 @@ def footnotes(refs: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def unique_names(names: DataFrame, keys: list[str], order: str, name: str = "name") -> DataFrame:
-    """names with `unique_name`: the n-th of a name, by case-insensitive comparison, gets "-n" before its extension."""
+    """names with `unique_name`: the n-th of a name, by case-insensitive comparison, gets "-n" before its extension.
+
+    A made name that is also given, or made twice, is numbered once more among those; given names stay as they are.
+    """
+    cut = lambda of: (F.regexp_replace(of, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(of, r"(?<=.)(\.[^.]*)$", 1))
     nth = F.row_number().over(Window.partitionBy(*keys, F.lower(name)).orderBy(order))
-    stem, ext = F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)
-    return names.withColumn("unique_name", F.when(nth > 1, F.concat(stem, F.lit("-"), nth.cast("string"), ext)).otherwise(F.col(name)))
+    stem, ext = cut(F.col(name))
+    made = names.withColumn("nth", nth).withColumn("made", F.when(F.col("nth") > 1, F.concat(stem, F.lit("-"), F.col("nth").cast("string"), ext)).otherwise(F.col(name)))
+    again = F.row_number().over(Window.partitionBy(*keys, F.lower("made")).orderBy(F.col("nth") > 1, order))
+    stem, ext = cut(F.col("made"))
+    return made.withColumn("again", again).withColumn("unique_name", F.when(F.col("again") > 1, F.concat(stem, F.lit("-"), F.col("again").cast("string"), ext)).otherwise(F.col("made"))).drop("nth", "made", "again")
 
 
 def merged(parts: DataFrame) -> DataFrame:
@@ -135,3 +142,76 @@ def allowed_targets(inputs: DataFrame, targets: dict[str, tuple[str, ...]], ever
     total = inputs.groupBy("group").agg(F.countDistinct("format").alias("formats"))
     both = each.join(total, "group").where("n = formats").groupBy("group").agg(F.collect_set("target").alias("found"))
     return total.select("group").join(both, "group", "left").select("group", F.filter(F.array(*(F.lit(t) for t in every)), lambda t: F.coalesce(F.array_contains("found", t), F.lit(False))).alias("targets"))
+
+
+def cross_links(links: DataFrame, anchors: DataFrame) -> DataFrame:
+    """links (doc, pos, file, href) with `resolved`: a link to an anchor (doc, pos, anchor, file) that stands in another file gets that file's name before it; of equal anchors the last counts."""
+    last = anchors.groupBy("doc", "anchor").agg(F.max_by("file", "pos").alias("to"))
+    local = links.withColumn("anchor", F.when(F.col("href").startswith("#"), F.substring("href", 2, 2**31 - 1)))
+    both = local.join(last, ["doc", "anchor"], "left")
+    return both.select(*links.columns, F.when(F.col("to").isNotNull() & (F.col("to") != F.col("file")), F.concat("to", "href")).otherwise(F.col("href")).alias("resolved"))
+
+
+def positional(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The n-th row of left with the n-th of right within the keys; keys whose sides differ in number have no rows, as nothing can tell which is missing."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    numbered = [side.withColumn("n", nth) for side in (left, right)]
+    counts = [side.groupBy(*keys).agg(F.count("*").alias(f"count_{k}")) for k, side in enumerate((left, right))]
+    even = counts[0].join(counts[1], keys).where("count_0 = count_1").select(*keys)
+    others = [c for c in right.columns if c not in keys]
+    return numbered[0].join(even, keys, "left_semi").join(numbered[1].select(*keys, "n", *(F.col(c).alias(f"right_{c}") for c in others)), [*keys, "n"])
+
+
+def paragraphs(lines: DataFrame) -> DataFrame:
+    """lines (doc, page, n, text, y) with `block`: a new one where the gap above a line is over one and a half times the page's median gap."""
+    page = Window.partitionBy("doc", "page").orderBy("n")
+    gap = lines.withColumn("gap", F.abs(F.lag("y").over(page) - F.col("y")))
+    positive = gap.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.when(F.col("gap") > 0, F.col("gap")))).alias("gaps"))
+    normal = positive.select("doc", "page", F.coalesce(F.get("gaps", F.floor(F.size("gaps") / 2).cast("int")), F.lit(0.0)).alias("normal"))
+    marked = gap.join(normal, ["doc", "page"]).withColumn("new", ((F.col("normal") > 0) & (F.col("gap") > 1.5 * F.col("normal"))).cast("int"))
+    return marked.withColumn("block", F.sum(F.coalesce("new", F.lit(0))).over(page)).select(*lines.columns, "block")
+
+
+def joined_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """One text a group of lines (n, text): a line that ends in a hyphen at a word goes on without a space."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: F.concat(x["text"], F.when(x["text"].rlike(r"[\p{L}\p{N}]-$"), "").otherwise(" ")))
+    return lines.groupBy(*keys).agg(F.array_join(parts, "").alias("text"), F.count("*").alias("n_lines")).withColumn("text", F.regexp_replace("text", " $", ""))
+
+
+def rebased_levels(items: DataFrame) -> DataFrame:
+    """items (doc, level, ...) with `depth` from 0: the levels that a document uses, without gaps."""
+    used = items.select("doc", "level").distinct()
+    depth = used.withColumn("depth", F.dense_rank().over(Window.partitionBy("doc").orderBy("level")) - 1)
+    return items.join(depth, ["doc", "level"]).select(*items.columns, "depth")
+
+
+def rejoined_lists(items: DataFrame) -> DataFrame:
+    """Ordered items (doc, pos, num_id) with `number`: lists of one numbering go on where other blocks interrupted them."""
+    return items.withColumn("number", F.row_number().over(Window.partitionBy("doc", "num_id").orderBy("pos")))
+
+
+def best_of(scored: DataFrame, keys: list[str], name: str, score: str) -> DataFrame:
+    """(keys, best, score, ratio): the name with the highest score, the first by name on a tie, and the runner-up's share of it."""
+    order = Window.partitionBy(*keys).orderBy(F.col(score).desc(), name)
+    two = scored.withColumn("place", F.row_number().over(order)).where("place <= 2")
+    top = two.groupBy(*keys).agg(F.max(F.when(F.col("place") == 1, F.col(name))).alias("best"), F.max(F.when(F.col("place") == 1, F.col(score))).alias("score"), F.max(F.when(F.col("place") == 2, F.col(score))).alias("second"))
+    return top.select(*keys, "best", "score", (F.coalesce("second", F.lit(0)) / F.col("score")).alias("ratio"))
+
+
+def distinct_notices(notices: DataFrame) -> DataFrame:
+    """(doc, messages): each message once, in the order in which it came first."""
+    first = notices.groupBy("doc", "message").agg(F.min("pos").alias("pos"))
+    return first.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "message"))), lambda x: x["message"]).alias("messages"))
+
+
+def nth_part(parts: DataFrame, n: int) -> DataFrame:
+    """The n-th part (from 1, by `pos`) of each document; a document with fewer has a row with an error."""
+    numbered = parts.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("pos")))
+    total = numbered.groupBy("doc").agg(F.count("*").alias("total"))
+    chosen = total.join(numbered.where(F.col("n") == n).drop("n"), "doc", "left")
+    return chosen.withColumn("error", F.when(F.col("total") < n, F.concat(F.lit(f"there is no part {n}, only "), F.col("total").cast("string")))).drop("total")
+
+
+def reading_order(items: DataFrame) -> DataFrame:
+    """items (doc, page, x0, y, ...) with `place`: from the top of a page down, and from left to right."""
+    return items.withColumn("place", F.row_number().over(Window.partitionBy("doc", "page").orderBy(F.col("y").desc(), "x0")))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import anchors, grids, more, orders, texts
+from quire.plans import anchors, grids, more, orders, rules, texts
 
-MODULES = (anchors, texts, grids, orders, more)
+MODULES = (anchors, texts, grids, orders, more, rules)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items() if s}

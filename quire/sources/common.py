@@ -13,7 +13,7 @@ ERROR = "error string"
 
 
 def parsed(df: DataFrame, column: str, schema: str, parse: Callable[..., Iterable[tuple]], *, doc: str = "doc", batch: int = 10_000) -> DataFrame:
-    """(doc, <schema>, error) of the rows that parse() yields for each document; a null input yields none, a failure one row with its error.
+    """(doc, <schema>, error) of the rows that parse() yields for each document; a null input yields none, a failure one row with its error and no other.
 
     schema: names and types without doc, e.g. "pos int, text string".
     """
@@ -30,13 +30,14 @@ def parsed(df: DataFrame, column: str, schema: str, parse: Callable[..., Iterabl
                 if value is None:
                     continue
                 try:
-                    for row in parse(value):
-                        rows.append((key, *row, None))
-                        if len(rows) >= batch:
-                            yield frame()
-                            rows.clear()
+                    found = [(key, *row, None) for row in parse(value)]  # all of a document or none
                 except Exception as e:  # noqa: BLE001  whatever a broken file does, the others go on
-                    rows.append((key, *[None] * len(names), f"{type(e).__name__}: {e}"[:200]))
+                    found = [(key, *[None] * len(names), f"{type(e).__name__}: {e}"[:200])]
+                for at in range(0, len(found), batch):
+                    rows += found[at : at + batch]
+                    if len(rows) >= batch:
+                        yield frame()
+                        rows.clear()
         yield frame()
 
     return df.select(F.col(doc).cast("string").alias("doc"), F.col(column).alias("input")).mapInPandas(run, f"doc string, {schema}, {ERROR}")

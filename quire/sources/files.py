@@ -16,7 +16,6 @@ from quire.functions.detect import unsafe_archive_path
 from quire.operators.sequences import unique_names
 from quire.sources.common import parsed
 
-MOST_ENTRIES, MOST_ENTRY, MOST_TOTAL = 100, 50 << 20, 200 << 20
 
 
 def sources(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -48,26 +47,29 @@ def texts(df: DataFrame, column: str = "content", doc: str = "doc") -> DataFrame
     return parsed(df, column, "text string", lambda b: [(decoded(bytes(b)),)], doc=doc)
 
 
-def _entries(content: bytes) -> Iterator[tuple]:
+def _entries(content: bytes, most_entries: int | None, most_bytes: int | None) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        total, n = 0, 0
-        for info in z.infolist():
-            base = posixpath.basename(info.filename.replace("\\", "/"))
-            if info.is_dir() or base.startswith(".") or info.filename.startswith("__MACOSX/"):
-                continue
+        infos = [i for i in z.infolist() if not i.is_dir() and not i.filename.startswith("__MACOSX/") and not posixpath.basename(i.filename.replace("\\", "/")).startswith(".")]
+        if most_entries is not None and len(infos) > most_entries:
+            raise ValueError(f"the archive holds {len(infos)} files, more than {most_entries}")
+        total = 0
+        for n, info in enumerate(infos):
             with z.open(info) as f:
-                data = f.read(MOST_ENTRY + 1)
+                data = f.read(-1 if most_bytes is None else most_bytes - total + 1)
             total += len(data)
-            if n >= MOST_ENTRIES or len(data) > MOST_ENTRY or total > MOST_TOTAL:
-                raise ValueError("the archive is larger than is read")
-            yield n, info.filename, base, data
-            n += 1
+            if most_bytes is not None and total > most_bytes:
+                raise ValueError(f"the archive's files hold more than {most_bytes} bytes")
+            yield n, info.filename, posixpath.basename(info.filename.replace("\\", "/")), data
+
 
+def archive_entries(df: DataFrame, column: str = "content", doc: str = "doc", *, most_entries: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """(doc, pos, path, filename, content, error): an archive's files with safe paths, equal names made unique; archives in archives are not opened.
 
-def archive_entries(df: DataFrame, column: str = "content", doc: str = "doc") -> DataFrame:
-    """(doc, pos, path, filename, content): an archive's files with safe paths, equal names made unique; archives in archives are not opened."""
-    rows = parsed(df, column, "pos int, path string, name string, content binary", _entries, doc=doc).where("error is null")
-    return unique_names(rows.where(~unsafe_archive_path(F.col("path"))), ["doc"], "pos").select("doc", "pos", "path", F.col("unique_name").alias("filename"), "content")
+    No limit unless one is given; an archive beyond it, and a broken one, is one row with its error and without files.
+    """
+    rows = parsed(df, column, "pos int, path string, name string, content binary", lambda b: _entries(bytes(b), most_entries, most_bytes), doc=doc)
+    good = unique_names(rows.where("error is null").where(~unsafe_archive_path(F.col("path"))), ["doc"], "pos").select("doc", "pos", "path", F.col("unique_name").alias("filename"), "content", "error")
+    return good.unionByName(rows.where("error is not null").select("doc", "pos", "path", F.col("name").alias("filename"), "content", "error"))
 
 
 def _local(tag: str) -> str:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import email
 import email.policy
+import io
 import json
 import quopri
 import re
 import sqlite3
 from collections.abc import Iterator
 from email.utils import parsedate_to_datetime
+from itertools import islice, pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +49,7 @@ def _shown(value) -> tuple[str, int]:
 
 def _records(text: str, lines: bool) -> Iterator[tuple]:
     """Rows of an array of objects, or of lines of objects; nothing if it is something else or more than a tenth of its fields are nested."""
-    decoded = [_JSON.decode(l) for l in text.splitlines() if l.strip()] if lines else _JSON.decode(text.lstrip("﻿").strip())
+    decoded = [_JSON.decode(l) for l in text.lstrip("\ufeff").split("\n") if l.strip()] if lines else _JSON.decode(text.lstrip("﻿").strip())
     if not isinstance(decoded, list) or not decoded or not all(isinstance(r, tuple) for r in decoded):
         return
     header: dict[str, None] = {}
@@ -71,6 +74,31 @@ def json_records(df: DataFrame, column: str = "text", doc: str = "doc", *, lines
     return parsed(df, column, FIELDS, lambda t: _records(t, lines), doc=doc)
 
 
+def _fields(text: str, delimiter: str, most: int | None = None) -> list[list[str]]:
+    return list(islice(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), most))
+
+
+def _csv(text: str) -> Iterator[tuple]:
+    """Cells of delimited text: the delimiter is the one whose first ten rows differ least in their number of fields, then that with the most."""
+    text = text.lstrip("\ufeff").strip()
+    filled = lambda r: len(r) > 1 or (r and r[0].strip())
+
+    def score(mark: str) -> tuple[int, int]:
+        counts = [len(r) for r in _fields(text, mark, 10) if filled(r)]
+        return sum(a != b for a, b in pairwise(counts)), -sum(counts)
+
+    split = [m for m in ",;\t" if m in text] or [","]
+    rows = [r for r in _fields(text, min(split, key=score)) if filled(r)]
+    for r, row in enumerate(rows):
+        for c, value in enumerate(row):
+            yield r, c, value
+
+
+def csv_cells(df: DataFrame, column: str = "text", doc: str = "doc") -> DataFrame:
+    """(doc, table_no, r, c, value, error) of csv, semicolon or tab separated texts, without blank rows; see cells.trim_trailing and cells.has_header for what follows."""
+    return parsed(df, column, "r int, c int, value string", _csv, doc=doc).select("doc", F.lit(0).alias("table_no"), "r", "c", "value", "error")
+
+
 def bad_json_lines(df: DataFrame, column: str = "text", doc: str = "doc") -> DataFrame:
     """(doc, line_no) of filled lines that are not JSON; no Python."""
     lines = df.select(F.col(doc).alias("doc"), F.posexplode(F.split(column, r"\r?\n")).alias("line_no", "line")).where("trim(line) <> ''")

@@ -114,6 +114,40 @@ def test_archive(spark):
     assert [(r.path, r.filename, bytes(r.content)) for r in rows] == [("a/x.txt", "x.txt", b"1"), ("b/x.txt", "x-2.txt", b"2"), ("c/X.TXT", "X-3.TXT", b"6")]
 
 
+def test_archive_limits_give_an_error_and_no_part(spark):
+    data = zipped(**{f"f{k}.txt": "x" * 10 for k in range(130)})
+    assert files.archive_entries(docs(spark, data, name="content")).where("error is null").count() == 130
+    for limit in ({"most_entries": 100}, {"most_bytes": 1000}):
+        rows = files.archive_entries(docs(spark, data, name="content"), **limit).collect()
+        assert len(rows) == 1 and "more than" in rows[0].error and rows[0].content is None
+    assert [r.error is None for r in files.archive_entries(docs(spark, b"no archive", name="content")).collect()] == [False]
+
+
+def test_json_lines_end_at_line_ends_only(spark):
+    rows = records.json_records(docs(spark, '{"a": "x\u2028y\x85"}\r\n\n{"a": "z"}'), lines=True).orderBy("row_no").collect()
+    assert [r.fields["a"] for r in rows] == ["x\u2028y\x85", "z"]
+    deep = records.json_records(docs(spark, "[" * 10_000 + "]" * 10_000)).collect()
+    assert len(deep) <= 1
+
+
+def test_csv_cells(spark):
+    text = '\ufeffa;b\n\n"x;1";"two\nlines"\n;\n'
+    rows = records.csv_cells(docs(spark, text)).orderBy("r", "c").collect()
+    assert [(r.r, r.c, r.value) for r in rows] == [(0, 0, "a"), (0, 1, "b"), (1, 0, "x;1"), (1, 1, "two\nlines"), (2, 0, ""), (2, 1, "")]
+    assert records.csv_cells(docs(spark, " \n ")).count() == 0
+
+
+def test_workbook_escapes_what_xml_cannot_hold(spark):
+    import re
+    from xml.etree import ElementTree
+
+    data = export.workbook([("S", [[("a\x01b", False), ("_x0041_", False)]])])
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        root = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+    found = [t.text for t in root.iter() if t.tag.endswith("}t")]
+    assert [re.sub("_x([0-9A-F]{4})_", lambda m: chr(int(m[1], 16)), t) for t in found] == ["a\x01b", "_x0041_"]
+
+
 def grid(spark, rows):
     return spark.createDataFrame([("d", 0, r, c, v) for r, row in enumerate(rows) for c, v in enumerate(row)], "doc string, table_no int, r int, c int, value string")
 
