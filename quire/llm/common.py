@@ -52,7 +52,10 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     place = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
     df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    schema = df.schema
+    del df
+    spark.sparkContext._jvm.System.gc()  # Spark's cleaner removes the shuffle files of plans that nothing refers to any more once they are collected
+    return spark.read.schema(schema).parquet(place)
 
 
 def give_back() -> None:
