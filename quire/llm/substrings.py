@@ -7,9 +7,10 @@ windows have equal minimizers (the smallest hash of the 5-word runs inside), and
 occurs in at least two documents enter the graph.
 
 Compaction. Edges are combined where they are made: of an edge that several documents of a batch share, only the
-smallest one's travels by its node; the others have that one as their source. Windowed over the node, the firsts of
-all batches find the first source (smallest doc_id, then position) of each edge and whether several edges leave
-the node. Joined by document, consecutive edges compact to one path while nodes do not fork
+smallest one's travels by its node, in one row however often the document repeats it; the others have that one as
+their source and compact to paths at once. Windowed over the node, the firsts of
+all batches (one row an edge and batch) find the first source (smallest doc_id, then position) of each edge and whether several edges leave
+the node. Brought together by document, consecutive edges and paths compact to one path while nodes do not fork
 and their sources are consecutive in one document too.
 
 Verification. Every compacted span is checked against the words at its source's coordinates by a 128-bit
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import MIX_C, binary, cut, in_slices, mixed, rolled, stored, table, word_hashes
+from quire.llm.common import MIX_C, binary, cut, in_slices, mixed, rolled, table, word_hashes
 
 WINDOW, RUN = 13, 5
 #: Rows that a task combines at a time.
@@ -104,25 +105,43 @@ def repeated_anchors(docs: DataFrame, window: int, run: int, most: int) -> DataF
 
 
 def _edges(window: int, run: int, most: int):
-    """The edges of documents' candidate windows, combined: those of an edge's first document in a batch have its node as key, the others have their source."""
+    """The edges of documents' candidate windows, combined over about `most` of them.
+
+    An edge's first document in a batch has one row for it: its node as key, its first position, and its other positions in `also`.
+    All others have a source in the batch, so they need no meeting by node: consecutive ones are one row of `n` edges.
+    """
 
     def combined(parts: list[tuple]) -> pa.RecordBatch:
         node, after, doc, pos = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.lexsort((pos, doc, after, node))
-        _, first = local_firsts(order, node, after)
-        travels = doc[order] == doc[first]  # the first document's own repeats may have a source in another batch
+        node, after, doc, pos = node[order], after[order], doc[order], pos[order]
+        every = np.arange(len(order))
+        lead, first = local_firsts(every, node, after)
+        own = doc == doc[first]  # the first document's repeats may have a source in another batch
         forks = np.zeros(len(order), bool)  # nodes with several edges in this batch
-        forks[1:] = (node[order][1:] == node[order][:-1]) & (after[order][1:] != after[order][:-1])
-        start, _ = local_firsts(order, node)
+        forks[1:] = (node[1:] == node[:-1]) & (after[1:] != after[:-1])
+        start, _ = local_firsts(every, node)
         group = np.cumsum(start) - 1
-        forked = np.bincount(group, forks) > 0
-        key = np.where(travels, node[order], mixed(node[order] ^ (doc[order] * 31 + pos[order]).view(np.uint64)))
-        columns = (key.view(np.int64), after[order], doc[order], pos[order], doc[first], pos[first], forked[group])
-        by_doc = np.lexsort((pos[order], doc[order]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x[by_doc], mask=travels[by_doc] if k > 3 else None) for k, x in enumerate(columns)],
-            names=["key", "after", "doc_id", "pos", "source", "source_pos", "forks"],
-        )
+        forked = (np.bincount(group, forks) > 0)[group]
+
+        at = np.flatnonzero(~own)
+        at = at[np.lexsort((pos[at], doc[at]))]
+        begin = np.ones(len(at), bool)
+        begin[1:] = (doc[at][1:] != doc[at][:-1]) | (pos[at][1:] != pos[at][:-1] + 1)
+        begin[1:] |= (doc[first[at]][1:] != doc[first[at]][:-1]) | (pos[first[at]][1:] != pos[first[at]][:-1] + 1) | forked[at][1:]
+        begins = np.flatnonzero(begin)
+        heads, size = at[begins], np.diff(np.append(begins, len(at)))
+
+        leads = np.flatnonzero(lead)
+        more = np.bincount((np.cumsum(lead) - 1)[own & ~lead], minlength=len(leads))
+        rows = np.concatenate([leads, heads])
+        alone = np.arange(len(rows)) < len(leads)
+        by_doc = np.lexsort((pos[rows], doc[rows]))  # rows of one document together compress well
+        also = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.append(more, np.zeros(len(heads), np.int64)))), pa.int32()), pa.array(pos[own & ~lead]), mask=pa.array(np.append(more == 0, np.ones(len(heads), bool))))
+        key = np.where(alone, node[rows], mixed(node[rows] ^ (doc[rows] * 31 + pos[rows]).view(np.uint64))).view(np.int64)
+        columns = [(key, None), (after[rows], ~alone), (doc[rows], None), (pos[rows], None), (np.append(np.ones(len(leads), np.int64), size).astype(np.int32), alone), (doc[first[rows]], alone), (pos[first[rows]], alone), (forked[rows], alone)]
+        arrays = [pa.array(x[by_doc], mask=None if m is None else m[by_doc]) for x, m in columns]
+        return pa.RecordBatch.from_arrays([*arrays, also.take(pa.array(by_doc))], names=["key", "after", "doc_id", "pos", "n", "source", "source_pos", "forks", "also"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -189,25 +208,31 @@ def _removals(window: int):
 def repeated_spans(docs: DataFrame, copies: DataFrame, window: int, run: int, most: int) -> DataFrame:
     """doc_id, start, size, source, source_start of every compacted path whose edges stand in a smaller document too."""
     own = repeated_anchors(docs, window, run, most).join(copies, "doc_id", "left_anti")
-    edges = docs.join(own, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_edges(window, run, most), "key long, after int, doc_id long, pos int, source long, source_pos int, forks boolean")
+    edges = docs.join(own, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_edges(window, run, most), "key long, after int, doc_id long, pos int, n int, source long, source_pos int, forks boolean, also array<int>")
     at_node = Window.partitionBy("key")  # its exchange also serves the edges of a node
     nodes = edges.withColumn("forks", F.coalesce("forks", F.min("after").over(at_node) < F.max("after").over(at_node)))
     first = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("key", "after"))
-    sourced = nodes.withColumn("first", first).select("doc_id", "pos", "forks", F.coalesce("source", "first.doc_id").alias("source"), F.coalesce("source_pos", "first.pos").alias("source_pos")).where("source < doc_id")
+    found = nodes.withColumn("first", F.when(F.col("source").isNull(), first)).where("doc_id is not null and (source is not null or first.doc_id < doc_id)")
+    places = F.explode(F.concat(F.array("pos"), F.coalesce("also", F.array().cast("array<int>")))).alias("pos")
+    sourced = found.select("doc_id", places, F.coalesce("n", F.lit(1)).alias("n"), "forks", F.coalesce("source", "first.doc_id").alias("source"), F.coalesce("source_pos", "first.pos").alias("source_pos"))
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    follows = (F.lag("pos").over(by_doc) == F.col("pos") - 1) & (F.lag("source").over(by_doc) == F.col("source")) & (F.lag("source_pos").over(by_doc) == F.col("source_pos") - 1) & ~F.col("forks")
+    step = F.lag("n").over(by_doc)
+    follows = (F.lag("pos").over(by_doc) + step == F.col("pos")) & (F.lag("source").over(by_doc) == F.col("source")) & (F.lag("source_pos").over(by_doc) + step == F.col("source_pos")) & ~F.col("forks")
     paths = sourced.withColumn("path", F.sum(F.when(follows, 0).otherwise(1)).over(by_doc))
-    return paths.groupBy("doc_id", "path").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + window).cast("int").alias("size"), F.first("source").alias("source"), F.min("source_pos").alias("source_start")).drop("path")
+    size = F.max(F.col("pos") + F.col("n")) - F.min("pos") + window - 1
+    return paths.groupBy("doc_id", "path").agg(F.min("pos").alias("start"), size.cast("int").alias("size"), F.first("source").alias("source"), F.min("source_pos").alias("source_start")).drop("path")
 
 
 def deduplicated(docs: DataFrame, *, window: int = WINDOW, run: int = RUN, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and the removed word ranges (starts, ends) of every document."""
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kinds = dict(docs.dtypes)  # columns that need no cast keep their names, so that plans on them are alike and share one exchange
+    every = docs.select(*(name if kinds[name] == kind else F.col(name).cast(kind).alias(name) for name, kind in (("doc_id", "bigint"), ("text", "string"))))
     known = every.where("doc_id is not null")
     hashed = known.where("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))
     firsts = hashed.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = cut(hashed.join(firsts, "hash").where("doc_id > first").select("doc_id", "hash").distinct())
-    spans = stored(repeated_spans(known, copies.select("doc_id"), window, run, most))
+    # Not stored: in one query the texts are shuffled by document once, for the edges and for the removal alike.
+    spans = repeated_spans(known, copies.select("doc_id"), window, run, most)
     wanted = spans.select(F.col("source").alias("doc_id"), F.struct(F.col("source_start").alias("start"), "size").alias("w")).distinct().groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
     digests = known.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_digests, "source long, source_start int, size int, digest binary")
     checked = spans.join(digests.distinct(), ["source", "source_start", "size"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "digest")).alias("spans"))
