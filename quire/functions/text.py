@@ -170,3 +170,20 @@ def tab_rows(block: Column, code_tell: str) -> Column:
     plain = F.forall(lines, lambda l: l.rlike(r"^[^\t]*[^\t\s][^\t]*\t") & ~l.rlike(code_tell))
     even = F.size(F.array_distinct(F.transform(rows, lambda r: F.size(r)))) == 1
     return F.when((F.size(lines) >= 2) & plain & even & (F.size(F.get(rows, F.lit(0))) >= 2), rows)
+
+
+def language_from_class(css: Column, languages: dict[str, str], markers: tuple[str, ...] = ("sourcecode", "hljs", "prettyprint", "highlight", "code", "codehilite", "syntax")) -> Column:
+    """The code language that a class attribute names, by `languages` (lower-case alias to language).
+
+    A `brush:` decides alone; then the first token with a prefix that names one, whole or up to its first hyphen; then, beside a marker, the first token that is one.
+    """
+    known = F.create_map(*(F.lit(x) for pair in languages.items() for x in pair))
+    named = lambda x: known[F.lower(x)]
+    prefix = "(?i)^(?:language-|lang-|highlight-source-|highlight-text-|highlight-)(.+)$"
+    tokens = F.filter(F.split(css, r"\s+"), lambda t: t != "")
+    spelled = F.transform(tokens, lambda t: F.regexp_extract(t, prefix, 1))
+    prefixed = F.get(F.filter(F.transform(spelled, lambda s: F.when(s != "", F.coalesce(named(s), named(F.split(s, "-")[0])))), lambda x: x.isNotNull()), F.lit(0))
+    is_marker = lambda t: F.lower(t).isin(*markers)
+    bare = F.when(F.exists(tokens, is_marker), F.get(F.filter(F.transform(F.filter(tokens, lambda t: ~is_marker(t)), named), lambda x: x.isNotNull()), F.lit(0)))
+    brush = F.regexp_extract(css, r"(?i)\bbrush:\s*([\w+#-]+)", 1)
+    return F.when(brush != "", named(brush)).otherwise(F.coalesce(prefixed, bare))

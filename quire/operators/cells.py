@@ -173,3 +173,16 @@ def folded(cells: DataFrame) -> DataFrame:
     parts = joined.groupBy(*TABLE, "row", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]), " ").alias("value"))
     every = cells.select(*TABLE, "c").distinct().join(groups.select(*TABLE, "row").distinct(), list(TABLE))
     return every.join(parts, [*TABLE, "row", "c"], "left").select(*TABLE, F.col("row").cast("int").alias("r"), "c", F.coalesce("value", F.lit("")).alias("value"))
+
+
+def wide_tables_dominate(measured: DataFrame, lengths: DataFrame, width: int = 95, share: float = 0.5) -> DataFrame:
+    """(doc, wide_chars, dominate): whether tables wider than a page of `width` characters hold at least `share` of a document's text; lengths has (doc, chars)."""
+    wide = measured.groupBy("doc").agg(F.sum(F.when(F.col("needed") > width, F.col("text_chars")).otherwise(0)).alias("wide_chars"))
+    return lengths.join(wide, "doc", "left").select("doc", F.coalesce("wide_chars", F.lit(0)).alias("wide_chars"), F.coalesce((F.col("wide_chars") > 0) & (F.col("wide_chars") >= share * F.col("chars")), F.lit(False)).alias("dominate"))
+
+
+def used_columns(cells: DataFrame, shown: int = 5000) -> DataFrame:
+    """(doc, table_no, c, name): the columns of which one of the first `shown` rows below the header is filled; exports keep all columns, prints these."""
+    name = F.max(F.when(F.col("r") == 0, F.col("value"))).alias("name")
+    used = F.max((F.col("r").between(1, shown)) & (F.col("value") != "")).alias("used")
+    return cells.groupBy(*TABLE, "c").agg(name, used).where("used").drop("used")
