@@ -122,3 +122,48 @@ def blocked_ipv4(address: Column) -> Column:
 
 def unsafe_archive_path(path: Column) -> Column:
     return path.rlike(r"^[/\\]|^[A-Za-z]:") | F.exists(F.split(path, r"[/\\]"), lambda p: p == "..")
+
+
+#: Sizes of a BMP's info header, and the brands of AVIF and HEIF files.
+BMP_HEADERS = (12, 16, 40, 52, 56, 64, 108, 124)
+AVIF_BRANDS = ("avif", "avis")
+HEIF_BRANDS = ("heic", "heix", "hevc", "hevx", "heim", "heis", "mif1", "msf1")
+
+
+def _hex_at(data: Column, start: int, size: int) -> Column:
+    return F.hex(F.substring(data, start + 1, size))
+
+
+def _brands(data: Column) -> Column:
+    """The brands of an ISO media file's first box (null: it has none), from its first 256 bytes."""
+    size = F.least(F.conv(_hex_at(data, 0, 4), 16, 10).cast("long"), F.length(data), F.lit(256))
+    more = F.when(size >= 20, F.transform(F.sequence(F.lit(16), (size - 4).cast("int"), F.lit(4)), lambda at: F.hex(F.substring(data, at + 1, F.lit(4))))).otherwise(F.array().cast("array<string>"))
+    return F.when((F.length(data) >= 16) & (_hex_at(data, 4, 4) == b"ftyp".hex().upper()), F.concat(F.array(_hex_at(data, 8, 4)), more))
+
+
+def _has_brand(data: Column, brands: tuple[str, ...]) -> Column:
+    return F.coalesce(F.arrays_overlap(_brands(data), F.array(*(F.lit(b.encode().hex().upper()) for b in brands))), F.lit(False))
+
+
+def picture_type(data: Column) -> Column:
+    """A picture's MIME type by its signature; null for what is none of the known types."""
+    n = F.length(data)
+    rules = [
+        (n >= 8, _hex_at(data, 0, 4) == "89504E47", "image/png"),
+        (n >= 3, _hex_at(data, 0, 3) == "FFD8FF", "image/jpeg"),
+        (n >= 6, _hex_at(data, 0, 6).isin("474946383761", "474946383961"), "image/gif"),
+        (n >= 12, (_hex_at(data, 0, 4) == "52494646") & (_hex_at(data, 8, 4) == "57454250"), "image/webp"),
+        (n >= 26, (_hex_at(data, 0, 2) == "424D") & _hex_at(data, 14, 4).isin(*(k.to_bytes(4, "little").hex().upper() for k in BMP_HEADERS)), "image/bmp"),
+        (n >= 16, _has_brand(data, AVIF_BRANDS), "image/avif"),
+        (n >= 6, (_hex_at(data, 0, 4) == "00000100") & (_hex_at(data, 4, 2) != "0000"), "image/x-icon"),
+        (n >= 8, _hex_at(data, 0, 4).isin("49492A00", "4D4D002A"), "image/tiff"),
+        (n >= 88, (_hex_at(data, 0, 4) == "01000000") & (_hex_at(data, 40, 4) == "20454D46"), "image/x-emf"),
+        (n >= 22, _hex_at(data, 0, 4) == "D7CDC69A", "image/x-wmf"),
+        (n >= 18, _hex_at(data, 0, 2).isin("0100", "0200") & (_hex_at(data, 2, 2) == "0900") & _hex_at(data, 4, 2).isin("0001", "0003"), "image/x-wmf"),
+    ]
+    return F.coalesce(*(F.when(size & signature, mime) for size, signature, mime in rules))
+
+
+def is_heic(data: Column) -> Column:
+    """A HEIC or HEIF picture, not AVIF, which shares the container."""
+    return _has_brand(data, HEIF_BRANDS) & ~_has_brand(data, AVIF_BRANDS)

@@ -187,3 +187,8 @@ def language_from_class(css: Column, languages: dict[str, str], markers: tuple[s
     bare = F.when(F.exists(tokens, is_marker), F.get(F.filter(F.transform(F.filter(tokens, lambda t: ~is_marker(t)), named), lambda x: x.isNotNull()), F.lit(0)))
     brush = F.regexp_extract(css, r"(?i)\bbrush:\s*([\w+#-]+)", 1)
     return F.when(brush != "", named(brush)).otherwise(F.coalesce(prefixed, bare))
+
+
+def resolvable_links(html: Column) -> Column:
+    """html whose links that lead to no web page or mail address are unwrapped; their text stays."""
+    return F.regexp_replace(html, r"""(?is)<a\b(?!(?:(?!\bhref=")[^>])*\bhref="(?:https?|mailto):)[^>]*>(.*?)</a>""", "$1")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quire.functions.text import github_slug
 
@@ -215,3 +219,34 @@ def nth_part(parts: DataFrame, n: int) -> DataFrame:
 def reading_order(items: DataFrame) -> DataFrame:
     """items (doc, page, x0, y, ...) with `place`: from the top of a page down, and from left to right."""
     return items.withColumn("place", F.row_number().over(Window.partitionBy("doc", "page").orderBy(F.col("y").desc(), "x0")))
+
+
+def embedded_parts(pictures: DataFrame, parts: DataFrame) -> DataFrame:
+    """pictures (doc, pos, cid) with the part that each names: of parts (doc, part, cid) the first with the same identifier, else the first that differs in case only."""
+    same = parts.groupBy("doc", "cid").agg(F.min("part").alias("same"))
+    alike = parts.groupBy("doc", F.lower("cid").alias("low")).agg(F.min("part").alias("alike"))
+    found = pictures.withColumn("low", F.lower("cid")).join(same, ["doc", "cid"], "left").join(alike, ["doc", "low"], "left")
+    return found.select("doc", "pos", "cid", F.coalesce("same", "alike").alias("part"))
+
+
+def admitted(pictures: DataFrame, least: int = 10 << 20, factor: int = 2, overhead: int = 64) -> DataFrame:
+    """pictures (doc, pos, size, file_size) with `admitted`: in order, each that still fits the document's budget, max(least, factor * file_size), at its size and `overhead`.
+
+    One that does not fit is passed over and later ones are still tried, so no running sum tells it; rows stream in order
+    with one sum a document in memory.
+    """
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, spent = None, 0
+        for batch in batches:
+            out = []
+            for d, size, file_size in zip(*(batch.column(n).to_pylist() for n in ("doc", "size", "file_size")), strict=True):
+                if d != doc:
+                    doc, spent = d, 0
+                fits = spent + size + overhead <= max(least, factor * file_size)
+                spent += (size + overhead) * fits
+                out.append(fits)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc", "pos", "size", "file_size")), pa.array(out, pa.bool_())], names=["doc", "pos", "size", "file_size", "admitted"])
+
+    rows = pictures.select("doc", "pos", F.col("size").cast("long").alias("size"), F.col("file_size").cast("long").alias("file_size"))
+    return rows.repartition("doc").sortWithinPartitions("doc", "pos").mapInArrow(judged, StructType([*rows.schema.fields, StructField("admitted", BooleanType())]))

@@ -1,14 +1,34 @@
-"""Votes, patches, lost markers, rescued tables, wide tables and class names over the driver tables."""
+"""Votes, patches, lost markers, rescued and wide tables, class names, picture types, links and embedded parts over the driver tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import text
-from quire.operators import cells, lines
+from quire.functions import detect, text
+from quire.operators import cells, lines, sequences
 from quire.plans.common import read
 
+#: Beginnings of files, and what they are: (alone, with 90 bytes behind).
+_PICTURES = (
+    ("89504E470D0A1A0A", ("image/png", "image/png")),
+    ("FFD8FF", ("image/jpeg", "image/jpeg")),
+    ("474946383961", ("image/gif", "image/gif")),
+    ("474946383861", (None, None)),
+    ("524946460000000057454250", ("image/webp", "image/webp")),
+    ("424D0000000000000000000000000C000000", (None, "image/bmp")),
+    ("424D0000000000000000000000000D000000", (None, None)),
+    ("0000001866747970617669660000000061766966", ("image/avif", "image/avif")),
+    ("0000001866747970686569630000000068656963", (None, None)),
+    ("00000018667479706D696631000000006D69663161766966", ("image/avif", "image/avif")),
+    ("000001000100", ("image/x-icon", "image/x-icon")),
+    ("000001000000", (None, None)),
+    ("4D4D002A00000008", ("image/tiff", "image/tiff")),
+    ("01000000" + "00" * 36 + "20454D46", (None, "image/x-emf")),
+    ("D7CDC69A", (None, "image/x-wmf")),
+    ("010009000003", (None, "image/x-wmf")),
+    ("25504446", (None, None)),
+)
 _LANGUAGES = {"python": "python", "py": "python", "js": "javascript", "html": "xml", "c++": "cpp", "ruby": "ruby"}
 
 
@@ -68,7 +88,33 @@ def f14_class_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", text.language_from_class(css, _LANGUAGES).alias("language"))
 
 
-QUERIES = {f.__name__: f for f in (a10_language_votes, r27_patch_files, a14_lost_list_markers, j8_rescued_tables, a5_wide_tables, p8_used_columns, f14_class_languages)}
+def d5_picture_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures with little or much behind them, some of other files' beginnings."""
+    data = F.unhex(F.concat(F.element_at(F.array(*(F.lit(head) for head, _ in _PICTURES)), (F.col("p_partkey") % len(_PICTURES) + 1).cast("int")), F.repeat(F.lit("00"), (F.col("p_partkey") % 2 * 90).cast("int"))))
+    return read(spark, sf_dir, "part").select("p_partkey", detect.picture_type(data).alias("mime"), detect.is_heic(data).alias("heic"))
+
+
+def p11_resolvable_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = F.element_at(F.array(F.lit("HTTPS://x/"), F.lit("c2.xhtml#a"), F.lit("mailto:a@b.c"), F.lit("#here")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    html = F.concat(F.lit('<p><a class="x" href="'), target, F.lit('">\n'), "p_name", F.lit('</a> <A name="n"><b>y</b></A><abbr>z</abbr><a\nHREF="http:z">'), "p_type", F.lit("</a></p>"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.resolvable_links(html).alias("html"))
+
+
+def j3_embedded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as the parts of a mail, named in either case, and as the pictures that name them."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("name"))
+    parts = o.where("k % 3 <> 0").select("doc", F.col("k").alias("part"), F.when(F.col("k") % 2 == 0, F.lower("name")).otherwise(F.col("name")).alias("cid"))
+    return sequences.embedded_parts(o.select("doc", F.col("k").alias("pos"), F.when(F.col("k") % 5 == 0, F.lower("name")).otherwise(F.col("name")).alias("cid")), parts)
+
+
+def w13_admitted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as pictures of some megabytes in files of unlike sizes."""
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    pictures = rows.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), ((F.col("p") * 7919 + F.col("s")) % 7000000).alias("size"), (F.col("l_orderkey") % 5 * 2000000).alias("file_size"))
+    return sequences.admitted(pictures).select("doc", "pos", "admitted")
+
+
+QUERIES = {f.__name__: f for f in (a10_language_votes, r27_patch_files, a14_lost_list_markers, j8_rescued_tables, a5_wide_tables, p8_used_columns, f14_class_languages, d5_picture_types, p11_resolvable_links, j3_embedded_parts, w13_admitted_pictures)}
 
 ORACLE_SQL = {
     "a10_language_votes": """WITH l AS (SELECT o_custkey AS doc, o_orderstatus || ' ' || o_orderpriority AS line FROM orders),
@@ -99,4 +145,13 @@ SELECT doc, CAST(CASE WHEN needed > 95 THEN chars ELSE 0 END AS BIGINT) AS wide_
     "p8_used_columns": """WITH e AS (SELECT DISTINCT user_id AS doc, ascii(event_type) % 5 + 1 AS r FROM events)
 SELECT DISTINCT doc, c, 'n' || c AS name FROM e, unnest([0, 1, 3]) AS u(c) WHERE r <= 3 AND (c <> 1 OR r = 3)""",
     "f14_class_languages": "SELECT p_partkey, ['python', 'cpp', 'xml', 'javascript', NULL, NULL, 'ruby', 'python', NULL, 'ruby'][p_partkey % 10 + 1] AS language FROM part",
+    "d5_picture_types": f"""SELECT p_partkey, nullif(m, '') AS mime, heic FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN {[x[1][1] or '' for x in _PICTURES]}[k] ELSE {[x[1][0] or '' for x in _PICTURES]}[k] END AS m, k = 9 AS heic FROM (SELECT p_partkey, p_partkey % {len(_PICTURES)} + 1 AS k FROM part))""",
+    "p11_resolvable_links": """SELECT p_partkey, '<p>' || CASE p_partkey % 4 WHEN 0 THEN '<a class="x" href="HTTPS://x/">' || chr(10) || p_name || '</a>' WHEN 2 THEN '<a class="x" href="mailto:a@b.c">' || chr(10) || p_name || '</a>' ELSE chr(10) || p_name END || ' <b>y</b><abbr>z</abbr><a' || chr(10) || 'HREF="http:z">' || p_type || '</a></p>' AS html FROM part""",
+    "j3_embedded_parts": """WITH o AS (SELECT o_custkey AS doc, o_orderkey AS k, o_orderpriority AS name FROM orders), p AS (SELECT doc, k AS part, CASE WHEN k % 2 = 0 THEN lower(name) ELSE name END AS cid FROM o WHERE k % 3 <> 0),
+r AS (SELECT doc, k AS pos, CASE WHEN k % 5 = 0 THEN lower(name) ELSE name END AS cid FROM o)
+SELECT r.doc, pos, r.cid, coalesce(min(part) FILTER (WHERE p.cid = r.cid), min(part)) AS part FROM r LEFT JOIN p ON r.doc = p.doc AND lower(r.cid) = lower(p.cid) GROUP BY r.doc, pos, r.cid""",
+    "w13_admitted_pictures": """WITH RECURSIVE p AS MATERIALIZED (SELECT l_orderkey AS doc, l_linenumber AS pos, (min(l_partkey) * 7919 + min(l_suppkey)) % 7000000 + 64 AS cost, greatest(10485760, l_orderkey % 5 * 4000000) AS budget, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber),
+t AS (SELECT doc, pos, k, cost <= budget AS admitted, CASE WHEN cost <= budget THEN cost ELSE 0 END AS spent FROM p WHERE k = 1
+  UNION ALL SELECT p.doc, p.pos, p.k, spent + cost <= budget, CASE WHEN spent + cost <= budget THEN spent + cost ELSE spent END FROM t JOIN p ON p.doc = t.doc AND p.k = t.k + 1)
+SELECT doc, pos, admitted FROM t""",
 }
