@@ -250,3 +250,28 @@ def admitted(pictures: DataFrame, least: int = 10 << 20, factor: int = 2, overhe
 
     rows = pictures.select("doc", "pos", F.col("size").cast("long").alias("size"), F.col("file_size").cast("long").alias("file_size"))
     return rows.repartition("doc").sortWithinPartitions("doc", "pos").mapInArrow(judged, StructType([*rows.schema.fields, StructField("admitted", BooleanType())]))
+
+
+def note_marks(refs: DataFrame, style: str) -> DataFrame:
+    """refs (doc, pos, label, number) with the html of each mark in the text, in the style links, epub, plain or text; of a label's marks the first is what its note leads back to."""
+    number, label = F.col("number").cast("string"), F.col("label")
+    if style == "text":
+        return refs.withColumn("html", F.concat(F.lit("["), number, F.lit("]")))
+    if style == "plain":
+        return refs.withColumn("html", F.concat(F.lit("<sup>"), number, F.lit("</sup>")))
+    first = F.row_number().over(Window.partitionBy("doc", "label").orderBy("pos")) == 1
+    start, kind = ("<sup>", ' epub:type="noteref"') if style == "epub" else ('<sup class="fnref">', "")
+    target = F.when(first, F.concat(F.lit(' id="fnref-'), label, F.lit('"'))).otherwise("")
+    return refs.withColumn("html", F.concat(F.lit(f'{start}<a{kind} href="#fn-'), label, F.lit('"'), target, F.lit(">"), number, F.lit("</a></sup>")))
+
+
+def note_items(notes: DataFrame, refs: DataFrame, style: str) -> DataFrame:
+    """notes (doc, label, body) with the html of each as a list item; in the linked styles a note that a mark names leads back, inside its last paragraph."""
+    if style in ("text", "plain"):
+        return notes.withColumn("html", F.concat(F.lit("<li>"), "body", F.lit("</li>")))
+    back = F.concat(F.lit(' <a href="#fnref-'), "label", F.lit('" class="fnback" aria-label="Back to the text">↩</a>'))
+    closed = F.regexp_replace("body", r"</p>\s*$", "")
+    body = F.when(F.col("named").isNull(), F.col("body")).when(F.col("body").rlike(r"</p>\s*$"), F.concat(closed, back, F.lit("</p>"))).otherwise(F.concat("body", back))
+    kind = ' epub:type="footnote"' if style == "epub" else ""
+    named = notes.join(refs.select("doc", "label").distinct().withColumn("named", F.lit(True)), ["doc", "label"], "left")
+    return named.withColumn("html", F.concat(F.lit('<li id="fn-'), "label", F.lit(f'"{kind}>'), body, F.lit("</li>"))).drop("named")

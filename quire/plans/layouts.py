@@ -114,8 +114,30 @@ def w13_admitted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.admitted(pictures).select("doc", "pos", "admitted")
 
 
-QUERIES = {f.__name__: f for f in (a10_language_votes, r27_patch_files, a14_lost_list_markers, j8_rescued_tables, a5_wide_tables, p8_used_columns, f14_class_languages, d5_picture_types, p11_resolvable_links, j3_embedded_parts, w13_admitted_pictures)}
+def _notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A customer's orders as marks named by priority, and as notes; some notes end a paragraph, some have no mark."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("pos"), F.substring("o_orderpriority", 1, 1).alias("label"), F.length("o_orderpriority").alias("number"))
+    notes = o.groupBy("doc", "label").agg(F.min("pos").alias("pos")).select("doc", "label", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("<p>n"), F.col("pos").cast("string"), F.lit("</p>\n"))).otherwise("bare").alias("body"))
+    return o.where("pos % 3 = 0"), notes
 
+
+def h13_note_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, _ = _notes(spark, sf_dir)
+    links, epub, plain, texts = (sequences.note_marks(refs, style).withColumn("style", F.lit(style)) for style in ("links", "epub", "plain", "text"))
+    return links.unionByName(epub).unionByName(plain).unionByName(texts).select("doc", "pos", "style", "html")
+
+
+def h13_note_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, notes = _notes(spark, sf_dir)
+    links, epub, plain = (sequences.note_items(notes, refs, style).withColumn("style", F.lit(style)) for style in ("links", "epub", "plain"))
+    return links.unionByName(epub).unionByName(plain).select("doc", "label", "style", "html")
+
+
+QUERIES = {f.__name__: f for f in (a10_language_votes, r27_patch_files, a14_lost_list_markers, j8_rescued_tables, a5_wide_tables, p8_used_columns, f14_class_languages, d5_picture_types, p11_resolvable_links, j3_embedded_parts, w13_admitted_pictures, h13_note_marks, h13_note_items)}
+
+_NOTES = """o AS (SELECT o_custkey AS doc, o_orderkey AS pos, left(o_orderpriority, 1) AS label, length(o_orderpriority) AS number FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc, label ORDER BY pos) = 1 AS first FROM o WHERE pos % 3 = 0),
+n AS (SELECT doc, label, CASE WHEN min(pos) % 2 = 0 THEN '<p>n' || min(pos) ELSE 'bare' END AS body, min(pos) % 2 = 0 AS p, count(*) FILTER (WHERE pos % 3 = 0) > 0 AS named FROM o GROUP BY doc, label)"""
 ORACLE_SQL = {
     "a10_language_votes": """WITH l AS (SELECT o_custkey AS doc, o_orderstatus || ' ' || o_orderpriority AS line FROM orders),
 v AS (SELECT doc, count(*) AS lines, CASE WHEN bool_or(contains(line, '3-MEDIUM')) THEN 0 ELSE count(*) FILTER (WHERE contains(line, '1-URGENT') OR line LIKE 'F 2-%') END AS a,
@@ -154,4 +176,10 @@ SELECT r.doc, pos, r.cid, coalesce(min(part) FILTER (WHERE p.cid = r.cid), min(p
 t AS (SELECT doc, pos, k, cost <= budget AS admitted, CASE WHEN cost <= budget THEN cost ELSE 0 END AS spent FROM p WHERE k = 1
   UNION ALL SELECT p.doc, p.pos, p.k, spent + cost <= budget, CASE WHEN spent + cost <= budget THEN spent + cost ELSE spent END FROM t JOIN p ON p.doc = t.doc AND p.k = t.k + 1)
 SELECT doc, pos, admitted FROM t""",
+    "h13_note_marks": f"""WITH {_NOTES} SELECT doc, pos, style, CASE style WHEN 'text' THEN '[' || number || ']' WHEN 'plain' THEN '<sup>' || number || '</sup>' ELSE
+  CASE style WHEN 'epub' THEN '<sup><a epub:type="noteref" href="#fn-' ELSE '<sup class="fnref"><a href="#fn-' END || label || '"' || CASE WHEN first THEN ' id="fnref-' || label || '"' ELSE '' END || '>' || number || '</a></sup>' END AS html
+FROM r, unnest(['links', 'epub', 'plain', 'text']) AS u(style)""",
+    "h13_note_items": f"""WITH {_NOTES} SELECT doc, label, style, CASE style WHEN 'plain' THEN '<li>' WHEN 'links' THEN '<li id="fn-' || label || '">' ELSE '<li id="fn-' || label || '" epub:type="footnote">' END || body ||
+  CASE WHEN style <> 'plain' AND named THEN ' <a href="#fnref-' || label || '" class="fnback" aria-label="Back to the text">↩</a>' || CASE WHEN p THEN '</p>' ELSE '' END WHEN p THEN '</p>' || chr(10) ELSE '' END || '</li>' AS html
+FROM n, unnest(['links', 'epub', 'plain']) AS u(style)""",
 }
