@@ -192,3 +192,23 @@ def language_from_class(css: Column, languages: dict[str, str], markers: tuple[s
 def resolvable_links(html: Column) -> Column:
     """html whose links that lead to no web page or mail address are unwrapped; their text stays."""
     return F.regexp_replace(html, r"""(?is)<a\b(?!(?:(?!\bhref=")[^>])*\bhref="(?:https?|mailto):)[^>]*>(.*?)</a>""", "$1")
+
+
+#: The elements that may stand around a picture that is all of a document.
+PICTURE_WRAPPERS = ("p", "div", "span", "a", "figure", "picture", "center", "section", "article", "main", "br")
+
+
+def lone_picture(html: Column) -> Column:
+    """Whether html is one picture and nothing else but comments, wrappers and white space."""
+    rest = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"(?i)<img\b[^>]*>", "")
+    tags = F.regexp_extract_all(rest, F.lit(r"(?i)</?([a-z][\w-]*)"), 1)
+    bare = F.regexp_replace(F.regexp_replace(rest, "<[^>]*>", ""), r"(?i)&nbsp;|&#160;|&#xa0;|\s", "")
+    return (F.regexp_count(html, F.lit(r"(?i)<img\b[^>]*>")) == 1) & F.forall(tags, lambda t: F.lower(t).isin(*PICTURE_WRAPPERS)) & (bare == "")
+
+
+def picture_pages(html: Column) -> Column:
+    """The width and height attributes of each picture of a document that is pictures with rules between them (null where a picture lacks one); null for any other document."""
+    parts = F.split(html, r"(?i)<hr\b[^>]*>", -1)
+    size = lambda part, name: F.try_to_number(F.nullif(F.regexp_extract(part, rf"""(?is)<img\b[^>]*?\s{name}\s*=\s*["']?\s*([0-9]+)(?:px)?\s*["'\s>/]""", 1), F.lit("")), F.lit("999999999")).cast("int")
+    both = lambda part: F.when((size(part, "width") > 0) & (size(part, "height") > 0), F.struct(size(part, "width").alias("width"), size(part, "height").alias("height")))
+    return F.when(F.forall(parts, lone_picture), F.transform(parts, both))

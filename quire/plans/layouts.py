@@ -133,7 +133,16 @@ def h13_note_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.unionByName(epub).unionByName(plain).select("doc", "label", "style", "html")
 
 
-QUERIES = {f.__name__: f for f in (a10_language_votes, r27_patch_files, a14_lost_list_markers, j8_rescued_tables, a5_wide_tables, p8_used_columns, f14_class_languages, d5_picture_types, p11_resolvable_links, j3_embedded_parts, w13_admitted_pictures, h13_note_marks, h13_note_items)}
+def p18_picture_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("p_size").cast("string")
+    one = F.concat(F.lit('<figure><img src="a" width="'), w, F.lit('px" height=7></figure>'))
+    bare = F.lit("<p>&nbsp;<img src=b><!-- note --><br/> </p>")
+    html = F.element_at(F.array(one, F.concat(one, F.lit("<hr class=x>"), bare), F.concat(one, F.lit("<hr>")), F.concat(one, F.lit("text")), F.concat(one, one), F.concat(F.lit("<table>"), one), F.lit("")), (F.col("p_partkey") % 7 + 1).cast("int"))
+    sizes = text.picture_pages(html)
+    return read(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.size(sizes), F.lit(-1)).alias("pages"), sizes[0]["width"].alias("width"), F.get(sizes, F.lit(1))["width"].alias("second"))
+
+
+QUERIES = {f.__name__: f for f in (a10_language_votes, r27_patch_files, a14_lost_list_markers, j8_rescued_tables, a5_wide_tables, p8_used_columns, f14_class_languages, d5_picture_types, p11_resolvable_links, j3_embedded_parts, w13_admitted_pictures, h13_note_marks, h13_note_items, p18_picture_pages)}
 
 _NOTES = """o AS (SELECT o_custkey AS doc, o_orderkey AS pos, left(o_orderpriority, 1) AS label, length(o_orderpriority) AS number FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc, label ORDER BY pos) = 1 AS first FROM o WHERE pos % 3 = 0),
@@ -182,4 +191,5 @@ FROM r, unnest(['links', 'epub', 'plain', 'text']) AS u(style)""",
     "h13_note_items": f"""WITH {_NOTES} SELECT doc, label, style, CASE style WHEN 'plain' THEN '<li>' WHEN 'links' THEN '<li id="fn-' || label || '">' ELSE '<li id="fn-' || label || '" epub:type="footnote">' END || body ||
   CASE WHEN style <> 'plain' AND named THEN ' <a href="#fnref-' || label || '" class="fnback" aria-label="Back to the text">↩</a>' || CASE WHEN p THEN '</p>' ELSE '' END WHEN p THEN '</p>' || chr(10) ELSE '' END || '</li>' AS html
 FROM n, unnest(['links', 'epub', 'plain']) AS u(style)""",
+    "p18_picture_pages": "SELECT p_partkey, CAST(CASE p_partkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE -1 END AS INTEGER) AS pages, CASE WHEN p_partkey % 7 < 2 THEN CAST(p_size AS INTEGER) END AS width, CAST(NULL AS INTEGER) AS second FROM part",
 }
