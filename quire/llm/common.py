@@ -13,6 +13,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,25 +91,38 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8
             yield batch.slice(at, step)
 
 
-_ODD_FACTOR = 0x5851F42D4C957F2D
-_INVERSE_FACTOR = pow(_ODD_FACTOR, -1, 1 << 64)
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd factor and of its inverse modulo 2 ** 64, kept for the longest piece so far."""
-    global _powers
-    if len(_powers[0]) < n:
-        _powers = tuple(np.cumprod(np.append(np.uint64(1), np.full(2 * n, f, np.uint64))) for f in (_ODD_FACTOR, _INVERSE_FACTOR))
-    return _powers
+#: Characters of a word that are hashed by table; longer words are hashed one by one.
+TABLED = 32
+_random = np.random.Generator(np.random.PCG64(20240607))
+_LOW = _random.integers(0, 1 << 64, TABLED << 8, np.uint64)
+_HIGH = _random.integers(0, 1 << 64, TABLED * 0x1100, np.uint64)
 
 
 def run_hashes(codes: np.ndarray, gap: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit hashes of runs of codes: a run goes from its start to the next gap or start. Polynomials in an odd factor, so that all runs of a piece are hashed at once."""
-    power, inverse = _powers_to(len(codes))
-    values = (codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)]
+    """64-bit hashes of runs of codes (bytes or code points): a run goes from its start to the next gap or start.
+
+    Tabulation: every character adds a random number of its value and place, so two given runs meet with a chance of 2 ** -64
+    over the choice of the tables, whatever their pattern. Runs of more than TABLED characters are hashed by XXH3."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    codes, gap, at = codes[starts[0] :], gap[starts[0] :], (starts - starts[0]).astype(np.int32)
+    place = np.arange(len(codes), dtype=np.int32) - np.repeat(at, np.diff(at, append=np.int32(len(codes))))
+    np.minimum(place, TABLED - 1, out=place)
+    values = _LOW[(place << 8) | (codes & 0xFF)]
+    if codes.itemsize > 1:
+        high = np.flatnonzero(codes > 0xFF)
+        values[high] += _HIGH[place[high] * 0x1100 + (codes[high] >> 8).astype(np.int32)]
     values[gap] = 0
-    return mixed(np.add.reduceat(values, starts) * inverse[starts]) if len(starts) else np.zeros(0, np.uint64)
+    sums = np.add.reduceat(values, at)
+    # A run that goes on at the last place of the tables may be too long for them.
+    last = place == TABLED - 1
+    last &= ~gap
+    for k in np.unique(np.searchsorted(at, np.flatnonzero(last), "right") - 1).tolist():
+        run = slice(at[k], at[k + 1] if k + 1 < len(at) else len(codes))
+        run = codes[run][~gap[run]]
+        if len(run) > TABLED:
+            sums[k] = xxhash.xxh3_64_intdigest(run.tobytes())
+    return mixed(sums)
 
 
 _GAP = np.zeros(256, bool)
