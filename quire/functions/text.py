@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.numbers import luminance
+
 
 def github_slug(text: Column) -> Column:
     """The anchor of a heading: lower case, letters, marks, digits, connectors, hyphens; spaces to hyphens."""
@@ -22,6 +24,13 @@ def escape_html(value: Column) -> Column:
     return value
 
 
+def escape_text(value: Column) -> Column:
+    """Text as markup, outside of attributes."""
+    for raw, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        value = F.replace(value, F.lit(raw), F.lit(reference))
+    return value
+
+
 def text_length(html: Column) -> Column:
     """Characters outside tags, scripts and styles, without white space; a character reference counts as one."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", ""), "<[^>]*>", "")
@@ -212,3 +221,50 @@ def picture_pages(html: Column) -> Column:
     size = lambda part, name: F.try_to_number(F.nullif(F.regexp_extract(part, rf"""(?is)<img\b[^>]*?\s{name}\s*=\s*["']?\s*([0-9]+)(?:px)?\s*["'\s>/]""", 1), F.lit("")), F.lit("999999999")).cast("int")
     both = lambda part: F.when((size(part, "width") > 0) & (size(part, "height") > 0), F.struct(size(part, "width").alias("width"), size(part, "height").alias("height")))
     return F.when(F.forall(parts, lone_picture), F.transform(parts, both))
+
+
+#: The labels of notes, and the classes of code that name a language or mark highlighted code.
+NOTE_LABEL = r"^[A-Za-z0-9_.-]{1,64}$"
+CODE_CLASS = r"^(?:language-[\w+-]+|hljs)$"
+#: The colours of text markers by name.
+MARKERS = {
+    "yellow": "FFFF00", "lime": "00FF00", "cyan": "00FFFF", "aqua": "00FFFF", "magenta": "FF00FF", "fuchsia": "FF00FF", "blue": "0000FF", "red": "FF0000", "black": "000000", "white": "FFFFFF",
+    "navy": "000080", "teal": "008080", "green": "008000", "purple": "800080", "maroon": "800000", "olive": "808000", "gray": "808080", "grey": "808080", "silver": "C0C0C0",
+}
+
+
+def code_class(classes: Column) -> Column:
+    """Of the classes of a code element those that name its language or mark it as highlighted; display math stays behind its language. Null for none."""
+    given = F.split(F.coalesce(classes, F.lit("")), r"\s+")
+    kept = F.filter(given, lambda c: c.rlike(CODE_CLASS))
+    shown = F.when(F.array_contains(given, "math-display"), F.array(F.lit("language-math"), F.lit("math-display"))).otherwise(F.array(F.lit("language-math")))
+    at = F.array_position(kept, "language-math").cast("int")
+    spread = F.when(at > 0, F.concat(F.slice(kept, 1, at - 1), shown, F.slice(kept, at + 1, F.size(kept)))).otherwise(kept)
+    return F.when(F.size(kept) > 0, F.array_join(spread, " "))
+
+
+def colour(word: Column) -> Column:
+    """RRGGBB of a colour as #rgb, #rrggbb, rgb(r, g, b) in whole numbers, or the name of a text marker's; null for none."""
+    word = F.lower(F.trim(word))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in MARKERS.items() for x in pair]), word)
+    short = F.regexp_replace(F.regexp_extract(word, r"^#([0-9a-f]{3})$", 1), r"(.)", "$1$1")
+    long = F.regexp_extract(word, r"^#([0-9a-f]{6})$", 1)
+    parts = F.transform(F.array(*[F.regexp_extract(word, r"^rgb\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*\)$", k).try_cast("int") for k in (1, 2, 3)]), lambda n: F.when(n.isNotNull(), F.lpad(F.hex(F.least(n, F.lit(255))), 2, "0")))
+    return F.coalesce(named, F.when(short != "", F.upper(short)), F.when(long != "", F.upper(long)), F.when(F.size(F.array_compact(parts)) == 3, F.array_join(parts, "")))
+
+
+def mark_style(style: Column) -> Column:
+    """The style of a marker of another colour than yellow, with white text on a dark one; null for a plain marker."""
+    own = F.regexp_extract(style, r"(?i)(?:^|;)\s*background-color\s*:\s*([^;]+)", 1)
+    words = F.regexp_extract_all(F.regexp_extract(style, r"(?i)(?:^|;)\s*background\s*:\s*([^;]+)", 1), F.lit(r"[^\s(]+\([^)]*\)|[^\s]+"), F.lit(0))
+    found = F.when(own != "", colour(own)).otherwise(F.try_element_at(F.array_compact(F.transform(words, colour)), F.lit(-1)))
+    light = luminance(F.concat(F.lit("#"), found))
+    dark = 1.05 / (light + 0.05) > (light + 0.05) / 0.05
+    return F.when(found != "FFFF00", F.concat(F.lit("background-color:#"), found, F.when(dark, ";color:#FFFFFF").otherwise("")))
+
+
+def cell_style(style: Column, align: Column) -> Column:
+    """The alignment of a cell from its style, else from its attribute, as a style; null for none."""
+    said = F.try_element_at(F.regexp_extract_all(style, F.lit(r"(?i)(?:^|;)\s*text-align\s*:\s*([^;]*)"), F.lit(1)), F.lit(-1))
+    value = F.lower(F.trim(F.regexp_replace(F.coalesce(said, align), r"(?i)!\s*important\s*$", "")))
+    return F.when(value.isin("left", "center", "right"), F.concat(F.lit("text-align:"), value))
