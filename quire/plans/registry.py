@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import anchors, grids, layouts, more, orders, pagetrees, rules, texts
+from quire.plans import anchors, formulas, grids, layouts, more, orders, pagetrees, rules, texts
 
-MODULES = (anchors, texts, grids, orders, more, rules, layouts, pagetrees)
+MODULES = (anchors, formulas, texts, grids, orders, more, rules, layouts, pagetrees)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items() if s}
