@@ -6,7 +6,6 @@ import csv
 import email
 import email.policy
 import io
-import json
 import quopri
 import re
 import sqlite3
@@ -17,61 +16,16 @@ from itertools import islice, pairwise
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators import jsontext
 from quire.sources.common import parsed
 
 FIELDS = "row_no long, fields map<string,string>, header array<string>"
 CONTACT = ("name", "organization", "title", "email", "phone", "address", "birthday", "url", "note")
 
 
-class _Verbatim(str):
-    """A number as it is written."""
-
-
-_JSON = json.JSONDecoder(parse_float=_Verbatim, parse_int=_Verbatim, parse_constant=_Verbatim, object_pairs_hook=lambda pairs: tuple(["object", dict(pairs), len(pairs)]))
-
-
-def _shown(value) -> tuple[str, int]:
-    """A value as a cell, and 1 if it is nested: scalars as written, null as nothing, the rest as compact JSON."""
-
-    def compact(v) -> str:
-        if isinstance(v, tuple):
-            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{compact(x)}" for k, x in v[1].items()) + "}"
-        if isinstance(v, list):
-            return "[" + ",".join(map(compact, v)) + "]"
-        return v if isinstance(v, _Verbatim) else json.dumps(v, ensure_ascii=False)
-
-    if value is None:
-        return "", 0
-    if isinstance(value, bool):
-        return str(value).lower(), 0
-    return (compact(value), 1) if isinstance(value, tuple | list) else (str(value), 0)
-
-
-def _records(text: str, lines: bool) -> Iterator[tuple]:
-    """Rows of an array of objects, or of lines of objects; nothing if it is something else or more than a tenth of its fields are nested."""
-    decoded = [_JSON.decode(l) for l in text.lstrip("\ufeff").split("\n") if l.strip()] if lines else _JSON.decode(text.lstrip("﻿").strip())
-    if not isinstance(decoded, list) or not decoded or not all(isinstance(r, tuple) for r in decoded):
-        return
-    header: dict[str, None] = {}
-    rows, nested, fields = [], 0, 0
-    for _, row, n in decoded:
-        cells = {}
-        for k, v in row.items():
-            header.setdefault(k)
-            cells[k], deep = _shown(v)
-            nested += deep
-        fields += n
-        rows.append(cells)
-    if nested * 10 > fields > 0:
-        return
-    names = list(header)
-    for k, cells in enumerate(rows):
-        yield k, {n: cells.get(n, "") for n in names}, names
-
-
 def json_records(df: DataFrame, column: str = "text", doc: str = "doc", *, lines: bool = False) -> DataFrame:
-    """(doc, row_no, fields, header, error); numbers stay as they are written, missing fields are empty, of repeated keys the last counts."""
-    return parsed(df, column, FIELDS, lambda t: _records(t, lines), doc=doc)
+    """(doc, row_no, fields, header, error); numbers stay as they are written, missing fields are empty, of repeated keys the last counts. A bad line is an error of its own."""
+    return jsontext.records(df, column, doc, lines=lines)
 
 
 def _fields(text: str, delimiter: str, most: int | None = None) -> list[list[str]]:
