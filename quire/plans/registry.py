@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import anchors, formulas, grids, jsons, layouts, markups, more, orders, pagetrees, rules, texts
+from quire.plans import anchors, formulas, grids, jsons, layouts, markups, more, orders, pagetrees, prints, rules, texts
 
-MODULES = (anchors, formulas, jsons, markups, texts, grids, orders, more, rules, layouts, pagetrees)
+MODULES = (anchors, formulas, jsons, markups, texts, grids, orders, more, rules, layouts, pagetrees, prints)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items() if s}
