@@ -216,9 +216,9 @@ def lone_picture(html: Column) -> Column:
 
 
 def picture_pages(html: Column) -> Column:
-    """The width and height attributes of each picture of a document that is pictures with rules between them (null where a picture lacks one); null for any other document."""
+    """The width and height attributes (double) of each picture of a document that is pictures with rules between them (null where a picture lacks one); null for any other document."""
     parts = F.split(html, r"(?i)<hr\b[^>]*>", -1)
-    size = lambda part, name: F.try_to_number(F.nullif(F.regexp_extract(part, rf"""(?is)<img\b[^>]*?\s{name}\s*=\s*["']?\s*([0-9]+)(?:px)?\s*["'\s>/]""", 1), F.lit("")), F.lit("999999999")).cast("int")
+    size = lambda part, name: F.regexp_extract(part, rf"""(?is)<img\b[^>]*?\s{name}\s*=\s*["']?\s*([0-9.]+)(?:px)?\s*["'\s>/]""", 1).try_cast("double")
     both = lambda part: F.when((size(part, "width") > 0) & (size(part, "height") > 0), F.struct(size(part, "width").alias("width"), size(part, "height").alias("height")))
     return F.when(F.forall(parts, lone_picture), F.transform(parts, both))
 

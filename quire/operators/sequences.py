@@ -109,7 +109,8 @@ def footnotes(refs: DataFrame, notes: DataFrame) -> DataFrame:
 def unique_names(names: DataFrame, keys: list[str], order: str, name: str = "name") -> DataFrame:
     """names with `unique_name`: the n-th of a name, by case-insensitive comparison, gets "-n" before its extension.
 
-    A made name that is also given, or made twice, is numbered once more among those; given names stay as they are.
+    A made name that is also given, or made twice, gets another number behind it: the first of 2, 3, ... that gives no name that is
+    given or made. Given names stay as they are. (keys, order) names a row.
     """
     cut = lambda of: (F.regexp_replace(of, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(of, r"(?<=.)(\.[^.]*)$", 1))
     nth = F.row_number().over(Window.partitionBy(*keys, F.lower(name)).orderBy(order))
@@ -117,7 +118,17 @@ def unique_names(names: DataFrame, keys: list[str], order: str, name: str = "nam
     made = names.withColumn("nth", nth).withColumn("made", F.when(F.col("nth") > 1, F.concat(stem, F.lit("-"), F.col("nth").cast("string"), ext)).otherwise(F.col(name)))
     again = F.row_number().over(Window.partitionBy(*keys, F.lower("made")).orderBy(F.col("nth") > 1, order))
     stem, ext = cut(F.col("made"))
-    return made.withColumn("again", again).withColumn("unique_name", F.when(F.col("again") > 1, F.concat(stem, F.lit("-"), F.col("again").cast("string"), ext)).otherwise(F.col("made"))).drop("nth", "made", "again")
+    tried = made.withColumns({"again": again - 1, "stem": stem, "ext": ext})
+    # Numbers in use behind a stem: the j-th of them, t, leaves t - 1 - j free ones from 2 below it, so the k-th free one is k + 1 and one for each t - j up to k.
+    used = tried.select(*keys, F.lower("stem").alias("used"), F.lower("ext").alias("low_ext"))
+    used = used.select(*keys, F.regexp_extract("used", r"^(.+)-[1-9][0-9]*$", 1).alias("low_stem"), "low_ext", F.regexp_extract("used", r"-([1-9][0-9]{0,17})$", 1).try_cast("long").alias("t")).where("t > 1 and low_stem <> ''").distinct()
+    of_stem = Window.partitionBy(*keys, "low_stem", "low_ext")
+    left = used.withColumn("at", F.col("t") - F.row_number().over(of_stem.orderBy("t"))).drop("t").withColumn("is_used", F.lit(1))
+    late = tried.where("again > 0").withColumns({"low_stem": F.lower("stem"), "low_ext": F.lower("ext"), "at": F.col("again").cast("long"), "is_used": F.lit(0)})
+    counted = late.unionByName(left, allowMissingColumns=True).withColumn("passed", F.sum("is_used").over(of_stem.orderBy("at", F.desc("is_used")).rowsBetween(Window.unboundedPreceding, 0))).where("is_used = 0")
+    renamed = counted.withColumn("unique_name", F.concat("stem", F.lit("-"), (F.col("again") + 1 + F.col("passed")).cast("string"), "ext"))
+    kept = tried.where("again = 0").withColumn("unique_name", F.col("made"))
+    return kept.select(*names.columns, "unique_name").unionByName(renamed.select(*names.columns, "unique_name"))
 
 
 def merged(parts: DataFrame) -> DataFrame:

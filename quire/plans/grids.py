@@ -125,7 +125,7 @@ ORACLE_SQL = {
     "p14_marker_columns": """SELECT CAST(l_orderkey AS VARCHAR) AS doc, 0 AS c, 1.0 AS share FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey""",
     "k6_sheets": f"WITH {_PART} SELECT doc, r, CASE WHEN r = 0 THEN 0 ELSE (r - 1) // 19 END AS sheet, CASE WHEN r = 0 THEN 0 ELSE (r - 1) % 19 + 1 END AS sheet_row FROM part_rows",
     "s5_first_rows": f"WITH {_PART} SELECT doc, r, v[1] AS value, total FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS total FROM part_rows) WHERE r < 15",
-    "j11_covered_cells": f"WITH {_PART}, m AS (SELECT doc, r AS r0, c AS c0, r + 2 AS r1, c + r % 8 % 2 AS c1 FROM cells WHERE r % 4 = 1 AND c % 2 = 0), w AS (SELECT doc, r0, c0, r1, c1, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM m)) SELECT cells.doc, cells.r, cells.c, r0, c0, r1, c1, CASE WHEN r0 IS NOT NULL THEN cells.r = r0 AND cells.c = c0 END AS anchor FROM cells LEFT JOIN w ON cells.doc = w.doc AND cells.r = w.r AND cells.c = w.c",
+    "j11_covered_cells": f"WITH {_PART}, m AS MATERIALIZED (SELECT doc, r AS r0, c AS c0, r + 2 AS r1, c + r % 8 % 2 AS c1 FROM cells WHERE r % 4 = 1 AND c % 2 = 0), w AS MATERIALIZED (SELECT doc, r0, c0, r1, c1, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM m)) SELECT cells.doc, cells.r, cells.c, r0, c0, r1, c1, CASE WHEN r0 IS NOT NULL THEN cells.r = r0 AND cells.c = c0 END AS anchor FROM cells LEFT JOIN w ON cells.doc = w.doc AND cells.r = w.r AND cells.c = w.c",
     "w6_folded_rows": f"WITH {_PART}, b AS (SELECT doc, r, c, CASE WHEN r % 3 > 0 AND c IN (0, 3) THEN '' WHEN r % 7 = 6 THEN '' ELSE value END AS value FROM cells), s AS (SELECT doc, r, max(value) FILTER (WHERE c = 0) <> '' OR max(value) = '' OR r = 0 AS start FROM b GROUP BY doc, r), g AS (SELECT doc, r, sum(CAST(start AS INT)) OVER (PARTITION BY doc ORDER BY r) - 1 AS row FROM s) SELECT b.doc, CAST(row AS INT) AS r, c, coalesce(string_agg(value, ' ' ORDER BY b.r) FILTER (WHERE value <> ''), '') AS value FROM b JOIN g ON b.doc = g.doc AND b.r = g.r GROUP BY b.doc, row, c",
     "a3_upper_medians": "SELECT l_orderkey, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS median FROM lineitem GROUP BY l_orderkey",
     "a9_confidence": "SELECT user_id, round(avg(value), 6) AS mean, count(*) AS n, round(avg(value), 6) >= 70 AS readable FROM events WHERE trim(event_type) <> '' GROUP BY user_id",

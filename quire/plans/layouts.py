@@ -139,7 +139,7 @@ def p18_picture_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.lit("<p>&nbsp;<img src=b><!-- note --><br/> </p>")
     html = F.element_at(F.array(one, F.concat(one, F.lit("<hr class=x>"), bare), F.concat(one, F.lit("<hr>")), F.concat(one, F.lit("text")), F.concat(one, one), F.concat(F.lit("<table>"), one), F.lit("")), (F.col("p_partkey") % 7 + 1).cast("int"))
     sizes = text.picture_pages(html)
-    return read(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.size(sizes), F.lit(-1)).alias("pages"), sizes[0]["width"].alias("width"), F.get(sizes, F.lit(1))["width"].alias("second"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.size(sizes), F.lit(-1)).alias("pages"), sizes[0]["width"].cast("int").alias("width"), F.get(sizes, F.lit(1))["width"].cast("int").alias("second"))
 
 
 QUERIES = {f.__name__: f for f in (a10_language_votes, r27_patch_files, a14_lost_list_markers, j8_rescued_tables, a5_wide_tables, p8_used_columns, f14_class_languages, d5_picture_types, p11_resolvable_links, j3_embedded_parts, w13_admitted_pictures, h13_note_marks, h13_note_items, p18_picture_pages)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import detect, text
@@ -118,6 +118,15 @@ def k2_hostile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.json_rows(table).select("doc", "row")
 
 
+def w11_taken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines name a.txt, and the names that those would be given, and the names that those would be given."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    lines = lines.select("l_orderkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).alias("n"))
+    given = F.element_at(F.array(*map(F.lit, ("a.txt", "A.txt", "a-2.txt", "a.TXT", "a-2-2.txt", "a-2-3.txt", "a.txt"))), F.col("n"))
+    made = sequences.unique_names(lines.withColumn("name", given), ["l_orderkey"], "n")
+    return made.select("l_orderkey", "n", "unique_name")
+
+
 def w11_hostile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that repeat, and given names that are what a repeated one would become."""
     k = F.col("l_linenumber")
@@ -181,7 +190,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f4_safe_labels, f6_sheet_names, f8_contents_entries, f12_messages, r2a_front_matter, p2_xml_legal, f17_clearly_markdown, r1a_tab_blocks, r6_csv_cells, a12_alignments, k7a_aligned_pipes, z2_promoted_headers,
-        a15_auto_tables, k2_hostile_rows, w11_hostile_names, j12_cross_links, j13_positional, w10_paragraphs, w15_list_depths, w17_rejoined_lists, s7_best_and_ratio, u6_notices, s8_nth_part, s4_reading_order,
+        a15_auto_tables, k2_hostile_rows, w11_taken_names, w11_hostile_names, j12_cross_links, j13_positional, w10_paragraphs, w15_list_depths, w17_rejoined_lists, s7_best_and_ratio, u6_notices, s8_nth_part, s4_reading_order,
     )
 }
 
@@ -208,6 +217,10 @@ UNION ALL SELECT doc, 1, '| ' || string_agg(CASE align WHEN 'left' THEN ':---' W
     "z2_promoted_headers": f"WITH {_ALIGNED} SELECT doc, r, c, is_header OR (r = 0 AND doc % 3 = 0 AND doc % 2 = 1) OR (r = 0 AND doc % 3 = 0 AND NOT bool_or(is_header) OVER (PARTITION BY doc)) AS is_header FROM t",
     "a15_auto_tables": "SELECT p_size AS doc, count(*) <= 500 AND count(*) FILTER (WHERE p_partkey % 97 = 0) = 0 AND max(length(w)) <= 28 AS auto FROM (SELECT p_size, p_partkey, CASE WHEN p_partkey % 97 = 0 THEN repeat('w', 58) ELSE '' END AS x, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY p_size",
     "k2_hostile_rows": r"""SELECT s_suppkey AS doc, '{"say \"hi\"": ' || s_suppkey || ', "back\\slash": "\"\\\u0002\u001f\b\f\r\n' || s_name || '", "tab\tkey\u0001": ' || CASE WHEN s_nationkey % 2 = 0 THEN CAST(s_nationkey AS VARCHAR) ELSE '"\u000b"' END || '}' AS row FROM supplier""",
+    "w11_taken_names": """
+WITH l AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INTEGER) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)), h AS (SELECT *, max(n) OVER (PARTITION BY l_orderkey) AS m FROM l)
+SELECT l_orderkey, n, CASE n WHEN 1 THEN 'a.txt' WHEN 2 THEN CASE WHEN m < 3 THEN 'A-2.txt' WHEN m < 5 THEN 'A-2-2.txt' WHEN m < 6 THEN 'A-2-3.txt' ELSE 'A-2-4.txt' END
+  WHEN 3 THEN 'a-2.txt' WHEN 4 THEN 'a-3.TXT' WHEN 5 THEN 'a-2-2.txt' WHEN 6 THEN 'a-2-3.txt' ELSE 'a-4.txt' END AS unique_name FROM h""",
     "w11_hostile_names": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem), h AS (SELECT *, bool_or(n = 1) OVER w AS h1, bool_or(n = 3) OVER w AS h3, bool_or(n = 4) OVER w AS h4, bool_or(n = 6) OVER w AS h6 FROM l WINDOW w AS (PARTITION BY l_orderkey)) SELECT l_orderkey, n AS l_linenumber, CASE n WHEN 1 THEN 'a.txt' WHEN 2 THEN CASE WHEN h1 AND h3 THEN 'a-2-2.txt' WHEN h1 THEN 'a-2.txt' ELSE 'a.txt' END WHEN 3 THEN 'A-2.txt' WHEN 4 THEN '.hidden' WHEN 5 THEN CASE WHEN h4 THEN '.hidden-2' ELSE '.hidden' END WHEN 6 THEN 'b.tar.gz' ELSE CASE WHEN h6 THEN 'B.tar-2.gz' ELSE 'B.tar.gz' END END AS unique_name FROM h",
     "j12_cross_links": """WITH p AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS doc, page_id AS pos, 's' || page_id % 40 AS anchor, 'c' || page_id % 3 || '.xhtml' AS file FROM pages),
 l AS (SELECT doc, pos, file, '#' || anchor AS href FROM p UNION ALL SELECT doc, pos, file, '#s' || (pos + 1) % 40 FROM p UNION ALL SELECT doc, pos, file, '#none' FROM p UNION ALL SELECT doc, pos, file, 'http://x/' FROM p),

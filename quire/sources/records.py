@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from quire.operators import jsontext
 from quire.sources.common import parsed
 
+csv.field_size_limit(2**31 - 1)  # the library's own limit is 131,072 characters a field
+
 FIELDS = "row_no long, fields map<string,string>, header array<string>"
 CONTACT = ("name", "organization", "title", "email", "phone", "address", "birthday", "url", "note")
 

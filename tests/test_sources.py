@@ -200,3 +200,25 @@ def test_streams(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(60)
     assert sorted(r.n for r in spark.table("sessions").collect()) == [1, 2]
+
+
+def test_csv_field_of_any_length(spark):
+    rows = records.csv_cells(docs(spark, "a,b\n" + "x" * 300_000 + ",2")).orderBy("r", "c").collect()
+    assert [len(r.value) for r in rows] == [1, 1, 300_000, 1]
+
+
+def test_picture_sizes_with_decimals(spark):
+    from quire.functions import text
+
+    row = docs(spark, '<img src="a" width="12.5" height=".5px">').select(text.picture_pages(F.col("text")).alias("p")).first()
+    assert [(p.width, p.height) for p in row.p] == [(12.5, 0.5)]
+
+
+def test_unique_names(spark):
+    from quire.operators import sequences
+
+    given = ["a.txt", "a.txt", "a-2.txt", "a-2-2.txt", "A.TXT", "b", "b", "b-2", "b", "b-2", "b-2-3", ".x", ".x"]
+    rows = sequences.unique_names(spark.createDataFrame([("k", n, v) for n, v in enumerate(given)], "k string, n int, name string"), ["k"], "n").orderBy("n").collect()
+    made = [r.unique_name for r in rows]
+    assert len({m.lower() for m in made}) == len(given)
+    assert made == ["a.txt", "a-2-3.txt", "a-2.txt", "a-2-2.txt", "A-3.TXT", "b", "b-2-4", "b-2", "b-3", "b-2-2", "b-2-3", ".x", ".x-2"]
