@@ -18,7 +18,8 @@ joined by one line end. Nothing else is dropped or cut.
 
 Defined cases: null or empty html gives an empty text, as does a page without text outside furniture;
 unclosed elements, dropped ones too, end where HTML lets their end tag be left out (the next block, item, row
-or cell) or else with their container, and an unclosed dropped one before an article or main element; a cut-off tag at the end of the page is markup, not text.
+or cell) or else with their container, and an unclosed dropped one before an article or main element; a cut-off tag at the end of the page is markup, not text, and a quote that never closes ends with its tag. Every row gives a row: repeated rows one each,
+a null page_id stays null, extra columns are ignored; a very long page is read whole, in a batch of its own.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ _SURELY = re.compile(r"(?:^|\s)(?:comments?|disqus|repl(?:y|ies)|respond|ads?|ad
 #: Blocks that can hold others, so that a mark on them may be the layout's; other blocks go with their mark.
 _HOLDERS = frozenset("blockquote dd dt li tbody td tfoot th thead tr".split())
 _HELD = re.compile(r"<(?:article|main|section|div|p|h[1-6]|ul|ol|dl|table|td|blockquote|pre)(?=[\s/>])", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|</[^a-zA-Z>][^>]*(?:>|$)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|$)|</[^a-zA-Z>][^>]*(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _SPACE = re.compile(r"\s+")

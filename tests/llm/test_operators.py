@@ -570,3 +570,52 @@ def test_words_that_collide_in_polynomials(spark, n):
     # The first 20 words and the last 19 are repeated; the word between them is not.
     gone = {r.doc_id: r.n_removed for r in substrings.deduplicated(corpus(spark, [left, right, left])).collect()}
     assert gone == {0: 0, 1: 39, 2: 40}
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>one <b title="x>bold</b> two</p>', ["one bold two"]),
+        ("<p title='a\">one</p><p>two</p>", ["one", "two"]),
+        ('<p title="a>b">one</p>', ["one"]),
+        ('<p class="a"b">one</p>', ["one"]),
+    ],
+)
+def test_html_text_odd_quotes(page, want):
+    assert html_text.blocks_of(page) == want
+
+
+def test_html_text_against_a_standard_parser(spark):
+    """All pages of sf0.01 by the library's own parser and a plain rule: the blocks of the article element."""
+    import re
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag in ("p", "h1", "h2", "li", "article"):
+                self.blocks.append("")
+            elif tag == "br":
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "li", "article"):
+                self.blocks.append("")
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for row in pages.collect():
+        parser = Article()
+        parser.feed(row.html)
+        parser.close()
+        blocks = [re.sub(r"\s+", " ", b).strip() for b in parser.blocks]
+        assert got[row.page_id] == "\n".join(filter(None, blocks)), row.page_id
