@@ -54,6 +54,18 @@ def _columns(x: np.ndarray, n_lines: int, tolerance: float) -> np.ndarray:
     return np.array([m for m, n in centres if n >= max(2, -(-n_lines // 4))])
 
 
+def column_origins(items: DataFrame, tolerance: float) -> DataFrame:
+    """(doc, page, origins): the left edges of the columns of each page of items, from left to right."""
+
+    def page(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["y", "x0"], kind="stable")
+        line = _lines(part["y"].to_numpy(), part["height"].fillna(0).to_numpy())
+        found = np.sort(_columns(part["x0"].to_numpy(), line[-1] + 1, tolerance))
+        return pd.DataFrame({"doc": [str(part["doc"].iloc[0])], "page": [int(part["page"].iloc[0])], "origins": [found.tolist()]})
+
+    return items.select("doc", "page", "x0", "y", "height").groupBy("doc", "page").applyInPandas(page, "doc string, page int, origins array<double>")
+
+
 def infer_cells(items: DataFrame, rules: GridRules | None = None, *, fold: bool = True) -> DataFrame:
     """(doc, table_no, r, c, value) with table_no the page, of pages whose items form a grid; in reading order downwards."""
     rules = rules or GridRules()

@@ -1,11 +1,11 @@
-"""The order lines as tables of one document, cut for printing."""
+"""The order lines as tables of one document, cut for printing, and printed pages read back as tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.operators import chunks
+from quire.operators import chunks, regions
 from quire.plans.common import read
 
 
@@ -21,8 +21,47 @@ def c7_print_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("chunk").agg(F.count("*").alias("rows"), F.sum("n_rows").alias("n_rows"), F.sum("n_cells").alias("n_cells"), F.min("r").alias("first"), F.max("r").alias("last"))
 
 
-QUERIES = {"c7_print_chunks": c7_print_chunks}
+def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts printed as a dense table, a page a brand and kind: type, name and price, 4.5 points a character; the name wraps into a
+    second line after its first word on odd keys, and every seventh part's name and price come as one item. Texts of pages are printed below as prose."""
+    p = read(spark, sf_dir, "part").select("*", F.concat_ws("/", "p_brand", "p_type").alias("doc"))
+    p = p.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy("p_partkey")))
+    width, price = 4.5, F.format_string("%.2f", "p_retailprice")
+    words = F.split(F.concat_ws(" ", "p_name", "p_name"), " ")
+    wraps = (F.col("p_partkey") % 2 == 1) & (F.size(words) > 1)
+    upper = F.when(wraps, words[0]).otherwise(F.array_join(words, " "))
+    lower = F.when(wraps, F.array_join(F.slice(words, 2, F.size(words)), " "))
+    one = F.col("p_partkey") % 7 == 0
+    y = 100_000.0 - F.col("k") * 26
+
+    def item(at: int, text: Column, x0: float, y: Column, eol: bool) -> Column:
+        return F.struct((F.col("k") * 10 + at).alias("n"), text.alias("text"), F.lit(x0).alias("x0"), (F.lit(x0) + F.length(text) * width).alias("x1"), y.alias("y"), F.lit(eol).alias("eol"))
+
+    # One item for two cells: spaces fill the way to the second cell's place.
+    together = F.concat(F.rpad(upper, 26, " "), F.lit(" "), price)
+    rows = F.array(
+        item(0, F.col("p_partkey").cast("string"), 36.0, y, False),
+        F.when(one, item(1, together, 100.0, y, True)).otherwise(item(1, upper, 100.0, y, False)),
+        F.when(~one, item(2, price, 222.0, y, True)),
+        F.when(lower.isNotNull(), item(3, lower, 100.0, y - 13, True)),
+    )
+    table = p.select("doc", F.lit(0).alias("page"), F.explode(F.array_compact(rows)).alias("i")).select("doc", "page", "i.*")
+    prose = read(spark, sf_dir, "documents").select(F.concat(F.lit("prose"), F.col("doc_id").cast("string")).alias("doc"), F.lit(0).alias("page"), F.posexplode(F.slice(F.split(F.col("text"), r"\s+"), 1, 400)).alias("n", "text"))
+    prose = prose.where("text <> ''").select("doc", "page", F.col("n").cast("bigint").alias("n"), "text", (36.0 + (F.col("n") % 10) * 50).alias("x0"), (36.0 + (F.col("n") % 10) * 50 + 47).alias("x1"), (1000.0 - F.floor(F.col("n") / 10) * 13).alias("y"), (F.col("n") % 10 == 9).alias("eol"))
+    return table.unionByName(prose).withColumn("height", F.lit(9.0))
+
+
+def g5_printed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of every printed table of three parts or more; prose gives none."""
+    found = regions.tables(_printed(spark, sf_dir))
+    rows = found.groupBy("doc", "region", "r").pivot("c", [0, 1, 2, 3]).agg(F.first("value"))
+    return rows.select("doc", F.col("0").alias("key"), F.col("1").alias("name"), F.col("2").alias("price"), F.col("3").alias("more"))
+
+
+QUERIES = {"c7_print_chunks": c7_print_chunks, "g5_printed_tables": g5_printed_tables}
 ORACLE_SQL = {
+    "g5_printed_tables": """SELECT p_brand || '/' || p_type AS doc, CAST(p_partkey AS VARCHAR) AS key, p_name || ' ' || p_name AS name, format('{:.2f}', p_retailprice) AS price, NULL AS more FROM part
+QUALIFY count(*) OVER (PARTITION BY p_brand, p_type) >= 3""",
     "c7_print_chunks": """
 WITH RECURSIVE l AS (SELECT l_orderkey AS o, l_linenumber AS n, max(l_quantity) AS q FROM lineitem GROUP BY o, n),
 w AS MATERIALIZED (SELECT floor(o / 1000) AS t, o * 10 + n AS r, CASE WHEN q = 50 THEN 1 + o % 3 ELSE 1 END AS a, CAST(CASE WHEN o % 997 = 0 AND n = 1 THEN 20000 ELSE n + q END AS BIGINT) AS c FROM l),
