@@ -57,7 +57,7 @@ def c6_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j2_resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of the menus to headings of the same site."""
-    blocks = _blocks(spark, sf_dir).where("tag in ('h1', 'h2')").select("doc", "pos", F.substring_index("text", " ", 2).alias("text"))
+    blocks = _blocks(spark, sf_dir).where("tag in ('h1', 'h2')").select("doc", "pos", "text")
     anchors = S.heading_anchors(blocks)
     links = anchors.select("doc", (F.col("pos") + 1000).alias("pos"), F.when(F.col("pos") % 3 == 0, F.initcap("anchor")).when(F.col("pos") % 3 == 1, F.concat("anchor", F.lit("-x"))).otherwise(F.col("anchor")).alias("target"))
     return S.resolve_links(links, anchors)
@@ -114,7 +114,7 @@ e AS (SELECT *, bool_and(rep) OVER (PARTITION BY doc, page ORDER BY n) AS up, bo
 SELECT doc, page, count(*) AS lines, min(n) AS first, max(n) AS last FROM e WHERE NOT up AND NOT down GROUP BY doc, page""",
     "c5_slides": f"WITH {_BLOCKS}, r AS (SELECT *, CASE WHEN count(*) FILTER (WHERE tag = 'hr') OVER w > 0 THEN 'hr' WHEN count(*) FILTER (WHERE tag = 'h1') OVER w <= 1 AND count(*) FILTER (WHERE tag = 'h2') OVER w >= 2 THEN 'h2' ELSE 'h1' END AS rule FROM blocks WINDOW w AS (PARTITION BY doc)), s AS (SELECT *, sum(CASE WHEN tag = rule THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS section FROM r), d AS (SELECT *, dense_rank() OVER (PARTITION BY doc ORDER BY section) AS slide FROM s WHERE NOT (rule = 'hr' AND tag = 'hr')) SELECT doc, slide, count(*) AS n, min(pos) AS first FROM d GROUP BY doc, slide",
     "c6_chapters": f"WITH {_BLOCKS}, r AS (SELECT *, CASE WHEN count(*) FILTER (WHERE tag = 'h1') OVER w >= 2 THEN 'h1' WHEN count(*) FILTER (WHERE tag = 'h2') OVER w >= 2 THEN 'h2' WHEN count(*) FILTER (WHERE tag = 'h1') OVER w = 1 THEN 'h1' ELSE '' END AS level FROM blocks WINDOW w AS (PARTITION BY doc)), s AS (SELECT *, sum(CASE WHEN tag = level THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS section FROM r), d AS (SELECT *, dense_rank() OVER (PARTITION BY doc ORDER BY section) AS chapter FROM s) SELECT doc, chapter, CASE WHEN min(section) = 0 THEN 'Start' ELSE coalesce(nullif(max(trim(text)) FILTER (WHERE tag = level), ''), 'Chapter ' || chapter) END AS title, count(*) AS n, min(pos) AS first FROM d GROUP BY doc, chapter",
-    "j2_resolved_links": f"WITH {_BLOCKS}, h AS (SELECT doc, pos, array_to_string(string_split(text, ' ')[1:2], ' ') AS text FROM blocks WHERE tag IN ('h1', 'h2')), s AS (SELECT doc, pos, {_SLUG} AS slug FROM h), a AS (SELECT doc, pos, CASE WHEN k > 0 THEN slug || '-' || k ELSE slug END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY doc, slug ORDER BY pos) - 1 AS k FROM s)), l AS (SELECT doc, pos + 1000 AS pos, CASE pos % 3 WHEN 0 THEN upper(anchor[1]) || lower(anchor[2:]) WHEN 1 THEN anchor || '-x' ELSE anchor END AS target FROM a) SELECT l.doc, l.pos, l.target, coalesce(x.pos, y.pos) AS heading_pos FROM l LEFT JOIN a x ON l.doc = x.doc AND l.target = x.anchor LEFT JOIN a y ON l.doc = y.doc AND lower(l.target) = y.anchor",
+    "j2_resolved_links": f"WITH {_BLOCKS}, h AS (SELECT doc, pos, text FROM blocks WHERE tag IN ('h1', 'h2')), s AS (SELECT doc, pos, {_SLUG} AS slug FROM h), a AS (SELECT doc, pos, CASE WHEN k > 0 THEN slug || '-' || k ELSE slug END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY doc, slug ORDER BY pos) - 1 AS k FROM s)), l AS (SELECT doc, pos + 1000 AS pos, CASE pos % 3 WHEN 0 THEN upper(anchor[1]) || lower(anchor[2:]) WHEN 1 THEN anchor || '-x' ELSE anchor END AS target FROM a) SELECT l.doc, l.pos, l.target, coalesce(x.pos, y.pos) AS heading_pos FROM l LEFT JOIN a x ON l.doc = x.doc AND l.target = x.anchor LEFT JOIN a y ON l.doc = y.doc AND lower(l.target) = y.anchor",
     "j1_footnotes": "WITH r AS (SELECT l_orderkey AS doc, CAST(l_suppkey % 5 AS VARCHAR) AS label, min(l_linenumber * 1000000 + l_partkey) AS fr, count(*) AS n FROM lineitem GROUP BY ALL), nt AS (SELECT o_orderkey AS doc, label, pos FROM orders, (VALUES ('4', 0), ('2', 1), ('0', 2), ('x', 3)) v(label, pos)) SELECT doc, label, row_number() OVER (PARTITION BY doc ORDER BY pos IS NULL, fr NULLS LAST, pos) AS number, coalesce(n, 0) AS n_refs, pos IS NOT NULL AS has_note FROM nt FULL JOIN r USING (doc, label)",
     "w11_unique_names": "WITH n AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS site, regexp_extract(url, '([^/.]+).[^/.]+/[a-z]+/', 1) || '.html' AS name FROM pages), k AS (SELECT *, row_number() OVER (PARTITION BY site, lower(name) ORDER BY page_id) AS k FROM n) SELECT page_id, CASE WHEN k > 1 AND length(name) > 5 THEN name[1:length(name) - 5] || '-' || k || '.html' WHEN k > 1 THEN name || '-' || k ELSE name END AS unique_name FROM k",
     "u1_merged": """SELECT conv_id, min_by(role, turn) AS title, sha256(string_agg('<h1>' || role || '</h1><p>' || text || '</p>', '<div class="page-break"></div>' ORDER BY turn)) AS sha256 FROM conversations GROUP BY conv_id""",

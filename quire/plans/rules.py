@@ -81,7 +81,7 @@ def a12_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as cells with an alignment; the fourth column is empty below the first row."""
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey < 4000").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
     align = F.when(F.col("c") == 0, "right").when((F.col("c") == 1) & (F.col("flag") == "R"), "center").when((F.col("c") == 2) & (F.col("status") == "O"), "left").when(F.col("c") == 3, "center")
     value = F.when(F.col("c") == 1, F.concat("flag", F.lit("|\nx"))).when(F.col("c") == 3, F.when(F.col("l_linenumber") == 1, "top").otherwise("")).otherwise(F.col("status"))
     each = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c"))
@@ -151,7 +151,7 @@ def j13_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as lines of a page, some further below; lines that end in a hyphen go on."""
-    e = read(spark, sf_dir, "events").where("event_id % 4 = 0").select(F.col("user_id").alias("doc"), F.lit(1).alias("page"), F.col("event_id").alias("n"), F.concat("event_type", F.when(F.col("event_id") % 5 == 0, "-").when(F.col("event_id") % 5 == 1, " -").otherwise("")).alias("text"), (F.lit(10.0) * F.floor(F.col("event_id") / 1000) + F.col("event_id") % 7).alias("y"))
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.lit(1).alias("page"), F.col("event_id").alias("n"), F.concat("event_type", F.when(F.col("event_id") % 5 == 0, "-").when(F.col("event_id") % 5 == 1, " -").otherwise("")).alias("text"), (F.lit(10.0) * F.floor(F.col("event_id") / 1000) + F.col("event_id") % 7).alias("y"))
     blocks = sequences.paragraphs(e)
     return sequences.joined_lines(blocks, ["doc", "page", "block"]).select("doc", "block", "n_lines", "text")
 
@@ -194,7 +194,7 @@ QUERIES = {
     )
 }
 
-_ALIGNED = """l AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_returnflag) AS flag, min(l_linestatus) AS status FROM lineitem WHERE l_orderkey < 4000 GROUP BY ALL),
+_ALIGNED = """l AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_returnflag) AS flag, min(l_linestatus) AS status FROM lineitem GROUP BY ALL),
 t AS MATERIALIZED (SELECT doc, n - 1 AS r, c, n = 1 AND doc % 2 = 0 AS is_header, CASE c WHEN 1 THEN flag || '|' || chr(10) || 'x' WHEN 3 THEN CASE WHEN n = 1 THEN 'top' ELSE '' END ELSE status END AS value,
   CASE WHEN c = 0 THEN 'right' WHEN c = 1 AND flag = 'R' THEN 'center' WHEN c = 2 AND status = 'O' THEN 'left' WHEN c = 3 THEN 'center' ELSE 'none' END AS align FROM l, unnest([0, 1, 2, 3]) AS u(c)),
 al AS MATERIALIZED (SELECT doc, c, nullif(CASE WHEN len(b) = 0 THEN top WHEN len(b) = 1 THEN b[1] END, 'none') AS align FROM (
@@ -227,7 +227,7 @@ l AS (SELECT doc, pos, file, '#' || anchor AS href FROM p UNION ALL SELECT doc,
 a AS (SELECT doc, anchor, arg_max(file, pos) AS f FROM p GROUP BY ALL) SELECT l.doc, pos, file, href, CASE WHEN f <> file THEN f || href ELSE href END AS resolved FROM l LEFT JOIN a ON l.doc = a.doc AND l.href = '#' || a.anchor""",
     "j13_positional": """WITH c AS (SELECT conv_id, role, turn, length(text) AS chars, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS u, count(*) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS a FROM conversations)
 SELECT x.conv_id, x.n, x.turn, y.turn AS right_turn, x.chars, y.chars AS right_chars FROM c x JOIN c y ON x.conv_id = y.conv_id AND x.n = y.n AND x.role = 'user' AND y.role = 'assistant' WHERE x.u = x.a""",
-    "w10_paragraphs": """WITH e AS (SELECT user_id AS doc, event_id AS n, event_type || CASE event_id % 5 WHEN 0 THEN '-' WHEN 1 THEN ' -' ELSE '' END AS text, 10.0 * floor(event_id / 1000) + event_id % 7 AS y FROM events WHERE event_id % 4 = 0),
+    "w10_paragraphs": """WITH e AS (SELECT user_id AS doc, event_id AS n, event_type || CASE event_id % 5 WHEN 0 THEN '-' WHEN 1 THEN ' -' ELSE '' END AS text, 10.0 * floor(event_id / 1000) + event_id % 7 AS y FROM events),
 g AS (SELECT *, abs(lag(y) OVER (PARTITION BY doc ORDER BY n) - y) AS gap FROM e), m AS (SELECT doc, list_sort(list(gap) FILTER (WHERE gap > 0)) AS gs FROM g GROUP BY doc),
 b AS (SELECT g.doc, n, text, sum(CASE WHEN gap > 1.5 * gs[len(gs) // 2 + 1] THEN 1 ELSE 0 END) OVER (PARTITION BY g.doc ORDER BY n) AS block FROM g JOIN m ON g.doc = m.doc)
 SELECT doc, block, count(*) AS n_lines, regexp_replace(string_agg(text || CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]-$') THEN '' ELSE ' ' END, '' ORDER BY n), ' $', '') AS text FROM b GROUP BY doc, block""",
