@@ -268,3 +268,57 @@ def cell_style(style: Column, align: Column) -> Column:
     said = F.try_element_at(F.regexp_extract_all(style, F.lit(r"(?i)(?:^|;)\s*text-align\s*:\s*([^;]*)"), F.lit(1)), F.lit(-1))
     value = F.lower(F.trim(F.regexp_replace(F.coalesce(said, align), r"(?i)!\s*important\s*$", "")))
     return F.when(value.isin("left", "center", "right"), F.concat(F.lit("text-align:"), value))
+
+
+#: How speaker notes are marked, and the code that is a diagram or a formula.
+NOTES, DIAGRAM, FORMULA = r"<!--\s*notes:", '<pre><code class="language-(?:mermaid|dot)">', '<code class="language-math(?: math-display)?">'
+
+
+def has_speaker_notes(html: Column | str) -> Column:
+    html = F.col(html) if isinstance(html, str) else html
+    return html.rlike(f"(?i){NOTES}")
+
+
+def without_speaker_notes(html: Column | str) -> Column:
+    """html without its speaker notes, which may go over many lines."""
+    return F.regexp_replace(html, f"(?is){NOTES}.*?-->", "")
+
+
+def has_diagrams(html: Column) -> Column:
+    """Whether a document holds diagrams that have to be drawn."""
+    return html.rlike(DIAGRAM)
+
+
+def has_formulas(html: Column) -> Column:
+    return html.rlike(FORMULA)
+
+
+def blocks(text: Column | str) -> Column:
+    """The lines of a plain text that are not blank, whatever its line ends are, in order."""
+    return F.filter(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), lambda b: F.trim(b) != "")
+
+
+def data_uri(kind: str, data: Column) -> Column:
+    """Bytes as a data address of a kind."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.regexp_replace(F.base64(data), r"\s", ""))
+
+
+def data_of_uri(uri: Column | str) -> Column:
+    """The bytes of a data address in base64; null for any other."""
+    return F.unbase64(F.nullif(F.regexp_extract(uri, "(?i)^data:[^,]*;base64,(.*)$", 1), F.lit("")))
+
+
+def content_key(version: str, *parts: Column | str) -> Column:
+    """A key for what is made of some texts by one version of its maker."""
+    return F.sha2(F.concat_ws("\n", F.lit(version), *parts), 256)
+
+
+def clock(seconds: Column | str) -> Column:
+    """Seconds as hours, minutes and seconds of two digits, without fractions."""
+    s = F.floor(seconds)
+    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+
+
+def mail_date(at: Column | str) -> Column:
+    """A time as the header of a mail has it, in GMT (the session's time zone has to be UTC)."""
+    return F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")

@@ -186,3 +186,10 @@ def used_columns(cells: DataFrame, shown: int = 5000) -> DataFrame:
     name = F.max(F.when(F.col("r") == 0, F.col("value"))).alias("name")
     used = F.max((F.col("r").between(1, shown)) & (F.col("value") != "")).alias("used")
     return cells.groupBy(*TABLE, "c").agg(name, used).where("used").drop("used")
+
+
+def upper_medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median): of an even number of values the larger middle one, which no percentile gives. The values of a key are numbered, not gathered."""
+    order = Window.partitionBy(*keys)
+    placed = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("median"), F.row_number().over(order.orderBy(value)).alias("_nth"), F.count("*").over(order).alias("_all"))
+    return placed.where(F.col("_nth") == F.floor(F.col("_all") / 2) + 1).select(*keys, "median")

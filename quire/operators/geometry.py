@@ -95,8 +95,14 @@ def infer_cells(items: DataFrame, rules: GridRules | None = None, *, fold: bool
     return grid.join(good, ["doc", "table_no"], "left_semi").join(used, ["doc", "table_no"]).where("c < width").drop("width")
 
 
+def mean_confidence(words: DataFrame, keys: list[str], word: str = "text", confidence: str = "confidence", least: float = 70.0) -> DataFrame:
+    """(keys, mean, n, readable): the mean confidence of the recognised words that are not blank, and whether it is high enough to be read."""
+    found = words.where(F.trim(word) != "").groupBy(*keys).agg(F.avg(confidence).alias("mean"), F.count("*").alias("n"))
+    return found.withColumn("readable", F.col("mean") >= least)
+
+
 def grid_from_words(words: DataFrame, least: float = 70.0) -> DataFrame:
     """Cells of pages of recognised words (with confidence) whose mean confidence is at least `least`."""
-    sure = words.where("trim(text) <> ''").groupBy("doc", "page").agg(F.avg("confidence").alias("mean")).where(F.col("mean") >= least)
+    sure = mean_confidence(words, ["doc", "page"], least=least).where("readable")
     tolerance = 4.0
     return infer_cells(words.join(sure, ["doc", "page"], "left_semi"), GridRules(tolerance=tolerance))

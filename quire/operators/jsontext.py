@@ -170,3 +170,9 @@ def records(df: DataFrame, column: str = "text", doc: str = "doc", *, lines: boo
     full = rows.select("doc", "row_no", F.map_from_arrays("header", F.transform("header", lambda k: F.coalesce(F.try_element_at("given", k), F.lit("")))).alias("fields"), "header", F.lit(None).cast("string").alias("error"))
     wrong = found.where("error is not null").select("doc", "row_no", F.lit(None).cast("map<string,string>").alias("fields"), F.lit(None).cast("array<string>").alias("header"), "error")
     return full.unionByName(wrong)
+
+
+def nested_share(fields: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, fields, nested, is_table): how many fields there are, how many values are arrays or objects, and whether these are a tenth at most."""
+    counted = fields.groupBy(*keys).agg(F.count("*").alias("fields"), F.sum(F.col(value).rlike(r"^\s*[\[{]").cast("int")).alias("nested"))
+    return counted.withColumn("is_table", F.col("nested") * 10 <= F.col("fields"))

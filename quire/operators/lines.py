@@ -90,3 +90,17 @@ def rescued_tables(tables: DataFrame, prose: DataFrame, articles: DataFrame, kep
     matched = matched.where(F.col("kept_text").isNull() | (F.length("kept_text") >= F.length("head")))
     place = F.min(F.when(F.col("at").isNotNull(), F.struct((F.col("kept_text") != F.col("anchor")).alias("unlike"), F.col("at").alias("at"))))
     return matched.groupBy("doc", "pos").agg(place.alias("p")).select("doc", "pos", F.col("p.at").alias("after_pos"))
+
+
+def line_shapes(lines: DataFrame, code: str, line: str = "line") -> DataFrame:
+    """(doc, n, prose, marked, code): how many filled lines (doc, line) a text has, how many of them end as sentences do, begin with the mark of a list, heading, quotation or table, and match a tell of code."""
+    filled = lines.where(F.trim(line) != "")
+    share = lambda p: F.sum(F.col(line).rlike(p).cast("int")).alias
+    return filled.groupBy("doc").agg(F.count("*").alias("n"), share(r"[.!?]$")("prose"), share(r"^\s*[-*#>|]")("marked"), share(code)("code"))
+
+
+def contents_lines(lines: DataFrame, page: str = "page", line: str = "line", least: int = 3) -> DataFrame:
+    """lines with `contents`: whether a line is an entry of a table of contents, a title, three leaders or more and a number; `least` of them make a page one."""
+    marked = lines.withColumn("contents", F.col(line).rlike(r"^\S.*?\s*\.{3,}\s*[0-9]+$"))
+    counts = marked.groupBy(page).agg(F.count_if("contents").alias("_entries"))
+    return marked.join(counts, page).withColumn("contents", F.col("contents") & (F.col("_entries") >= least)).drop("_entries")

@@ -286,3 +286,16 @@ def note_items(notes: DataFrame, refs: DataFrame, style: str) -> DataFrame:
     kind = ' epub:type="footnote"' if style == "epub" else ""
     named = notes.join(refs.select("doc", "label").distinct().withColumn("named", F.lit(True)), ["doc", "label"], "left")
     return named.withColumn("html", F.concat(F.lit('<li id="fn-'), "label", F.lit(f'"{kind}>'), body, F.lit("</li>"))).drop("named")
+
+
+def numbered_parts(parts: DataFrame, keys: list[str], name: str = "part", to: str = "number") -> DataFrame:
+    """parts with their place in the order of the number that ends their names before the extension, whatever the names' own order."""
+    last = F.regexp_extract(name, r"([0-9]{1,18})\.[^.]*$", 1).try_cast("long")
+    return parts.withColumn(to, F.row_number().over(Window.partitionBy(*keys).orderBy(last, name)))
+
+
+def distinct_pictures(pictures: DataFrame, doc: str, pos: str, digest: str) -> DataFrame:
+    """(doc, digest, name): the pictures of a document that differ, each once, named img001, img002, ... in the order in which they are first seen."""
+    first = pictures.groupBy(doc, digest).agg(F.min(pos).alias("_first"))
+    nth = F.row_number().over(Window.partitionBy(doc).orderBy("_first", digest)).cast("string")
+    return first.select(doc, digest, F.concat(F.lit("img"), F.lpad(nth, F.greatest(F.length(nth), F.lit(3)), F.lit("0"))).alias("name"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.numbers import CANONICAL, EXPONENT, NUMERIC, TINY
 from quire.operators import cells as C
+from quire.operators import geometry
 from quire.plans.common import read
 
 
@@ -91,14 +92,13 @@ def w6_folded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a3_upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upper median (of an even number, the larger middle one), which no percentile gives."""
-    prices = F.array_sort(F.collect_list("l_extendedprice"))
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.element_at(prices, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median"))
+    return C.upper_medians(read(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_extendedprice")
 
 
 def a9_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean confidence of the words of a line that are not blank and whether it is high enough to be read."""
-    e = read(spark, sf_dir, "events").where(F.trim("event_type") != "")
-    return e.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n")).withColumn("readable", F.col("mean") >= 70)
+    found = geometry.mean_confidence(read(spark, sf_dir, "events"), ["user_id"], "event_type", "value")
+    return found.withColumn("mean", F.round("mean", 6)).withColumn("readable", F.col("mean") >= 70)
 
 
 QUERIES = {f.__name__: f for f in (k1_csv_lines, k2_json_rows, k7_pipe_rows, c3_html_tables, g9_headers, p4_trimmed, p6_with_content, a2_modal_columns, a4_page_fit, p14_marker_columns, k6_sheets, s5_first_rows, j11_covered_cells, w6_folded_rows, a3_upper_medians, a9_confidence)}

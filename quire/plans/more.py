@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import numbers, text
+from quire.operators import lines, sequences
 from quire.plans.common import read
 from quire.sources import records
 
@@ -17,7 +18,7 @@ def d22_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a page holds diagrams or formulas; some paragraphs are marked as such first."""
     k = F.col("page_id")
     html = F.when(k % 4 == 0, F.regexp_replace("html", "<h1>", '<pre><code class="language-mermaid">')).when(k % 4 == 1, F.regexp_replace("html", "<h1>", '<code class="language-math math-display">')).otherwise(F.col("html"))
-    return read(spark, sf_dir, "pages").select(k, html.rlike('<pre><code class="language-(?:mermaid|dot)">').alias("diagrams"), html.rlike('<code class="language-math(?: math-display)?">').alias("math"))
+    return read(spark, sf_dir, "pages").select(k, text.has_diagrams(html).alias("diagrams"), text.has_formulas(html).alias("math"))
 
 
 def f7_strip_ansi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,18 +71,14 @@ def r12_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s3_numbered_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts in the order of the number in their names, not of the names."""
     parts = read(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("slide"), F.col("l_linenumber") * 5, F.lit(".xml")).alias("part")).distinct()
-    number = F.regexp_extract("part", r"([0-9]+)\.xml$", 1).cast("int")
-    return parts.select("l_orderkey", "part", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(number)).alias("slide"))
+    return sequences.numbered_parts(parts, ["l_orderkey"], to="slide")
 
 
 def g6_contents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a brand's page that are entries of a table of contents: a title, leaders and a number, three on a page at least."""
     line = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, F.lit(" ..... ")).otherwise(" "), F.col("p_size").cast("string"))
-    lines = read(spark, sf_dir, "part").select("p_partkey", "p_brand", line.alias("line"))
-    entry = F.col("line").rlike(r"^\S.*?\s*\.{3,}\s*[0-9]+$")
-    marked = lines.withColumn("entry", entry)
-    counts = marked.groupBy("p_brand").agg(F.count_if("entry").alias("n"))
-    return marked.join(counts, "p_brand").select("p_partkey", (F.col("entry") & (F.col("n") >= 3)).alias("contents"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_brand", line.alias("line"))
+    return lines.contents_lines(rows, "p_brand").select("p_partkey", "contents")
 
 
 QUERIES = {f.__name__: f for f in (d22_features, f7_strip_ansi, f10_dedent, f23_cell_boundaries, m3_sqlite_reals, z12_task_items, r8b_bad_json_lines, r12_cues, s3_numbered_slides, g6_contents_lines)}

@@ -96,8 +96,7 @@ def j5_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u5_distinct_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures are stored once: named by the first of equal bytes."""
     t = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha1("role").alias("sha"))
-    first = t.groupBy("conv_id", "sha").agg(F.min("turn").alias("first"))
-    return first.select("conv_id", "sha", F.concat(F.lit("img"), F.lpad(F.dense_rank().over(Window.partitionBy("conv_id").orderBy("first")).cast("string"), 3, "0")).alias("name"))
+    return S.distinct_pictures(t, "conv_id", "turn", "sha")
 
 
 QUERIES = {f.__name__: f for f in (w1_speaker_turns, w2_pauses, w4_sections, a1_running_heads, c5_slides, c6_chapters, j2_resolved_links, j1_footnotes, w11_unique_names, u1_merged, u2_prefixed_labels, j5_spine, u5_distinct_pictures)}

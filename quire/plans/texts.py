@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import detect, numbers, text
-from quire.operators import sequences
+from quire.operators import jsontext, lines, sequences
 from quire.plans.common import read
 
 NAMES = ("report.txt", "notes.md", "data.csv", "people.vcf", "page.HTML", "archive.tar.gz", "figure.tiff", "noextension", "deck.pptm", "log.2024.jsonl")
@@ -102,14 +102,13 @@ def c10_text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r1_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = F.posexplode(F.filter(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n"), lambda b: F.trim(b) != "")).alias("pos", "block")
+    blocks = F.posexplode(text.blocks("text")).alias("pos", "block")
     return read(spark, sf_dir, "documents").select("doc_id", blocks).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.max(F.length("block")).cast("long").alias("longest"))
 
 
 def a13_line_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).where("trim(l) <> ''")
-    share = lambda p: F.sum(F.col("l").rlike(p).cast("int")).alias
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n"), share(r"[.!?]$")("prose"), share(r"^\s*[-*#>|]")("marked"), share(detect.CODE_TELL)("code"))
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
+    return lines.line_shapes(rows, detect.CODE_TELL).withColumnRenamed("doc", "doc_id")
 
 
 def m1_typed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,12 +128,11 @@ def m5_luminance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t4_mail_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("date"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.mail_date("o_orderdate").alias("date"))
 
 
 def t1_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.floor("value")
-    return read(spark, sf_dir, "events").select("event_id", F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60).alias("clock"))
+    return read(spark, sf_dir, "events").select("event_id", text.clock("value").alias("clock"))
 
 
 def d23_allowed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,24 +143,23 @@ def d23_allowed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x14_data_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uri = F.concat(F.lit("data:text/plain;base64,"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", ""))
-    back = F.decode(F.unbase64(F.regexp_extract("uri", "^data:[^;,]*;base64,(.*)$", 1)), "UTF-8")
+    uri = text.data_uri("text/plain", F.encode("text", "UTF-8"))
+    back = F.decode(text.data_of_uri("uri"), "UTF-8")
     return read(spark, sf_dir, "benchmark").select("item_id", uri.alias("uri")).select("item_id", "uri", back.alias("text"))
 
 
 def x15_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws("\n", F.lit("1"), "role", "text"), 256).alias("key"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.content_key("1", "role", "text").alias("key"))
 
 
 def a7_nested_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = read(spark, sf_dir, "events").select("event_type", F.explode(F.from_json("props", "map<string,string>")).alias("k", "v"))
-    return fields.groupBy("event_type").agg(F.count("*").alias("fields"), F.sum(F.col("v").rlike(r"^\s*[\[{]").cast("int")).alias("nested")).withColumn("is_table", F.col("nested") * 10 <= F.col("fields"))
+    return jsontext.nested_share(fields, ["event_type"], "v")
 
 
 def p3_speaker_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     noted = F.concat("text", F.when(F.col("turn") % 2 == 0, F.lit("<!-- notes: say it slowly\nand twice -->")).otherwise(""))
-    clean = F.regexp_replace("t", r"(?is)<!--\s*notes:.*?-->", "")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", noted.alias("t")).select("conv_id", "turn", F.col("t").rlike(r"(?i)<!--\s*notes:").alias("has_notes"), clean.alias("clean"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", noted.alias("t")).select("conv_id", "turn", text.has_speaker_notes("t").alias("has_notes"), text.without_speaker_notes("t").alias("clean"))
 
 
 def p9_links(spark: SparkSession, sf_dir: str) -> DataFrame:
