@@ -23,7 +23,8 @@ def c7_print_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts printed as a dense table, a page a brand and kind: type, name and price, 4.5 points a character; the name wraps into a
-    second line after its first word on odd keys, and every seventh part's name and price come as one item. Texts of pages are printed below as prose."""
+    second line after its first word on odd keys, and the name and price of every fourth row, from the third, come as one item (two
+    items by themselves are what shows a column). Texts of pages are printed below as prose."""
     p = read(spark, sf_dir, "part").select("*", F.concat_ws("/", "p_brand", "p_type").alias("doc"))
     p = p.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy("p_partkey")))
     width, price = 4.5, F.format_string("%.2f", "p_retailprice")
@@ -31,7 +32,7 @@ def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     wraps = (F.col("p_partkey") % 2 == 1) & (F.size(words) > 1)
     upper = F.when(wraps, words[0]).otherwise(F.array_join(words, " "))
     lower = F.when(wraps, F.array_join(F.slice(words, 2, F.size(words)), " "))
-    one = F.col("p_partkey") % 7 == 0
+    one = F.col("k") % 4 == 3
     y = 100_000.0 - F.col("k") * 26
 
     def item(at: int, text: Column, x0: float, y: Column, eol: bool) -> Column:
@@ -46,7 +47,7 @@ def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(lower.isNotNull(), item(3, lower, 100.0, y - 13, True)),
     )
     table = p.select("doc", F.lit(0).alias("page"), F.explode(F.array_compact(rows)).alias("i")).select("doc", "page", "i.*")
-    prose = read(spark, sf_dir, "documents").select(F.concat(F.lit("prose"), F.col("doc_id").cast("string")).alias("doc"), F.lit(0).alias("page"), F.posexplode(F.slice(F.split(F.col("text"), r"\s+"), 1, 400)).alias("n", "text"))
+    prose = read(spark, sf_dir, "documents").select(F.concat(F.lit("prose"), F.col("doc_id").cast("string")).alias("doc"), F.lit(0).alias("page"), F.posexplode(F.split(F.col("text"), r"\s+")).alias("n", "text"))
     prose = prose.where("text <> ''").select("doc", "page", F.col("n").cast("bigint").alias("n"), "text", (36.0 + (F.col("n") % 10) * 50).alias("x0"), (36.0 + (F.col("n") % 10) * 50 + 47).alias("x1"), (1000.0 - F.floor(F.col("n") / 10) * 13).alias("y"), (F.col("n") % 10 == 9).alias("eol"))
     return table.unionByName(prose).withColumn("height", F.lit(9.0))
 
