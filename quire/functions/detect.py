@@ -167,3 +167,24 @@ def picture_type(data: Column) -> Column:
 def is_heic(data: Column) -> Column:
     """A HEIC or HEIF picture, not AVIF, which shares the container."""
     return _has_brand(data, HEIF_BRANDS) & ~_has_brand(data, AVIF_BRANDS)
+
+
+#: The language of code by a file's extension, and by its whole name.
+CODE_LANGUAGES = {
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "rb": "ruby", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin",
+    "cs": "csharp", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "sql": "sql", "sh": "bash", "bash": "bash", "ps1": "powershell", "psm1": "powershell", "yaml": "yaml", "yml": "yaml", "toml": "ini", "ini": "ini",
+    "json": "json", "jsonc": "json", "json5": "json", "xml": "xml", "xsd": "xml", "xsl": "xml", "xslt": "xml", "csproj": "xml", "config": "xml", "plist": "xml", "css": "css", "scss": "scss", "php": "php", "phtml": "php",
+    "swift": "swift", "lua": "lua", "pl": "perl", "pm": "perl", "r": "r", "mm": "objectivec", "vb": "vbnet", "graphql": "graphql", "gql": "graphql", "less": "less", "kts": "kotlin", "wat": "wasm", "scala": "scala",
+    "groovy": "groovy", "gradle": "groovy", "dart": "dart", "hs": "haskell", "ex": "elixir", "exs": "elixir", "erl": "erlang", "clj": "clojure", "cljs": "clojure", "fs": "fsharp", "fsx": "fsharp", "ml": "ocaml", "jl": "julia",
+    "vbs": "vbscript", "bat": "dos", "cmd": "dos", "cmake": "cmake", "proto": "protobuf", "asm": "x86asm", "s": "x86asm", "env": "ini", "properties": "ini", "conf": "ini", "cfg": "ini", "editorconfig": "ini",
+    "gitconfig": "ini", "npmrc": "ini", "diff": "diff", "patch": "diff",
+}
+CODE_NAMES = {"dockerfile": "dockerfile", "makefile": "makefile", "cmakelists.txt": "cmake", "nginx.conf": "nginx"}
+
+
+def code_language(filename: Column | str) -> Column:
+    """The language of a source file by its name: by the whole name, then settings of an environment (.env and .env.something), then the extension; null for no source file."""
+    named = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    base = F.lower(F.regexp_extract(filename, r"([^\\/]*)$", 1))
+    settings = F.when(base.rlike(r"^\.env(\.[A-Za-z0-9_-]+)?$"), "ini")
+    return F.coalesce(named(CODE_NAMES, base), settings, named(CODE_LANGUAGES, F.regexp_extract(base, r"\.([a-z0-9]+)$", 1)))

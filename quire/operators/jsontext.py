@@ -176,3 +176,11 @@ def nested_share(fields: DataFrame, keys: list[str], value: str = "value") -> Da
     """(keys, fields, nested, is_table): how many fields there are, how many values are arrays or objects, and whether these are a tenth at most."""
     counted = fields.groupBy(*keys).agg(F.count("*").alias("fields"), F.sum(F.col(value).rlike(r"^\s*[\[{]").cast("int")).alias("nested"))
     return counted.withColumn("is_table", F.col("nested") * 10 <= F.col("fields"))
+
+
+def are_records(df: DataFrame, column: str = "text", doc: str = "doc", *, lines: bool = False) -> DataFrame:
+    """(doc, is_table): whether a text is records: objects, at least one, of which a tenth of the values at most are nested, and nothing else. Null texts have no row."""
+    found = fields(df, column, doc, lines=lines)
+    judged = found.groupBy("doc").agg((F.count("error") == 0).alias("whole"), (F.sum("nested") * 10 <= F.count("key")).alias("flat"))
+    every = df.where(F.col(column).isNotNull()).select(F.col(doc).cast("string").alias("doc"))
+    return every.join(judged, "doc", "left").select("doc", F.coalesce(F.col("whole") & F.col("flat"), F.lit(False)).alias("is_table"))

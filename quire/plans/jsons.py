@@ -40,8 +40,18 @@ def r8a_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc").cast("long").alias("user_id"), "row_no", F.col("error").isNotNull().alias("bad"), value("id").alias("id"), value("even").alias("even"), value("type!").alias("type"), value("deep").alias("deep"))
 
 
-QUERIES = {f.__name__: f for f in (x1_reindented_json, x2_token_depths, r8a_json_records)}
+def p19_json_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as an array: of objects, of objects with nested values, cut off, empty, of numbers, or no array."""
+    k = F.col("l_orderkey") % 6
+    line = F.when(k == 1, F.format_string('{"a":%d,"b":[%d]}', "l_linenumber", "l_partkey")).when(k == 4, F.col("l_partkey").cast("string")).otherwise(F.format_string('{"a":%d,"b":{"c":1},"c":1,"d":2,"e":3,"f":4,"g":5,"h":6,"i":7,"j":8}', "l_linenumber"))
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), ",").alias("lines"))
+    text = F.when(k == 3, "[ ]").when(k == 5, F.concat(F.lit('{"rows":['), "lines", F.lit("]}"))).otherwise(F.concat(F.lit("["), "lines", F.when(k == 2, ",").otherwise("]")))
+    return jsontext.are_records(lines.select(F.col("l_orderkey").alias("doc"), text.alias("text"))).select(F.col("doc").cast("long").alias("l_orderkey"), "is_table")
+
+
+QUERIES = {f.__name__: f for f in (x1_reindented_json, x2_token_depths, r8a_json_records, p19_json_tables)}
 ORACLE_SQL = {
+    "p19_json_tables": "SELECT DISTINCT l_orderkey, l_orderkey % 6 = 0 AS is_table FROM lineitem",
     "x1_reindented_json": r"""
 WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS k, l_returnflag AS f FROM lineitem),
 p AS (SELECT l_orderkey, '{"k":' || k AS o, '  {' || chr(10) || '    "k": ' || k || ',' || chr(10) || '    "p": 1.50e+' || k || ',' || chr(10) || '    "s": "a\\\"}' || f || '\u00e9",' || chr(10) || '    "e": [],' || chr(10) || '    "o": {},' || chr(10)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions import numbers, text
+from quire.functions import detect, numbers, text
 from quire.operators import lines, sequences
 from quire.plans.common import read
 from quire.sources import records
@@ -21,6 +21,21 @@ def d22_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select(k, text.has_diagrams(html).alias("diagrams"), text.has_formulas(html).alias("math"))
 
 
+#: Ends of file names and the language that each says.
+_ENDS = (
+    ("b.TS", "typescript"), ("/x/c.py", "python"), (r"\d.KT", "kotlin"), ("e.h", "c"), (".env", "ini"), ("/.env.Local-2", "ini"), ("/Dockerfile", "dockerfile"), (r"\CMakeLists.txt", "cmake"), ("/nginx.conf", "nginx"), (".conf", "ini"),
+    (".m", None), (".html", None), ("/constructor", None), (".__proto__", None), ("/Makefile", "makefile"), ("a/Makefile.txt", None), (".tar.patch", "diff"), (".r", "r"), (".toml", "ini"), (".psm1", "powershell"), (".gql", "graphql"),
+    (".xslt", "xml"), (".", None), ("", None), (".s", "x86asm"), (".json5", "json"), (".py/", None), ("/a.env.local", None), (".CLJS", "clojure"),
+)
+
+
+def d3_code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of parts' names as file names with many ends."""
+    ends = F.array(*[F.lit(e) for e, _ in _ENDS])
+    name = F.concat("p_name", F.element_at(ends, (F.col("p_partkey") % len(_ENDS) + 1).cast("int")))
+    return read(spark, sf_dir, "part").select("p_partkey", name.alias("name"), detect.code_language(name).alias("language"))
+
+
 def f7_strip_ansi(spark: SparkSession, sf_dir: str) -> DataFrame:
     coloured = F.concat(F.lit("\x1b[1;31m"), "role", F.lit("\x1b[0m: "), "text", F.lit("[0m"))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.strip_ansi(coloured).alias("plain"))
@@ -81,8 +96,9 @@ def g6_contents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.contents_lines(rows, "p_brand").select("p_partkey", "contents")
 
 
-QUERIES = {f.__name__: f for f in (d22_features, f7_strip_ansi, f10_dedent, f23_cell_boundaries, m3_sqlite_reals, z12_task_items, r8b_bad_json_lines, r12_cues, s3_numbered_slides, g6_contents_lines)}
+QUERIES = {f.__name__: f for f in (d22_features, d3_code_languages, f7_strip_ansi, f10_dedent, f23_cell_boundaries, m3_sqlite_reals, z12_task_items, r8b_bad_json_lines, r12_cues, s3_numbered_slides, g6_contents_lines)}
 ORACLE_SQL = {
+    "d3_code_languages": "WITH e AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{e}', {'NULL' if l is None else repr(l)})" for k, (e, l) in enumerate(_ENDS)) + f") t(k, e, l)) SELECT p_partkey, p_name || e AS name, l AS language FROM part JOIN e ON p_partkey % {len(_ENDS)} = k",
     "d22_features": "SELECT page_id, page_id % 4 = 0 AND contains(html, '<h1>') AS diagrams, page_id % 4 = 1 AND contains(html, '<h1>') AS math FROM pages",
     "f7_strip_ansi": "SELECT conv_id, turn, role || ': ' || text AS plain FROM conversations",
     "f10_dedent": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), p AS (SELECT doc_id, i, repeat(' ', CAST(i % 3 + 2 AS BIGINT)) || l AS l FROM l), m AS (SELECT doc_id, min(length(regexp_extract(l, '^[ \\t]*'))) AS m FROM p WHERE trim(l) <> '' GROUP BY doc_id) SELECT doc_id, sha256(string_agg(l[coalesce(m, 0) + 1:], chr(10) ORDER BY i)) AS sha256 FROM p LEFT JOIN m USING (doc_id) GROUP BY doc_id",
