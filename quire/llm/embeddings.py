@@ -12,7 +12,7 @@ Cosines are computed in double precision from the original components.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing, nor does
 one with a null label or a null vec_id (its component_id is its vec_id); vectors of different length never
-link; repeated rows are vectors of their own that link with each other; an empty table gives no rows;
+link; a pair whose cosine is the bound itself, as computed, links; repeated rows are vectors of their own that link with each other; an empty table gives no rows;
 extra columns are ignored.
 """
 

@@ -22,7 +22,9 @@ holds more than one row a document and position, and frequent passages meet in a
 or in joins that adaptive execution splits.
 
 Defined cases: null text has no words; fewer words than a window: nothing is removed; rows with equal doc_id
-are not smaller than each other, and each is judged by its own text; a null doc_id is kept and takes no part;
+are not smaller than each other, and each is judged by its own text; a null doc_id is kept and takes no part; a very long text is hashed in
+pieces of some 64 KiB and its edges are combined like those of many; a span whose digest differs from its source's stays (an edge is known by 95 bits, so
+that two are taken for one with a chance of 2 ** -95 a pair, and of 2 ** -31 for two words after one node);
 empty tables give no rows; extra columns are ignored.
 """
 
