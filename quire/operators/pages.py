@@ -159,8 +159,10 @@ def allowed(nodes: DataFrame) -> DataFrame:
     entries = F.map_entries(F.map_filter("attrs", lambda k, v: F.array_contains(names, k) & ~k.isin(*right)))
     made = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.when(F.array_contains(names, k), v).alias("value")) for k, v in right.items()]), lambda e: e["value"].isNotNull())
     order = F.array(*[F.lit(a) for a in ("href", "src", "title", "alt", "width", "height", "colspan", "rowspan", "class", "style", "data-fn")])
-    sorted_entries = F.transform(F.filter(order, lambda k: F.array_contains(F.transform(F.concat(entries, made), lambda e: e["key"]), k)), lambda k: F.filter(F.concat(entries, made), lambda e: e["key"] == k)[0])
-    kept = kept.withColumn("attrs", F.when(F.col("name").isNotNull(), F.map_from_entries(sorted_entries)))
+    # The entries are worked out once and then picked in order.
+    in_order = F.transform(F.array(F.concat(entries, made)), lambda es: F.flatten(F.transform(order, lambda k: F.filter(es, lambda e: e["key"] == k))))
+    sorted_entries = in_order[0]
+    kept = kept.withColumn("attrs", F.when(F.col("name").isNotNull() & (F.size("attrs") > 0), F.map_from_entries(sorted_entries)).otherwise(F.col("attrs")))
     blind = (F.col("name") == "img") & ~F.map_contains_key("attrs", "src")
     alt = F.trim(F.coalesce(attr("alt"), F.lit("")))
     kept = kept.where(~F.coalesce(blind & (alt == ""), F.lit(False)))
