@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,10 +15,28 @@ from pyspark.sql import functions as F
 ERROR = "error string"
 
 
+def _pieces(rows: Iterable[tuple], batch: int) -> Iterator[list[tuple]]:
+    """All rows in pieces, the first of them once the last is known: a failure comes before any piece, and a file of this task holds what is more than one."""
+    rows = iter(rows)
+    first = list(islice(rows, batch))
+    if len(first) < batch:
+        yield first
+        return
+    with tempfile.TemporaryFile() as file:
+        n = 0
+        while piece := list(islice(rows, batch)):
+            pickle.dump(piece, file, pickle.HIGHEST_PROTOCOL)
+            n += 1
+        file.seek(0)
+        yield first
+        for _ in range(n):
+            yield pickle.load(file)
+
+
 def parsed(df: DataFrame, column: str, schema: str, parse: Callable[..., Iterable[tuple]], *, doc: str = "doc", batch: int = 10_000) -> DataFrame:
     """(doc, <schema>, error) of the rows that parse() yields for each document; a null input yields none, a failure one row with its error and no other.
 
-    schema: names and types without doc, e.g. "pos int, text string".
+    schema: names and types without doc, e.g. "pos int, text string". Memory holds a document and a batch of rows, not all rows of a document.
     """
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -29,15 +50,17 @@ def parsed(df: DataFrame, column: str, schema: str, parse: Callable[..., Iterabl
             for key, value in zip(part["doc"], part["input"], strict=True):
                 if value is None:
                     continue
+                pieces = _pieces(((key, *row, None) for row in parse(value)), batch)
                 try:
-                    found = [(key, *row, None) for row in parse(value)]  # all of a document or none
+                    piece = next(pieces)  # all of a document or none
                 except Exception as e:  # noqa: BLE001  whatever a broken file does, the others go on
-                    found = [(key, *[None] * len(names), f"{type(e).__name__}: {e}"[:200])]
-                for at in range(0, len(found), batch):
-                    rows += found[at : at + batch]
+                    piece = [(key, *[None] * len(names), f"{type(e).__name__}: {e}"[:200])]
+                while piece is not None:
+                    rows += piece
                     if len(rows) >= batch:
                         yield frame()
                         rows.clear()
+                    piece = next(pieces, None)
         yield frame()
 
     return df.select(F.col(doc).cast("string").alias("doc"), F.col(column).alias("input")).mapInPandas(run, f"doc string, {schema}, {ERROR}")

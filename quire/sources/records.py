@@ -30,12 +30,12 @@ def json_records(df: DataFrame, column: str = "text", doc: str = "doc", *, lines
     return jsontext.records(df, column, doc, lines=lines)
 
 
-def _fields(text: str, delimiter: str, most: int | None = None) -> list[list[str]]:
-    return list(islice(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), most))
+def _fields(text: str, delimiter: str, most: int | None = None) -> Iterator[list[str]]:
+    return islice(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), most)
 
 
-def _csv(text: str) -> Iterator[tuple]:
-    """Cells of delimited text: the delimiter is the one whose first ten rows differ least in their number of fields, then that with the most."""
+def _csv(text: str) -> Iterator[tuple[int, list[str]]]:
+    """Rows of delimited text, numbered: the delimiter is the one whose first ten rows differ least in their number of fields, then that with the most."""
     text = text.lstrip("\ufeff").strip()
     filled = lambda r: len(r) > 1 or (r and r[0].strip())
 
@@ -44,15 +44,18 @@ def _csv(text: str) -> Iterator[tuple]:
         return sum(a != b for a, b in pairwise(counts)), -sum(counts)
 
     split = [m for m in ",;\t" if m in text] or [","]
-    rows = [r for r in _fields(text, min(split, key=score)) if filled(r)]
-    for r, row in enumerate(rows):
-        for c, value in enumerate(row):
-            yield r, c, value
+    best = split[0] if len(split) == 1 else min(split, key=score)
+    return enumerate(filter(filled, _fields(text, best)))
+
+
+def csv_rows(df: DataFrame, column: str = "text", doc: str = "doc") -> DataFrame:
+    """(doc, table_no, r, cells, error): csv_cells() with the cells of a row as an array."""
+    return parsed(df, column, "r int, cells array<string>", _csv, doc=doc).select("doc", F.lit(0).alias("table_no"), "r", "cells", "error")
 
 
 def csv_cells(df: DataFrame, column: str = "text", doc: str = "doc") -> DataFrame:
     """(doc, table_no, r, c, value, error) of csv, semicolon or tab separated texts, without blank rows; see cells.trim_trailing and cells.has_header for what follows."""
-    return parsed(df, column, "r int, c int, value string", _csv, doc=doc).select("doc", F.lit(0).alias("table_no"), "r", "c", "value", "error")
+    return parsed(df, column, "r int, c int, value string", lambda t: ((r, c, value) for r, row in _csv(t) for c, value in enumerate(row)), doc=doc).select("doc", F.lit(0).alias("table_no"), "r", "c", "value", "error")
 
 
 def bad_json_lines(df: DataFrame, column: str = "text", doc: str = "doc") -> DataFrame:

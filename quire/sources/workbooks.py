@@ -1,7 +1,7 @@
 """Records written as workbooks by the tasks that hold them: a data source of part files, each a whole workbook.
 
-A task streams its rows through the compressor into one file, so memory holds a batch of rows and nothing else; a sheet that
-is full goes on in the next with the header repeated. Files are written under a name of their attempt, and the commit, which
+A task streams its rows through the compressor into files of FILE_ROWS rows, so memory holds a batch of rows and nothing else; a sheet
+that is full goes on in the next with the header repeated. Files are written under a name of their attempt, and the commit, which
 gets only names, gives them their final ones: a lost task leaves no half file behind, and a second attempt no second copy.
 The folder must be one that driver and executors share. Equal rows in equal partitions give equal bytes.
 """
@@ -27,6 +27,8 @@ from quire.functions.numbers import is_typed, json_string, json_value
 
 #: The rows of a sheet, the name spaces and parts of a workbook.
 MOST_ROWS = 1_048_576
+#: The rows of a file: whoever reads files as documents holds one, so more rows make more files.
+FILE_ROWS = 100_000
 STAMP = (1980, 1, 1, 0, 0, 0)
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -108,10 +110,9 @@ class Workbook:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """A file that a task has written, under its attempt's name, and its final name."""
+    """The files that a task has written: the name of each under its attempt, and its final one."""
 
-    temporary: str
-    final: str
+    files: list[tuple[str, str]]
 
 
 class WorkbookWriter(DataSourceArrowWriter):
@@ -121,30 +122,42 @@ class WorkbookWriter(DataSourceArrowWriter):
         self.path = options["path"].removeprefix("file://").removeprefix("file:")
         self.header = options["header"].split("\x1f")
         self.most_rows = int(options.get("most_rows", MOST_ROWS))
+        self.file_rows = int(options.get("file_rows", FILE_ROWS))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         os.makedirs(self.path, exist_ok=True)
-        final = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.xlsx")
-        temporary = os.path.join(self.path, f".{uuid.uuid4().hex}.tmp")
-        book = Workbook(temporary, self.header, self.most_rows)
+        name = f"part-{TaskContext.get().partitionId():05d}"
+        files: list[tuple[str, str]] = []
+
+        def begun() -> Workbook:
+            files.append((os.path.join(self.path, f".{uuid.uuid4().hex}.tmp"), os.path.join(self.path, f"{name}-{len(files):05d}.xlsx" if files else f"{name}.xlsx")))
+            return Workbook(files[-1][0], self.header, self.most_rows)
+
+        book, held = begun(), 0
         for batch in iterator:
             for at in range(0, batch.num_rows, 4096):
                 piece = batch.slice(at, 4096)
                 for values, kinds in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                    if held == self.file_rows:
+                        book.close()
+                        book, held = begun(), 0
                     book.add(values, kinds)
+                    held += 1
         book.close()
-        return Written(temporary, final)
+        return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
         for m in filter(None, messages):
-            os.replace(m.temporary, m.final)
+            for temporary, final in m.files:
+                os.replace(temporary, final)
         with open(os.path.join(self.path, "_SUCCESS"), "w"):
             pass
 
     def abort(self, messages: list[Written | None]) -> None:
         for m in filter(None, messages):
-            if os.path.exists(m.temporary):
-                os.remove(m.temporary)
+            for temporary, _ in m.files:
+                if os.path.exists(temporary):
+                    os.remove(temporary)
 
 
 class Workbooks(DataSource):
@@ -169,18 +182,18 @@ def _text_of(df: DataFrame) -> list[tuple[str, Column, Column]]:
     return out
 
 
-def write_workbooks(df: DataFrame, path: str, most_rows: int = MOST_ROWS) -> None:
-    """A folder of workbooks, one for each partition of df, its rows in their order under a header. Sheets hold most_rows rows with the header."""
+def write_workbooks(df: DataFrame, path: str, most_rows: int = MOST_ROWS, file_rows: int = FILE_ROWS) -> None:
+    """A folder of workbooks, one for each file_rows rows of a partition of df, in their order under a header. Sheets hold most_rows rows with the header."""
     df.sparkSession.dataSource.register(Workbooks)
     columns = _text_of(df)
     rows = df.select(F.array(*[t for _, t, _ in columns]).alias("values"), F.concat(*[F.when(n, "n").otherwise("t") for _, _, n in columns]).alias("kinds"))
-    rows.write.format("quire_xlsx").option("header", "\x1f".join(n for n, _, _ in columns)).option("most_rows", most_rows).mode("append").save(path)
+    rows.write.format("quire_xlsx").option("header", "\x1f".join(n for n, _, _ in columns)).option("most_rows", most_rows).option("file_rows", file_rows).mode("append").save(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of csv files under a header each, quoted only where a cell needs it; null and empty cells are empty."""
+def write_csv(df: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """A folder of csv files of file_rows rows at most, under a header each, quoted only where a cell needs it; null and empty cells are empty."""
     keep = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.select(*[t.alias(n) for n, t, _ in _text_of(df)]).write.options(header=True, **keep).csv(path)
+    df.select(*[t.alias(n) for n, t, _ in _text_of(df)]).write.options(header=True, maxRecordsPerFile=file_rows, **keep).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

@@ -6,7 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quire.sources import files, workbooks
+from quire.sources import files, records, workbooks
+from quire.sources.common import _pieces
 
 
 def test_equal_bytes_and_split_sheets(spark, tmp_path):
@@ -39,3 +40,33 @@ def test_empty_table(spark, tmp_path):
 
 def test_letters():
     assert [workbooks.letters(n) for n in (0, 25, 26, 701, 702, 16383)] == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
+
+
+def test_files_hold_a_bounded_number_of_rows(spark, tmp_path):
+    """A reader holds a whole file, so the size of a partition must not be that of a file."""
+    df = spark.range(0, 250_000, numPartitions=1)
+    workbooks.write_csv(df, str(tmp_path / "csv"))
+    assert len(glob.glob(f"{tmp_path}/csv/*.csv")) == 3
+    workbooks.write_workbooks(spark.range(0, 25, numPartitions=2), str(tmp_path / "xlsx"), most_rows=4, file_rows=10)
+    assert len(glob.glob(f"{tmp_path}/xlsx/*.xlsx")) == 4
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(str(tmp_path / "xlsx")).select(F.col("path").alias("doc"), "content")
+    rows = files.workbook_rows(found).where("r > 0").collect()
+    assert sorted(int(v) for r in rows for v in r["values"]) == list(range(25)) and all(r["columns"] == [0] for r in rows)
+
+
+def test_rows_of_a_long_document_come_in_pieces():
+    """All or none, without a list of all."""
+    def broken():
+        yield from range(10)
+        raise ValueError
+
+    assert [list(p) for p in _pieces(range(10), 4)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+    assert [list(p) for p in _pieces(range(3), 4)] == [[0, 1, 2]] and [list(p) for p in _pieces([], 4)] == [[]]
+    with pytest.raises(ValueError):
+        next(_pieces(broken(), 4))
+
+
+def test_csv_rows_are_not_listed():
+    """Reading one row of a text takes one row of its parser."""
+    rows = records._csv("a,b\n" * 100_000)
+    assert not isinstance(rows, list) and next(rows) == (0, ["a", "b"])
