@@ -45,8 +45,8 @@ def k4_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as JSON Lines and read as records, number by number as it was written."""
     place = _place(spark)
     workbooks.write_json_lines(_lines(spark, sf_dir), place)
-    lines = spark.read.text(place).select(F.concat_ws("-", F.input_file_name(), F.monotonically_increasing_id()).alias("doc"), F.col("value").alias("text"))
-    rows = jsontext.records(lines, lines=True)
+    lines = spark.read.text(place).select(F.input_file_name().alias("doc"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("text"))
+    rows = jsontext.records(lines, line_no="line_no")
     return _typed(rows.select(*[F.col("fields")[c].alias(c) for c in COLUMNS]))
 
 

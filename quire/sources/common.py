@@ -50,8 +50,9 @@ def parsed(df: DataFrame, column: str, schema: str, parse: Callable[..., Iterabl
             for key, value in zip(part["doc"], part["input"], strict=True):
                 if value is None:
                     continue
-                pieces = _pieces(((key, *row, None) for row in parse(value)), batch)
+                pieces = iter(())
                 try:
+                    pieces = _pieces(((key, *row, None) for row in parse(value)), batch)
                     piece = next(pieces)  # all of a document or none
                 except Exception as e:  # noqa: BLE001  whatever a broken file does, the others go on
                     piece = [(key, *[None] * len(names), f"{type(e).__name__}: {e}"[:200])]
