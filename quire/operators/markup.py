@@ -6,9 +6,14 @@ ends at the next tag of its level, and its parent is the last start on the level
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from quire.sources.common import parsed
+
 TOKEN = r"<\?[\s\S]*?\?>|<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<!(?i:DOCTYPE)[^>\[]*(?:\[[\s\S]*?\])?\s*>|</?[A-Za-z_:][^>]*>|[^<]+|<"
 #: The references of XML.
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
@@ -55,48 +60,103 @@ def leveled(tokens: DataFrame) -> DataFrame:
     return inside.where("_start is null").drop("_key", "_start")
 
 
+_CUT = re.compile(TOKEN, re.ASCII)
+_NAME = re.compile(r"</?\s*([^\s/>]+)", re.ASCII)
+_KEEPS = re.compile(r"\bxml:space\s*=\s*[\"']preserve[\"']", re.ASCII)
+_SPACE = " \t\n\x0b\f\r"
+
+
+def _kind(token: str) -> str:
+    """The kind of a token, as tokens() has it."""
+    if token[0] != "<" or len(token) == 1:
+        return "text"
+    if token[1] in "!?":
+        return "data" if token[:9].upper() == "<![CDATA[" else "other"
+    if token[-1] != ">":
+        return "text"
+    return "close" if token[1] == "/" else "alone" if token[-2] == "/" else "open"
+
+
+def _laid_out(text: str) -> str | None:
+    """A text with elements that hold only markup broken over lines; None where tags do not match or text stands outside of them."""
+    each = [(token, _kind(token)) for token in _CUT.findall(text)]
+    # What each element holds, and where it ends, by the elements around a token.
+    end, speaks, holds, opened = {}, set(), set(), []
+    for pos, (token, kind) in enumerate(each):
+        if kind == "close":
+            if not opened or opened[-1][1] != _NAME.match(token)[1]:
+                return None
+            end[opened.pop()[0]] = pos
+            continue
+        if kind == "data" or kind == "text" and token.strip(_SPACE):
+            if opened:
+                speaks.add(opened[-1][0])
+            elif kind == "text":
+                return None
+        elif kind != "text" and opened:
+            holds.add(opened[-1][0])
+        if kind == "open":
+            opened.append((pos, _NAME.match(token)[1]))
+    if opened:
+        return None
+    parts, level, copied_to = [], 0, -1
+    for pos, (token, kind) in enumerate(each):
+        level -= kind == "close"
+        if pos <= copied_to:
+            parts.append(token)
+        elif kind != "text":
+            parts.append("\n" + "  " * level + token)
+            if kind == "open" and (pos not in holds or pos in speaks or _KEEPS.search(token)):
+                copied_to = end[pos]
+        level += kind == "open"
+    return "".join(parts).removeprefix("\n")
+
+
 def reindented(df: DataFrame, column: str = "text", doc: str = "doc") -> DataFrame:
     """(doc, xml): elements that hold only markup are broken over lines, two spaces a level; all others are copied as they are.
 
-    So are elements with xml:space="preserve". Null where tags do not match or text stands outside of them. Every document has a row."""
-    t = leveled(tokens(df, column, doc))
-    speaks = (F.col("kind") == "data") | ((F.col("kind") == "text") & (F.trim(F.regexp_replace("token", r"\s+", " ")) != ""))
-    held = t.where("parent is not null").groupBy("doc", F.col("parent").alias("pos")).agg(F.max(speaks).alias("speaks"), F.max(F.col("kind").isin("open", "alone", "other")).alias("holds"))
-    marked = t.join(held, ["doc", "pos"], "left")
-    keeps = F.col("token").rlike(r"\bxml:space\s*=\s*[\"']preserve[\"']")
-    laid_out = (F.col("kind") == "open") & F.col("holds") & ~F.col("speaks") & ~keeps
-    marked = marked.withColumn("_copied", (F.col("kind") == "open") & ~F.coalesce(laid_out, F.lit(False)))
-    copied_to = F.max(F.when(F.col("_copied"), F.col("end")))
-    before = _in_order().rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(copied_to.over(before) >= F.col("pos"), F.lit(False))
-    line = F.concat(F.lit("\n"), F.repeat(F.lit("  "), F.col("level") - 1), "token")
-    part = F.when(inside, F.col("token")).when(F.col("kind") == "text", "").otherwise(line)
-    wrong = ((F.col("kind") == "open") & F.col("end").isNull()) | (F.col("level") < 1) | (speaks & F.col("parent").isNull() & (F.col("kind") == "text"))
-    depth = F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0))
-    rows = marked.select("doc", "pos", "kind", wrong.alias("wrong"), part.alias("part"))
-    whole = rows.groupBy("doc").agg((F.max("wrong") | (depth != 0)).alias("wrong"), F.array_join(F.array_sort(F.collect_list(F.struct("pos", "part")))["part"], "").alias("xml"))
-    every = df.select(F.col(doc).cast("string").alias("doc"))
-    return every.join(whole, "doc", "left").select("doc", F.when(F.col("wrong"), None).otherwise(F.regexp_replace(F.coalesce("xml", F.lit("")), r"^\n", "")).alias("xml"))
+    So are elements with xml:space="preserve". Null where tags do not match or text stands outside of them. Every document has a row.
+    A text is laid out where it stands: its tokens, many times its size as rows, are not shuffled."""
+    filled = df.select(F.col(doc).alias("doc"), F.coalesce(column, F.lit("")).alias("text"))
+    return parsed(filled, "text", "xml string", lambda t: [(_laid_out(t),)]).select("doc", "xml")
+
+
+def _elements(text: str, names: list[str]) -> Iterator[tuple[int, str, str]]:
+    """(pos, name, inner) of the outermost elements of some names."""
+    each = _CUT.findall(text)
+    wanted, ends, levels, begun = [], {}, dict.fromkeys(names, 0), {}
+    for pos, token in enumerate(each):
+        kind = _kind(token)
+        if kind not in ("open", "close", "alone"):
+            continue
+        named = _NAME.match(token)
+        name = named[1] if named else ""
+        if name not in levels:
+            continue
+        if kind == "close":
+            levels[name] -= 1
+            start = begun.pop((name, levels[name]), None)
+            if start is not None:
+                ends[start] = pos
+            continue
+        wanted.append((pos, name))
+        if kind == "alone":
+            ends[pos] = pos
+        else:
+            begun[name, levels[name]] = pos
+            levels[name] += 1
+    reach = -1
+    for pos, name in wanted:
+        if pos > reach:
+            yield pos, name, "".join(each[pos + 1 : ends.get(pos, len(each))])
+        reach = max(reach, ends.get(pos, len(each)))
 
 
 def elements(df: DataFrame, names: list[str], column: str = "text", doc: str = "doc") -> DataFrame:
     """(doc, pos, name, inner): the outermost elements of some names, in order; one that never ends goes on to the end of its text.
 
     Starts and ends are counted for each name by itself, so that other tags need not match."""
-    t = tokens(df, column, doc)
-    wanted = t.where(F.col("name").isin(*names)).withColumn("_step", F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0))
-    level = F.sum("_step").over(_in_order("name")) + F.when(F.col("kind") == "open", 0).otherwise(1)
-    own = wanted.withColumn("level", level).withColumn("_tag", F.col("kind") != "alone")
-    beside = Window.partitionBy("doc", "name", "level", "_tag").orderBy("pos")
-    ends = own.withColumn("end", F.when(F.col("kind") == "alone", F.col("pos")).otherwise(F.coalesce(F.when(F.lead("kind").over(beside) == "close", F.lead("pos").over(beside)), F.lit(2**31 - 1)))).where("kind <> 'close'")
-    reach = F.max("end").over(_in_order().rowsBetween(Window.unboundedPreceding, -1))
-    outer = ends.withColumn("_reach", reach).where("_reach is null or _reach < pos").select("doc", "pos", "name", "end")
-    # What is inside an outermost element: its number runs on from its start tag to its end tag.
-    starts = t.join(outer.select("doc", "pos", F.col("name").alias("_name"), F.col("end").alias("_end")), ["doc", "pos"], "left")
-    filled = starts.withColumn("_from", F.last(F.when(F.col("_end").isNotNull(), F.struct(F.col("pos").alias("pos"), F.col("_end").alias("end"), F.col("_name").alias("name"))), ignorenulls=True).over(_in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    inside = filled.where("_from is not null and pos <= _from.end")
-    parts = inside.groupBy("doc", F.col("_from.pos").alias("pos"), F.col("_from.name").alias("name")).agg(F.array_sort(F.collect_list(F.when((F.col("pos") > F.col("_from.pos")) & (F.col("pos") < F.col("_from.end")), F.struct("pos", "token")))).alias("parts"))
-    return parts.select("doc", "pos", "name", F.array_join("parts.token", "").alias("inner"))
+    return parsed(df, column, "pos int, name string, inner string", lambda t: _elements(t, names), doc=doc).select("doc", "pos", "name", "inner")
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -109,7 +169,7 @@ def outlines(df: DataFrame, column: str = "text", doc: str = "doc") -> DataFrame
     """(doc, title, n, parent, depth, text, link, note): the items of OPML outlines in order; parent is the n of the item around one.
 
     Text is `text`, else `title`; the link is the first of htmlUrl, url and xmlUrl that is a web or mail address. A document that is no outline has no rows."""
-    t = leveled(tokens(df, column, doc)).withColumn("name", F.lower("name"))
+    t = tokens(df, column, doc).withColumn("name", F.lower("name"))
     t = t.withColumn("_opml", F.max((F.col("name") == "opml") & (F.col("kind") == "open")).over(_in_order().rowsBetween(Window.unboundedPreceding, 0)))
     items = t.where("_opml and name = 'outline'")
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)

@@ -54,3 +54,16 @@ def test_outlines(spark):
     rows = markup.outlines(texts(spark, '<opml><body><outline/><outline title="a&#10;b"><outline text="c" url="javascript:x" xmlUrl="https://f"/></outline></body></opml>', "<x><outline text='no'/></x>", deep)).orderBy("doc", "n").collect()
     assert [tuple(r)[1:] for r in rows[:3]] == [(None, 0, None, 1, "", None, None), (None, 1, None, 1, "a\nb", None, None), (None, 2, 1, 2, "c", "https://f", None)]
     assert len(rows) == 2003 and rows[-1].depth == 2000 and rows[-1].parent == 1998
+
+
+def test_texts_are_read_without_a_shuffle(spark):
+    df = texts(spark, "<a/>")
+    for made in (markup.reindented(df), markup.elements(df, ["a"])):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+    assert [r.xml for r in markup.reindented(texts(spark, None, " ", "<a/><![CDATA[x]]><?b?>")).collect()] == ["", "", "<a/>\n<![CDATA[x]]>\n<?b?>"]
+
+
+def test_elements_with_stray_ends(spark):
+    got = markup.elements(texts(spark, "</t><t>1</t></t><t>2<u></t><v>3</v><t/>"), ["t", "v"]).orderBy("pos").collect()
+    assert [(r.pos, r.name, r.inner) for r in got] == [(1, "t", "1"), (5, "t", "2<u>"), (9, "v", "3"), (12, "t", "")]
