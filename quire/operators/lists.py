@@ -19,6 +19,7 @@ def inherited(styles: DataFrame, properties: list[str], most: int = MOST_STYLES)
     own = styles.select("doc", "id", F.array("id").alias("chain"), F.col("based_on").alias("next"), *properties)
     above = stored(styles.select("doc", F.col("id").alias("next"), F.col("based_on").alias("then"), F.lit(True).alias("is_there"), *[F.col(p).alias(f"of_{p}") for p in properties]))
     ended, growing = [], own
+    above = above.hint("merge")  # a broadcast would pass the driver in every round
     for _ in range(most - 1):
         joined = stored(growing.join(above, ["doc", "next"], "left"))
         goes = F.coalesce(F.col("is_there") & ~F.array_contains("chain", F.col("next")), F.lit(False))
