@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quire.functions.text import github_slug
+from quire.operators.ranges import dealt
+from quire.operators.stored import stored
 
 
 def runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -98,11 +100,11 @@ def resolve_links(links: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def footnotes(refs: DataFrame, notes: DataFrame) -> DataFrame:
-    """(doc, label, number, n_refs, has_note): notes numbered by their first reference, unreferenced ones after them; references without a note follow all notes."""
+    """(doc, label, number, n_refs, has_note): notes numbered by their first reference, unreferenced ones after them; references without a note follow all notes. Labels that tie in all that stand in their order."""
     first = refs.groupBy("doc", "label").agg(F.min("pos").alias("first_ref"), F.count("*").alias("n_refs"))
     own = notes.groupBy("doc", "label").agg(F.min("pos").alias("note_pos"))
     both = own.join(first, ["doc", "label"], "full_outer")
-    order = Window.partitionBy("doc").orderBy(F.col("note_pos").isNull(), F.col("first_ref").asc_nulls_last(), "note_pos")
+    order = Window.partitionBy("doc").orderBy(F.col("note_pos").isNull(), F.col("first_ref").asc_nulls_last(), "note_pos", "label")
     return both.select("doc", "label", F.row_number().over(order).alias("number"), F.coalesce("n_refs", F.lit(0)).alias("n_refs"), F.col("note_pos").isNotNull().alias("has_note"))
 
 
@@ -110,22 +112,23 @@ def unique_names(names: DataFrame, keys: list[str], order: str, name: str = "nam
     """names with `unique_name`: the n-th of a name, by case-insensitive comparison, gets "-n" before its extension.
 
     A made name that is also given, or made twice, gets another number behind it: the first of 2, 3, ... that gives no name that is
-    given or made. Given names stay as they are. (keys, order) names a row.
+    given or made. Given names stay as they are. (keys, order) names a row. Each window gets its rows dealt over many tasks, so that
+    a task sorts few of them.
     """
     cut = lambda of: (F.regexp_replace(of, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(of, r"(?<=.)(\.[^.]*)$", 1))
     nth = F.row_number().over(Window.partitionBy(*keys, F.lower(name)).orderBy(order))
     stem, ext = cut(F.col(name))
-    made = names.withColumn("nth", nth).withColumn("made", F.when(F.col("nth") > 1, F.concat(stem, F.lit("-"), F.col("nth").cast("string"), ext)).otherwise(F.col(name)))
+    made = dealt(names, *keys, F.lower(name)).withColumn("nth", nth).withColumn("made", F.when(F.col("nth") > 1, F.concat(stem, F.lit("-"), F.col("nth").cast("string"), ext)).otherwise(F.col(name)))
     again = F.row_number().over(Window.partitionBy(*keys, F.lower("made")).orderBy(F.col("nth") > 1, order))
     stem, ext = cut(F.col("made"))
-    tried = made.withColumns({"again": again - 1, "stem": stem, "ext": ext})
+    tried = stored(dealt(made, *keys, F.lower("made")).withColumns({"again": again - 1, "stem": stem, "ext": ext}))  # read three times
     # Numbers in use behind a stem: the j-th of them, t, leaves t - 1 - j free ones from 2 below it, so the k-th free one is k + 1 and one for each t - j up to k.
     used = tried.select(*keys, F.lower("stem").alias("used"), F.lower("ext").alias("low_ext"))
     used = used.select(*keys, F.regexp_extract("used", r"^(.+)-[1-9][0-9]*$", 1).alias("low_stem"), "low_ext", F.regexp_extract("used", r"-([1-9][0-9]{0,17})$", 1).try_cast("long").alias("t")).where("t > 1 and low_stem <> ''").distinct()
     of_stem = Window.partitionBy(*keys, "low_stem", "low_ext")
     left = used.withColumn("at", F.col("t") - F.row_number().over(of_stem.orderBy("t"))).drop("t").withColumn("is_used", F.lit(1))
     late = tried.where("again > 0").withColumns({"low_stem": F.lower("stem"), "low_ext": F.lower("ext"), "at": F.col("again").cast("long"), "is_used": F.lit(0)})
-    counted = late.unionByName(left, allowMissingColumns=True).withColumn("passed", F.sum("is_used").over(of_stem.orderBy("at", F.desc("is_used")).rowsBetween(Window.unboundedPreceding, 0))).where("is_used = 0")
+    counted = dealt(late.unionByName(left, allowMissingColumns=True), *keys, "low_stem", "low_ext").withColumn("passed", F.sum("is_used").over(of_stem.orderBy("at", F.desc("is_used")).rowsBetween(Window.unboundedPreceding, 0))).where("is_used = 0")
     renamed = counted.withColumn("unique_name", F.concat("stem", F.lit("-"), (F.col("again") + 1 + F.col("passed")).cast("string"), "ext"))
     kept = tried.where("again = 0").withColumn("unique_name", F.col("made"))
     return kept.select(*names.columns, "unique_name").unionByName(renamed.select(*names.columns, "unique_name"))
