@@ -1,4 +1,4 @@
-"""XML as rows of tokens: elements matched by running sums, laid out again, picked by name, and outlines.
+"""XML as rows of tokens: elements matched by running sums, and outlines; texts laid out and elements picked by name where a text stands.
 
 A text is cut into tokens by one pattern and numbered. The level of a tag is a running sum of starts and ends, an element
 ends at the next tag of its level, and its parent is the last start on the level above; so nesting costs no recursion.
