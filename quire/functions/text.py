@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions.numbers import luminance
+from quire.functions.pictures import let
 
 
 def github_slug(text: Column) -> Column:
@@ -134,15 +135,23 @@ FRONT_MATTER_LINES = 200
 
 
 def front_matter(text: Column) -> Column:
-    """(body, title): a text without the YAML block at its head, if that can be nothing else, and the title that the block names."""
-    lines = F.split(text, r"\r?\n")
-    ends = F.transform(F.slice(lines, F.lit(2), F.lit(FRONT_MATTER_LINES)), lambda l: F.rtrim(l).isin("---", "..."))
-    close = F.array_position(ends, True).cast("int")  # from 1, after the first line
-    block = F.slice(lines, F.lit(2), F.greatest(close - 1, F.lit(0)))
-    sound = (F.rtrim(F.get(lines, F.lit(0))) == "---") & (close > 0) & F.forall(block, lambda l: l.rlike(FRONT_MATTER_LINE)) & F.exists(block, lambda l: l.rlike(KEY_LINE))
-    title = yaml_scalar(F.substring(F.get(F.filter(block, lambda l: l.startswith("title:")), F.lit(0)), 7, 2**31 - 1))
-    body = F.array_join(F.slice(lines, close + 2, F.size(lines)), "\n")
-    return F.struct(F.when(sound, body).otherwise(text).alias("body"), F.when(sound, F.nullif(title, F.lit(""))).alias("title"))
+    """(body, title): a text without the YAML block at its head, if that can be nothing else, and the title that the block names.
+
+    The text is split once, and only as far as a block may reach; what follows stays in one piece."""
+
+    def cut(lines: Column) -> Column:
+        ends = F.transform(F.slice(lines, F.lit(2), F.lit(FRONT_MATTER_LINES)), lambda l: F.rtrim(l).isin("---", "..."))
+        close = F.when(F.rtrim(F.get(lines, F.lit(0))) == "---", F.array_position(ends, True).cast("int"))  # from 1, after the first line
+        return let(close, lambda close: let(F.when(close > 0, F.slice(lines, F.lit(2), close - 1)), lambda block: without(lines, close, block)))
+
+    def without(lines: Column, close: Column, block: Column) -> Column:
+        sound = F.coalesce(F.forall(block, lambda l: l.rlike(FRONT_MATTER_LINE)) & F.exists(block, lambda l: l.rlike(KEY_LINE)), F.lit(False))
+        title = yaml_scalar(F.substring(F.get(F.filter(block, lambda l: l.startswith("title:")), F.lit(0)), 7, 2**31 - 1))
+        # Only the last piece holds line ends.
+        body = F.array_join(F.transform(F.slice(lines, close + 2, F.size(lines)), lambda l: F.replace(l, F.lit("\r\n"), F.lit("\n"))), "\n")
+        return F.when(sound, F.struct(body.alias("body"), F.nullif(title, F.lit("")).alias("title"))).otherwise(F.struct(text.alias("body"), F.lit(None).cast("string").alias("title")))
+
+    return let(F.split(text, r"\r?\n", FRONT_MATTER_LINES + 2), cut)
 
 
 #: The constructs of Markdown, two of which make a text Markdown beyond doubt.

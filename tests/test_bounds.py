@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.operators import lists, sequences
 from quire.operators.ranges import dealt
 
@@ -35,3 +36,15 @@ def test_styles_are_not_broadcast(spark, monkeypatch):
     styles = spark.createDataFrame([("all", k, k - 1 if k else None, str(k)) for k in range(4)], "doc string, id long, based_on long, font string")
     assert lists.inherited(styles, ["font"]).count() == 4
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_front_matter_splits_a_text_once(spark):
+    """Only as far as a block may reach; line ends behind it become one kind, and a stray one stays."""
+    long = "".join(f"k{i}: v\n" for i in range(199))
+    given = [
+        ("---\ntitle: t\n---\na\r\n" + "b\r\n" * 300 + "c\r\r\nd", ("a\n" + "b\n" * 300 + "c\r\nd", "t")), (f"---\n{long}---\nx\r\ny", ("x\ny", None)), (f"---\n{long}k: v\n---\nx\r\ny", (f"---\n{long}k: v\n---\nx\r\ny", None)),
+        ("---\ntitle: t\n---", ("", "t")), ("---\n---\na\r\n", ("---\n---\na\r\n", None)), ("a\r\nb", ("a\r\nb", None)), ("", ("", None)), (None, (None, None)),
+    ]
+    made = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(given)], "i int, t string").select("i", text.front_matter(F.col("t")).alias("m"))
+    assert [tuple(r.m) for r in made.orderBy("i").collect()] == [want for _, want in given]
+    assert made._jdf.queryExecution().analyzed().toString().count("split(") == 1
