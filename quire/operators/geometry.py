@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.cells import folded
+from quire.operators.stored import stored
 
 
 @dataclass(frozen=True)
@@ -87,8 +88,9 @@ def infer_cells(items: DataFrame, rules: GridRules | None = None, *, fold: bool
         values = grid["value"].tolist()
         return pd.DataFrame({"doc": [str(part["doc"].iloc[0])] * len(values), "table_no": int(part["page"].iloc[0]), "r": grid["r"].tolist(), "c": grid["c"].tolist(), "value": values}, dtype=object)
 
-    raw = items.select("doc", "page", "text", "x0", "y", "height").groupBy("doc", "page").applyInPandas(page, "doc string, table_no int, r int, c int, value string")
-    grid = folded(raw) if fold else raw
+    # Both are read several times below, and pages are not to be laid out each time.
+    raw = stored(items.select("doc", "page", "text", "x0", "y", "height").groupBy("doc", "page").applyInPandas(page, "doc string, table_no int, r int, c int, value string"))
+    grid = stored(folded(raw)) if fold else raw
     filled = grid.groupBy("doc", "table_no", "r").agg(F.sum((F.col("value") != "").cast("int")).alias("filled"))
     good = filled.groupBy("doc", "table_no").agg(F.avg((F.col("filled") >= 2).cast("int")).alias("confidence"), F.count("*").alias("rows")).where((F.col("confidence") >= rules.min_confidence) & (F.col("rows") >= rules.min_rows))
     used = grid.where("value <> ''").groupBy("doc", "table_no").agg((F.max("c") + 1).alias("width")).where(F.col("width") >= rules.min_columns)

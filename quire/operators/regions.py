@@ -22,18 +22,42 @@ RULES = GridRules(min_rows=3, min_columns=2, tolerance=TOLERANCE, min_confidence
 _PIECE = "array<struct<text:string,x0:double,x1:double,space:boolean>>"
 
 
-def positioned(items: DataFrame) -> DataFrame:
-    """items (doc, page, n, text, x0, x1, y, height, eol) that hold text, with line and space (whether the page draws white space before one).
+def _lined(items: DataFrame) -> DataFrame:
+    """items with line: one ends with an item that says so."""
+    order = Window.partitionBy("doc", "page").orderBy("n")
+    return items.withColumn("line", F.coalesce(F.sum(F.col("eol").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
-    A line ends with an item that says so; a blank item, and white space at an item's end, is the space before the next."""
+
+def _spaced(lined: DataFrame) -> DataFrame:
+    drawn = lined.where("text <> ''")
+    # The order is that of the lines: the item before is of this line or of an earlier one.
     order = Window.partitionBy("doc", "page").orderBy("n")
-    ended = F.coalesce(F.sum(F.col("eol").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = items.withColumn("line", ended).where("text <> ''")
-    before = F.lag("text").over(Window.partitionBy("doc", "page", "line").orderBy("n"))
+    before = F.when(F.lag("line").over(order) == F.col("line"), F.lag("text").over(order))
     space = F.col("text").rlike(r"^\s") | F.coalesce(before.rlike(r"\s$"), F.lit(False))
     return drawn.withColumn("space", space).where(F.col("text").rlike(r"\S"))
 
 
+def _gapped(lined: DataFrame) -> DataFrame:
+    """_lined() items of the pages that may have a line of two segments, in the order that the items are in already.
+
+    A gap that parts a line parts two items of it that follow each other, in one direction or the other; so a page without such two has no region."""
+    order = Window.partitionBy("doc", "page").orderBy("n")
+    shown = F.col("text").rlike(r"\S")
+    before = F.last(F.when(shown, F.struct("line", "x0", "x1", "height")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    least = CELL_GAP * F.greatest(F.col("height"), F.col("_before.height"), F.lit(1.0))
+    apart = (F.col("x0") - F.col("_before.x1") > least) | (F.col("_before.x0") - F.col("x1") > least)
+    wide = shown & (F.col("_before.line") == F.col("line")) & F.coalesce(apart, F.lit(True))
+    marked = lined.withColumn("_before", before).withColumn("_wide", F.max(wide).over(Window.partitionBy("doc", "page")))
+    return marked.where("_wide").select(lined.columns)
+
+
+def positioned(items: DataFrame) -> DataFrame:
+    """items (doc, page, n, text, x0, x1, y, height, eol) that hold text, with line and space (whether the page draws white space before one).
+
+    A line ends with an item that says so; a blank item, and white space at an item's end, is the space before the next."""
+    return _spaced(_lined(items))
+
+
 def lines(items: DataFrame) -> DataFrame:
     """(doc, page, line, text, y, height): the lines of items, each at the height of its first item."""
     order = Window.partitionBy("doc", "page").orderBy("n")
@@ -48,24 +72,36 @@ def segments(items: DataFrame) -> DataFrame:
     """(doc, page, line, seg, text, x0, x1, y, height): runs of positioned() items of a line without a gap of CELL_GAP line heights.
 
     With a column origins (array<double>), an item that stands apart on an origin that its segment began before starts another."""
+    return _joined(_numbered(items))
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    """items with piece, and with the segment of their line that they are in, seg, and part, their text with the space before it."""
     line = Window.partitionBy("doc", "page", "line")
     row = line.orderBy("x0", "n", "piece")
-    tall = F.greatest(F.max("height").over(line), F.lit(1.0))
-    origins = F.col("origins") if "origins" in items.columns else F.array().cast("array<double>")
     given = items if "piece" in items.columns else items.withColumn("piece", F.lit(0))
-    apart = F.col("x0") - F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
-    band = F.try_element_at(F.filter(origins, lambda b: F.abs(F.col("x0") - b) <= TOLERANCE), F.lit(1))
-    gaps = given.withColumns({"gap": apart, "tall": tall, "band": band})
-    # The first item apart in the band of an origin finds its segment begun before it.
-    first = F.row_number().over(Window.partitionBy("doc", "page", "line", "band", F.coalesce(F.col("gap") > 1, F.lit(False))).orderBy("x0", "n", "piece")) == 1
-    begun = F.min("x0").over(line) < F.col("band") - TOLERANCE
-    starts = F.col("gap").isNull() | (F.col("gap") > CELL_GAP * F.col("tall")) | F.coalesce((F.col("gap") > 1) & F.col("band").isNotNull() & first & begun, F.lit(False))
-    marked = gaps.withColumn("seg", F.sum(starts.cast("int")).over(row))
-    marked = marked.withColumn("part", F.concat(F.when(~starts & ((F.col("gap") > 0.5) | F.col("space")), " ").otherwise(""), "text"))
-    joined = marked.groupBy("doc", "page", "line", "seg").agg(F.array_sort(F.collect_list(F.struct("x0", "n", "piece", "part")))["part"].alias("parts"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min_by("y", F.struct("x0", "n", "piece")).alias("y"), F.max("height").alias("height"))
+    gaps = given.withColumns({"gap": F.col("x0") - F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1)), "tall": F.greatest(F.max("height").over(line), F.lit(1.0))})
+    starts = F.col("gap").isNull() | (F.col("gap") > CELL_GAP * F.col("tall"))
+    if "origins" in items.columns:
+        gaps = gaps.withColumn("band", F.try_element_at(F.filter("origins", lambda b: F.abs(F.col("x0") - b) <= TOLERANCE), F.lit(1)))
+        # The first item apart in the band of an origin finds its segment begun before it.
+        first = F.row_number().over(Window.partitionBy("doc", "page", "line", "band", F.coalesce(F.col("gap") > 1, F.lit(False))).orderBy("x0", "n", "piece")) == 1
+        begun = F.min("x0").over(line) < F.col("band") - TOLERANCE
+        starts = starts | F.coalesce((F.col("gap") > 1) & F.col("band").isNotNull() & first & begun, F.lit(False))
+    marked = gaps.withColumn("starts", starts).withColumn("seg", F.sum(F.col("starts").cast("int")).over(row))
+    return marked.withColumn("part", F.concat(F.when(~F.col("starts") & ((F.col("gap") > 0.5) | F.col("space")), " ").otherwise(""), "text"))
+
+
+def _joined(numbered: DataFrame) -> DataFrame:
+    joined = numbered.groupBy("doc", "page", "line", "seg").agg(F.array_sort(F.collect_list(F.struct("x0", "n", "piece", "part")))["part"].alias("parts"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min_by("y", F.struct("x0", "n", "piece")).alias("y"), F.max("height").alias("height"))
     return joined.withColumn("text", F.trim(F.regexp_replace(F.array_join("parts", ""), r"\s+", " "))).drop("parts").where("text <> ''")
 
 
+def _tabular_pages(numbered: DataFrame) -> DataFrame:
+    """_numbered() items of pages on which some line has two segments; others have no region."""
+    return numbered.withColumn("_most", F.max("seg").over(Window.partitionBy("doc", "page"))).where("_most >= 2").drop("_most")
+
+
 def split_items(items: DataFrame) -> DataFrame:
     """Items cut at the origins that they run over, where a space lies close by the mean width of their characters; piece numbers what one item becomes.
 
@@ -121,8 +157,11 @@ def candidate_regions(segmented: DataFrame) -> DataFrame:
 
 def tables(items: DataFrame) -> DataFrame:
     """(doc, page, region, r, c, value): the tables on the pages of items (doc, page, n, text, x0, x1, y, height, eol), y growing upwards."""
-    placed = positioned(items)
-    once = stored(segments(placed))  # what follows is read several times, so it is made once
+    # What follows is read several times, so it is made once, and prose is left out before its items are sorted again.
+    placed = _spaced(_gapped(_lined(items)))
+    numbered = stored(_tabular_pages(_numbered(placed)).select("doc", "page", "n", "line", "text", "x0", "x1", "y", "height", "space", "piece", "seg", "part"))
+    once = stored(_joined(numbered))
+    placed = numbered.drop("piece", "seg", "part")
     regions = candidate_regions(once)
     lines_of = stored(regions.withColumn("_lines", F.count("*").over(Window.partitionBy("doc", "page", "region"))).where(F.col("_lines") >= RULES.min_rows).drop("_lines"))
     key = F.to_json(F.struct(F.col("doc").alias("d"), F.col("page").alias("p"), F.col("region").alias("r")))

@@ -2,7 +2,7 @@
 
 import random
 
-from quire.operators import regions
+from quire.operators import geometry, regions
 
 ITEM = "doc string, page int, n int, text string, x0 double, x1 double, y double, height double, eol boolean"
 
@@ -65,3 +65,16 @@ def test_lines_and_spaces(spark):
     df = spark.createDataFrame(items, ITEM)
     assert [(r.line, r.text, r.y, r.height) for r in regions.lines(df).orderBy("line").collect()] == [(0, "Code No", 50.0, 9.0), (1, "next", 30.0, 9.0)]
     assert [r.text for r in regions.segments(regions.positioned(df)).orderBy("line").collect()] == ["Code No", "next"]
+
+
+def test_prose_is_left_before_it_is_stored(spark, monkeypatch):
+    """Only pages with a gap are written; gaps to the left, over blank items and beside missing places count, and no plan lays a page out twice."""
+    kept, plans, stored = [], [], regions.stored
+    monkeypatch.setattr(regions, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    monkeypatch.setattr(geometry, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    prose = [("prose", 0, 5 * k + i, f"word{i}", 36.0 + 55 * i, 36.0 + 55 * i + 50, 800.0 - 13 * k, 9.0, i == 4) for k in range(40) for i in range(5)]
+    table = [(doc, 0, 3 * k + i, t, x, x + 30.0, 800.0 - 13 * k, 9.0, i == 2) for doc, places in (("right", (36.0, 70.0, 200.0)), ("left", (200.0, 190.0, 36.0))) for k in range(4) for i, (t, x) in enumerate(zip((f"a{k}", " ", f"b{k}"), places, strict=True))]
+    found = regions.tables(spark.createDataFrame(prose + table, ITEM))
+    assert {(r.doc, r.r, r.c, r.value) for r in found.collect()} == {("right", k, c, f"{'ab'[c]}{k}") for k in range(4) for c in range(2)} | {("left", k, c, f"{'ba'[c]}{k}") for k in range(4) for c in range(2)}
+    assert {r.doc for r in kept[0].select("doc").collect()} == {"left", "right"}
+    assert all(p.split("Initial Plan")[-1].count("FlatMapGroupsInPandas") <= 1 for p in plans) and len(plans) == 4
