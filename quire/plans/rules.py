@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import detect, text
 from quire.operators import cells, sequences
+from quire.operators.ranges import dealt
 from quire.plans.common import read
 from quire.sources import records
 
@@ -80,8 +81,8 @@ def a12_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's lines as cells with an alignment; the fourth column is empty below the first row."""
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    """An order's lines as cells with an alignment; the fourth column is empty below the first row. Orders are dealt before they are cells, so all that follows finds them in place."""
+    lines = dealt(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), "l_orderkey", parts=500).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
     align = F.when(F.col("c") == 0, "right").when((F.col("c") == 1) & (F.col("flag") == "R"), "center").when((F.col("c") == 2) & (F.col("status") == "O"), "left").when(F.col("c") == 3, "center")
     value = F.when(F.col("c") == 1, F.concat("flag", F.lit("|\nx"))).when(F.col("c") == 3, F.when(F.col("l_linenumber") == 1, "top").otherwise("")).otherwise(F.col("status"))
     each = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c"))

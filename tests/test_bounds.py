@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import lists, sequences
 from quire.operators.ranges import dealt
+from quire.plans import rules
+from tests.oracle import SMALL
 
 
 def test_labels_that_tie_stand_in_their_order(spark):
@@ -48,3 +50,12 @@ def test_front_matter_splits_a_text_once(spark):
     made = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(given)], "i int, t string").select("i", text.front_matter(F.col("t")).alias("m"))
     assert [tuple(r.m) for r in made.orderBy("i").collect()] == [want for _, want in given]
     assert made._jdf.queryExecution().analyzed().toString().count("split(") == 1
+
+
+def test_aligned_tables_are_dealt_once(spark):
+    """Orders come to one of many tasks before they are cells; their cells are not moved again, save to be joined."""
+    plan = rules.a12_alignments(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in plan
+    for query in (rules.k7a_aligned_pipes, rules.z2_promoted_headers):
+        plan = query(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
