@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import detect, text
 from quire.operators import cells, lines, sequences
+from quire.operators.ranges import dealt
 from quire.plans.common import read
 
 #: Beginnings of files, and what they are: (alone, with 90 bytes behind).
@@ -45,7 +46,8 @@ def r27_patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string"))
     git = F.array(F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.when(n % 2 == 0, "x").otherwise("")), F.lit("--- a/no"), F.lit("+++ b/no"), F.lit("+line"), F.lit(""))
     plain = F.array(F.concat(F.lit("--- a/"), name, F.lit("\t2020-01-01")), F.when(n % 3 == 0, "+++ /dev/null").otherwise(F.concat(F.lit("+++ b/"), name, F.lit("y"))), F.lit("-old"))
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), n.alias("at"), F.when(k == 0, git).when(k == 1, plain).when((k == 2) & (n == 1), F.array(F.lit(" From: a "), F.lit(""))).when(k == 2, plain).otherwise(F.array(F.lit("--- no patch"), F.lit("text"))).alias("ls"))
+    orders = dealt(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")  # all that follows finds them in place
+    rows = orders.select(F.col("l_orderkey").alias("doc"), n.alias("at"), F.when(k == 0, git).when(k == 1, plain).when((k == 2) & (n == 1), F.array(F.lit(" From: a "), F.lit(""))).when(k == 2, plain).otherwise(F.array(F.lit("--- no patch"), F.lit("text"))).alias("ls"))
     once = rows.groupBy("doc", "at").agg(F.min("ls").alias("ls"))
     return lines.patch_files(once.select("doc", "at", F.posexplode("ls")).select("doc", (F.col("at") * 10 + F.col("pos")).alias("n"), F.col("col").alias("line")))
 

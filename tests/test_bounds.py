@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import lists, sequences
 from quire.operators.ranges import dealt
-from quire.plans import rules
+from quire.plans import grids, layouts, rules
 from tests.oracle import SMALL
 
 
@@ -59,3 +59,8 @@ def test_aligned_tables_are_dealt_once(spark):
     for query in (rules.k7a_aligned_pipes, rules.z2_promoted_headers):
         plan = query(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_patches_are_dealt_once(spark):
+    plan = layouts.r27_patch_files(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in plan
