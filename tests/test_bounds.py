@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import lists, sequences
+from quire.operators import cells, lists, sequences
 from quire.operators.ranges import dealt
 from quire.plans import grids, layouts, rules
 from tests.oracle import SMALL
@@ -64,3 +64,12 @@ def test_aligned_tables_are_dealt_once(spark):
 def test_patches_are_dealt_once(spark):
     plan = layouts.r27_patch_files(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_long_tables_are_numbered_by_ranges(spark):
+    """No task sorts a brand whole; numbers are those of a window, and covered cells are dealt by place."""
+    rows = spark.createDataFrame([(f"d{k % 2}", k) for k in range(300)], "d string, k long").repartition(5)
+    each = [cells.unpivot(rows, ["d", "k"], doc=F.col("d"), order=["k"], long=long) for long in (False, True)]
+    assert each[0].schema == each[1].schema and sorted(each[0].collect()) == sorted(each[1].collect())
+    assert "row_number" not in grids._part(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert grids.j11_covered_cells(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
