@@ -1,8 +1,8 @@
 """Sizes and pages of pictures from their headers, as expressions over the binary column: no picture leaves the JVM or is decoded.
 
-Chains inside a file (the segments of a JPEG, the directories of a TIFF) are followed by a fold over a number of steps: a few
-first, and as many as the file could hold for the files that need more. A chain that comes back to a place it has been at, or
-leaves the file, gives null.
+Chains inside a file (the segments of a JPEG, the directories of a TIFF) are followed by folds over a number of steps: a few
+first, and each time more for the files that need them, up to as many as the file could hold. A chain that comes back to a place it
+has been at, or leaves the file, gives null.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ MOST_SIDE = 20_000
 FRAMES = [k for k in range(0xC0, 0xD0) if k not in (0xC4, 0xC8, 0xCC)]
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 SUBFILE, WIDTH, HEIGHT, X_RESOLUTION, Y_RESOLUTION, UNIT = 254, 256, 257, 282, 283, 296
-FEW_STEPS = 24
+#: Steps of the first fold, and how many times as many each further one has.
+FEW_STEPS, MORE_STEPS = 24, 4
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -54,9 +55,19 @@ def _shown(width: Column, height: Column) -> Column:
 
 
 def _followed(start: Column, step: Callable[[Column], Column], most: Column) -> Column:
-    """start after step by step until `done`, few steps first."""
-    run = lambda state, n: F.aggregate(F.sequence(F.lit(1), n), state, lambda s, _: F.when(s["done"], s).otherwise(step(s)))
-    return let(run(start, F.lit(FEW_STEPS)), lambda few: F.when(few["done"], few).otherwise(run(few, F.greatest(most.cast("int"), F.lit(1)))))
+    """start after step by step until `done`: few steps first, then each time more, FEW_STEPS and `most` in all."""
+    # The number of steps before each fold; the last is above the length that any value has.
+    befores = [0]
+    while befores[-1] < 2**31:
+        befores.append(FEW_STEPS + befores[-1] * MORE_STEPS)
+    folds = F.array(*[F.struct(F.lit(a).cast("long").alias("before"), F.lit(b).cast("long").alias("after")) for a, b in zip(befores, befores[1:], strict=False)])
+    all_steps = F.greatest(most.cast("long"), F.lit(1)) + FEW_STEPS
+
+    def fold(state: Column, n: Column, all_: Column) -> Column:
+        steps = F.sequence(n["before"] + 1, F.least(n["after"], all_))
+        return F.when(state["done"] | (n["before"] >= all_), state).otherwise(F.aggregate(steps, state, lambda s, _: F.when(s["done"], s).otherwise(step(s))))
+
+    return let(all_steps, lambda all_: F.aggregate(folds, start, lambda state, n: fold(state, n, all_)))
 
 
 def _orientation(data: Column, at: Column, end: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import pictures
-from quire.operators.stored import stored
+from quire.operators.ranges import dealt
 from quire.plans.common import read
 
 
@@ -16,7 +16,7 @@ def _hex(value: Column, n: int, big: bool = True) -> Column:
 
 
 def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(p_partkey, content): a part in one of twelve formats, 100 + its size wide and 1 + its key modulo 10,000 high."""
+    """(p_partkey, content): a part in one of twelve formats, 100 + its size wide and 1 + its key modulo 10,000 high. The small table of parts, a file of few blocks, is many tasks' work."""
     w, h, k = (100 + F.col("p_size")).cast("long"), 1 + F.col("p_partkey") % 10_000, F.col("p_partkey") % 12
     one, none = F.lit(1), F.lit("")
     segment = F.concat(F.lit("FFE0"), _hex(F.lit(18), 2), F.lit("00" * 16))
@@ -34,17 +34,20 @@ def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("52494646000000005745425056503858" + "00" * 8), _hex(w - 1, 3, False), _hex(h - 1, 3, False)), F.concat(F.lit("000001000200" + "1010" + "00" * 14 + "0020"), F.lit("00" * 14)), two, loop,
         F.concat(F.lit("00000018667479706176696600000000"), F.lit("0000001469737065" + "00000000"), _hex(w, 4), _hex(h, 4)), jpeg(F.concat(F.lit("FFDA0002"), none)),
     ]
-    return stored(read(spark, sf_dir, "part").select("p_partkey", F.unhex(F.element_at(F.array(*formats), (k + 1).cast("int"))).alias("content")))
+    made = F.lit(None).cast("string")
+    for n, text in reversed(list(enumerate(formats))):  # only a part's own format is made
+        made = F.when(k == n, text).otherwise(made)
+    return dealt(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.unhex(made).alias("content"))
 
 
 def x13_picture_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = pictures.picture_size(F.col("content"))
+    size = pictures.let(F.col("content"), pictures.picture_size)
     return _made(spark, sf_dir).withColumn("size", size).select("p_partkey", F.col("size.width").alias("width"), F.col("size.height").alias("height"))
 
 
 def c9_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of the pictures that are TIFFs; previews are none, and a chain that comes back is broken."""
-    pages = pictures.tiff_pages(F.col("content"))
+    pages = pictures.let(F.col("content"), pictures.tiff_pages)
     return _made(spark, sf_dir).withColumn("pages", pages).select("p_partkey", F.when(F.col("pages").isNotNull(), F.size("pages")).alias("pages"), F.col("pages")[0]["height"].alias("height"))
 
 

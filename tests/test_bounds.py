@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import cells, lists, sequences
 from quire.operators.ranges import dealt
-from quire.plans import grids, layouts, rules
+from quire.plans import grids, layouts, pictures, rules
 from tests.oracle import SMALL
 
 
@@ -73,3 +73,11 @@ def test_long_tables_are_numbered_by_ranges(spark):
     assert each[0].schema == each[1].schema and sorted(each[0].collect()) == sorted(each[1].collect())
     assert "row_number" not in grids._part(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert grids.j11_covered_cells(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+
+
+def test_pictures_are_dealt(spark):
+    """A table of small rows is a file of few blocks, and so few tasks; no table is stored before the sizes are read."""
+    for query in (pictures.x13_picture_sizes, pictures.c9_tiff_pages):
+        made = query(spark, SMALL)
+        assert made._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+        assert all(f.startswith(f"file://{SMALL}/part") for f in made.inputFiles())

@@ -80,3 +80,14 @@ def test_sizes(spark):
 def test_tiff_pages(spark, content, want):
     (row,) = spark.createDataFrame([(bytearray(content),)], "c binary").select(pictures.tiff_pages(F.col("c")).alias("p")).collect()
     assert (row.p and [(p["index"], p.width, p.height, p.dpi_x) for p in row.p]) == want
+
+
+def test_chains_of_every_length(spark):
+    """A fold ends after 24, 120, 504 and 2,040 steps and the next goes on where it ended; the fill bytes of a JPEG are steps as well."""
+    lengths = [0, 1, 22, 23, 24, 25, 119, 120, 121, 503, 504, 505, 2_040, 2_041, 3_000]
+    made = [(n, bytearray(jpeg((0xE1, exif(6, "<")), *[(0xE2, b"")] * n, width=n + 1))) for n in lengths]
+    made += [(-n, bytearray(b"\xff\xd8" + b"\xff" * n + jpeg(width=n + 1)[2:])) for n in lengths[1:]]
+    rows = spark.createDataFrame(made, "n int, c binary").select("n", pictures.picture_size(F.col("c")).alias("s")).collect()
+    assert {r.n: tuple(r.s) for r in rows} == {n: (20, n + 1) if n >= 0 else (1 - n, 20) for n, _ in made}
+    pages = spark.createDataFrame([(n, bytearray(tiff(*[SIZE] * n, loop=loop))) for n in (24, 25, 121) for loop in (False, True)], "n int, c binary").select("n", F.coalesce(F.size(pictures.tiff_pages(F.col("c"))), F.lit(-1)).alias("p")).collect()
+    assert sorted((r.n, r.p) for r in pages) == [(24, -1), (24, 24), (25, -1), (25, 25), (121, -1), (121, 121)]
