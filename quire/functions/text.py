@@ -254,22 +254,28 @@ def code_class(classes: Column) -> Column:
 
 def colour(word: Column) -> Column:
     """RRGGBB of a colour as #rgb, #rrggbb, rgb(r, g, b) in whole numbers, or the name of a text marker's; null for none."""
-    word = F.lower(F.trim(word))
-    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in MARKERS.items() for x in pair]), word)
-    short = F.regexp_replace(F.regexp_extract(word, r"^#([0-9a-f]{3})$", 1), r"(.)", "$1$1")
-    long = F.regexp_extract(word, r"^#([0-9a-f]{6})$", 1)
-    parts = F.transform(F.array(*[F.regexp_extract(word, r"^rgb\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*\)$", k).try_cast("int") for k in (1, 2, 3)]), lambda n: F.when(n.isNotNull(), F.lpad(F.hex(F.least(n, F.lit(255))), 2, "0")))
-    return F.coalesce(named, F.when(short != "", F.upper(short)), F.when(long != "", F.upper(long)), F.when(F.size(F.array_compact(parts)) == 3, F.array_join(parts, "")))
+
+    def of(word: Column) -> Column:
+        named = F.try_element_at(F.create_map(*[F.lit(x) for pair in MARKERS.items() for x in pair]), word)
+        short = F.regexp_replace(F.regexp_extract(word, r"^#([0-9a-f]{3})$", 1), r"(.)", "$1$1")
+        long = F.regexp_extract(word, r"^#([0-9a-f]{6})$", 1)
+        parts = F.transform(F.array(*[F.regexp_extract(word, r"^rgb\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*\)$", k).try_cast("int") for k in (1, 2, 3)]), lambda n: F.when(n.isNotNull(), F.lpad(F.hex(F.least(n, F.lit(255))), 2, "0")))
+        return F.coalesce(named, F.when(short != "", F.upper(short)), F.when(long != "", F.upper(long)), let(parts, lambda p: F.when(F.size(F.array_compact(p)) == 3, F.array_join(p, ""))))
+
+    return let(F.lower(F.trim(word)), of)
 
 
 def mark_style(style: Column) -> Column:
     """The style of a marker of another colour than yellow, with white text on a dark one; null for a plain marker."""
     own = F.regexp_extract(style, r"(?i)(?:^|;)\s*background-color\s*:\s*([^;]+)", 1)
     words = F.regexp_extract_all(F.regexp_extract(style, r"(?i)(?:^|;)\s*background\s*:\s*([^;]+)", 1), F.lit(r"[^\s(]+\([^)]*\)|[^\s]+"), F.lit(0))
-    found = F.when(own != "", colour(own)).otherwise(F.try_element_at(F.array_compact(F.transform(words, colour)), F.lit(-1)))
-    light = luminance(F.concat(F.lit("#"), found))
-    dark = 1.05 / (light + 0.05) > (light + 0.05) / 0.05
-    return F.when(found != "FFFF00", F.concat(F.lit("background-color:#"), found, F.when(dark, ";color:#FFFFFF").otherwise("")))
+    found = let(own, lambda own: F.when(own != "", colour(own)).otherwise(F.try_element_at(F.array_compact(F.transform(words, colour)), F.lit(-1))))
+
+    def styled(found: Column) -> Column:
+        dark = let(luminance(F.concat(F.lit("#"), found)), lambda light: 1.05 / (light + 0.05) > (light + 0.05) / 0.05)
+        return F.when(found != "FFFF00", F.concat(F.lit("background-color:#"), found, F.when(dark, ";color:#FFFFFF").otherwise("")))
+
+    return let(found, styled)
 
 
 def cell_style(style: Column, align: Column) -> Column:

@@ -162,11 +162,12 @@ def allowed(nodes: DataFrame) -> DataFrame:
     # The entries are worked out once and then picked in order.
     in_order = F.transform(F.array(F.concat(entries, made)), lambda es: F.flatten(F.transform(order, lambda k: F.filter(es, lambda e: e["key"] == k))))
     sorted_entries = in_order[0]
-    kept = kept.withColumn("attrs", F.when(F.col("name").isNotNull() & (F.size("attrs") > 0), F.map_from_entries(sorted_entries)).otherwise(F.col("attrs")))
-    blind = (F.col("name") == "img") & ~F.map_contains_key("attrs", "src")
+    attrs = F.when(F.col("name").isNotNull() & (F.size("attrs") > 0), F.map_from_entries(sorted_entries)).otherwise(F.col("attrs"))
+    # Pictures are judged by the attributes as given: a condition on the new ones would be moved before them, and work them out again.
+    blind = (F.col("name") == "img") & right["src"].isNull()
     alt = F.trim(F.coalesce(attr("alt"), F.lit("")))
     kept = kept.where(~F.coalesce(blind & (alt == ""), F.lit(False)))
-    return drawn_blocks(kept).withColumns({"raw": F.when(blind, F.concat(F.lit("<span>["), text.escape_text(alt), F.lit("]</span>")))})
+    return drawn_blocks(kept.withColumns({"attrs": attrs, "raw": F.when(blind, F.concat(F.lit("<span>["), text.escape_text(alt), F.lit("]</span>")))}))
 
 
 def written(nodes: DataFrame, all_docs: DataFrame | None = None) -> DataFrame:

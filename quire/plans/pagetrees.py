@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import pages
+from quire.operators.ranges import dealt
 from quire.plans.common import read
 from quire.sources.nodes import nodes
 
@@ -25,7 +26,8 @@ LEFT = (
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    """The pages, dealt over many tasks: a page is read for far longer than it takes to move it."""
+    return dealt(read(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
 
 
 def _hashed(html: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import cells, lists, sequences
 from quire.operators.ranges import dealt
-from quire.plans import grids, layouts, pictures, rules
+from quire.plans import grids, layouts, pagetrees, pictures, rules
 from tests.oracle import SMALL
 
 
@@ -81,3 +81,11 @@ def test_pictures_are_dealt(spark):
         made = query(spark, SMALL)
         assert made._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
         assert all(f.startswith(f"file://{SMALL}/part") for f in made.inputFiles())
+
+
+def test_attributes_of_allowed_elements_are_worked_out_once(spark):
+    """Pages are dealt before they are read; no condition repeats the new attributes, and a mark's colour stands in its expression once."""
+    plan = pagetrees.p1_allowed_pages(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("map_from_entries") == 1
+    style = spark.createDataFrame([("background-color: #123",)], "s string").select(text.mark_style(F.col("s")).alias("m"))
+    assert style._jdf.queryExecution().analyzed().toString().count("background-color") <= 3
