@@ -81,15 +81,23 @@ def resolvable_pictures(nodes: DataFrame) -> DataFrame:
     around them says what their alternate text says."""
     blind = (F.col("name") == "img") & ~F.coalesce(attr("src"), F.lit("")).rlike(r"(?i)^\s*(?:data|https?):")
     alt = F.trim(F.coalesce(attr("alt"), F.lit("")))
-    asked = nodes.where(blind & (alt != "") & F.col("control").isNotNull()).select("doc", "id", "control", F.lower(alt).alias("alt"))
-    # Links end links and buttons end buttons, so a text stands in two controls at most.
-    outer = nodes.where(F.col("name").isin("a", "button") & F.col("control").isNotNull()).select("doc", F.col("id").alias("control"), F.col("control").alias("outer"))
-    said = nodes.where("name is null and control is not null").select("doc", "id", "control", "text").join(outer, ["doc", "control"], "left")
-    said = said.select("doc", "id", "text", F.explode(F.array_compact(F.array("control", "outer"))).alias("control")).join(asked.select("doc", "control").distinct(), ["doc", "control"], "left_semi")
-    label = said.groupBy("doc", "control").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("texts"))
-    label = label.select("doc", "control", F.lower(F.trim(F.regexp_replace(F.array_join("texts.text", ""), r"\s+", " "))).alias("label"))
-    repeated = asked.join(label, ["doc", "control"]).where("contains(label, alt)").select("doc", "id", F.lit(True).alias("_repeats"))
-    marked = nodes.join(repeated, ["doc", "id"], "left").where("_repeats is null")
+    # A control in none is followed by what it holds before the next of its kind, so the last one up to here is the outermost around a node that it holds.
+    is_control = F.col("name").isin("a", "button")
+    latest = F.max(F.when(is_control & F.col("control").isNull(), F.struct("id", "last"))).over(_to_here())
+    placed = nodes.withColumn("_latest", latest).withColumn("_top", F.when(F.col("control").isNotNull() & (F.col("_latest.last") >= F.col("id")), F.col("_latest.id")))
+    # Texts of an outermost control, and the controls in it, in order; nodes outside of controls have none.
+    around = Window.partitionBy("doc", "_top").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    part = F.struct("id", "last", "text")
+    held = F.collect_list(F.when(F.col("_top").isNotNull() & (F.col("name").isNull() | is_control), part)).over(around)
+
+    def said(held: Column) -> Column:
+        """What the innermost control around a picture says, in lower case."""
+        last = F.try_element_at(F.filter(held, lambda e: e["id"] == F.col("control")), F.lit(1))["last"]
+        texts = F.when(F.col("control") == F.col("_top"), held).otherwise(F.filter(held, lambda e: (e["id"] > F.col("control")) & (e["id"] <= last)))
+        return F.lower(F.trim(F.regexp_replace(F.array_join(F.transform(texts, lambda e: e["text"]), ""), r"\s+", " ")))
+
+    asked = blind & (alt != "") & F.col("_top").isNotNull()
+    marked = placed.withColumn("_held", held).where(~F.coalesce(F.when(asked, F.contains(said(F.col("_held")), F.lower(alt))), F.lit(False)))
     return marked.withColumn("attrs", F.when(blind, without_attrs("src")).otherwise(F.col("attrs"))).select(nodes.columns)
 
 

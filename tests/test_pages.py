@@ -82,3 +82,20 @@ def test_resolved(spark):
     assert rows.select(url.resolved(F.col("href"), F.lit("no base")).alias("x")).where("x is not null").count() == 2
     remote = spark.createDataFrame([(s,) for s in ("ht\ttps://x", "\\\\h\\s", "//h/x", "x.png", "data:a", "file:///a", "file://h/a", "C:\\x.png")], "s string").select(url.is_remote_picture("s").alias("r")).collect()
     assert [r.r for r in remote] == [True, True, True, False, False, False, True, True]
+
+
+def test_pictures_are_compared_with_their_label_in_one_reading(spark):
+    """Pages are read once and their nodes moved once; a control in a control in a table of a third one says what it holds, and no more."""
+    plan = pages.written(pages.resolvable_pictures(node_rows(spark, "x")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+    got = rewritten(
+        spark, pages.resolvable_pictures,
+        '<a>one<table><tr><td><a><img alt="one">two<table><tr><td><button><img alt="three"><i>Th</i>ree</button></td></tr></table></a></td></tr></table><img alt="TWO"></a><img alt="one">',
+        "<button><a>x<img alt=y></a>y</button><a><img alt=y>z</a>y", "<a><img alt=x></a>x", "<button>s<a><img alt=s></a><a>s<img alt=s></a><img alt=' s '></button>",
+    )
+    assert got == [
+        '<a>one<table><tr><td><a><img alt="one" />two<table><tr><td><button><i>Th</i>ree</button></td></tr></table></a></td></tr></table></a><img alt="one" />',
+        '<button><a>x<img alt="y" /></a>y</button><a><img alt="y" />z</a>y', '<a><img alt="x" /></a>x', '<button>s<a><img alt="s" /></a><a>s</a></button>',
+    ]
+    gone = rewritten(spark, lambda n: pages.resolvable_pictures(pages.without_dead_links(n)), "<a href=x>one</a><a>two<img alt=two><button>s<img alt=s></button></a><p>one<img alt=one></p>", "<button>x<a>y<img alt=y></a></button>")
+    assert gone == ['<a href="x">one</a>two<img alt="two" /><button>s<img alt="s" /></button><p>one<img alt="one" /></p>', '<button>xy<img alt="y" /></button>']
