@@ -65,15 +65,16 @@ def visible(nodes: DataFrame) -> DataFrame:
     clipped = style.contains("width:1px") & style.contains("height:1px") & style.rlike(r"clip:rect\(|clip-path:inset\(|overflow:hidden")
     surely = (attr("aria-hidden") == "true") | F.arrays_overlap(classes, F.array(*map(F.lit, HIDDEN_CLASSES))) | clipped
     maybe = (F.lower(attr("hidden")) != "until-found") | style.rlike("display:none|visibility:hidden")
-    sections = F.sum(F.col("name").isin("h1", "h2", "h3", "h4", "h5", "h6", "table").cast("int")).over(_to_here())
-    paragraphs = F.sum((F.col("name") == "p").cast("int")).over(_to_here())
-    marked = nodes.withColumns({"_surely": F.coalesce(surely, F.lit(False)), "_maybe": F.coalesce(maybe, F.lit(False)), "_sections": F.coalesce(sections, F.lit(0)), "_paragraphs": F.coalesce(paragraphs, F.lit(0))})
-    ends = marked.select(F.col("doc").alias("_doc"), F.col("id").alias("_id"), F.col("_sections").alias("_sections_to"), F.col("_paragraphs").alias("_paragraphs_to"))
-    doubtful = marked.where("_maybe and not _surely").select("doc", "id", "last", "name", "_sections", "_paragraphs")
-    held = doubtful.join(ends, (F.col("doc") == F.col("_doc")) & (F.col("last") == F.col("_id")))
-    empty = held.where("coalesce(name, '') <> 'table' and _sections_to = _sections and _paragraphs_to - _paragraphs < 2").select("doc", "id", F.lit(True).alias("_hides"))
-    hides = F.col("_surely") | F.coalesce("_hides", F.lit(False))
-    return without(marked.join(empty, ["doc", "id"], "left"), hides).select(nodes.columns)
+    # What an element holds is the sums at a mark behind its last node less those at itself.
+    marked = nodes.withColumns({"_surely": F.coalesce(surely, F.lit(False)), "_maybe": F.coalesce(maybe, F.lit(False))})
+    marked = marked.withColumn("_mark", F.explode(F.when(F.col("_maybe") & ~F.col("_surely"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    to_here = Window.partitionBy("doc").orderBy(F.when(F.col("_mark") == 1, F.col("last")).otherwise(F.col("id")), "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = lambda condition: F.coalesce(F.sum((condition & (F.col("_mark") == 0)).cast("int")).over(to_here), F.lit(0))
+    marked = marked.withColumns({"_sections": counted(F.col("name").isin("h1", "h2", "h3", "h4", "h5", "h6", "table")), "_paragraphs": counted(F.col("name") == "p")})
+    behind = lambda c: F.max(F.when(F.col("_mark") == 1, F.col(c))).over(Window.partitionBy("doc", "id"))
+    held = marked.withColumns({"_sections_to": behind("_sections"), "_paragraphs_to": behind("_paragraphs")}).where("_mark = 0")
+    empty = F.expr("coalesce(name, '') <> 'table' and _sections_to = _sections and _paragraphs_to - _paragraphs < 2")
+    return without(held, F.col("_surely") | F.coalesce(empty, F.lit(False))).select(nodes.columns)
 
 
 def resolvable_pictures(nodes: DataFrame) -> DataFrame:

@@ -99,3 +99,12 @@ def test_pictures_are_compared_with_their_label_in_one_reading(spark):
     ]
     gone = rewritten(spark, lambda n: pages.resolvable_pictures(pages.without_dead_links(n)), "<a href=x>one</a><a>two<img alt=two><button>s<img alt=s></button></a><p>one<img alt=one></p>", "<button>x<a>y<img alt=y></a></button>")
     assert gone == ['<a href="x">one</a>two<img alt="two" /><button>s<img alt="s" /></button><p>one<img alt="one" /></p>', '<button>xy<img alt="y" /></button>']
+
+
+def test_what_hidden_elements_hold_is_counted_in_one_reading(spark):
+    plan = pages.written(pages.visible(node_rows(spark, "x")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+    got = rewritten(
+        spark, pages.visible, "<div hidden>a<div hidden><p>1<p>2</div></div>b<div hidden></div><p>c", "<div hidden><div hidden><p>1</div><div hidden><p>2</div></div><h1>d</h1>", "<div hidden><i hidden></i></div><h1 hidden>e</h1><div hidden>f<h1>g</h1></div>",
+    )
+    assert got == ['<div hidden="">a<div hidden=""><p>1</p><p>2</p></div></div>b<p>c</p>', '<div hidden=""></div><h1>d</h1>', '<div hidden="">f<h1>g</h1></div>']
